@@ -29,6 +29,8 @@ DENY_REASONS = {
     "javascript:": "JavaScript execution is not relevant for pandas data analysis",
 }
 DEFAULT_REASON = "This operation is forbidden for security reasons"
+# Leading/trailing blanks removed from a reported line (ASCII whitespace, stated explicitly).
+STRIP = r"^[ \t\r\f\v]+|[ \t\r\f\v]+$"
 
 
 def scan_text(df: DataFrame, id_col: str, text_col: str, tokens: dict[str, str] | list[str] | None = None) -> DataFrame:
@@ -48,4 +50,5 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, tokens: dict[str, str]
     hits = hits.where(F.size("_hits") > 0)
     return hits.select(id_col, F.explode("_hits").alias("token"), "_i", "_line").select(
         id_col, "token", reasons[F.col("token")].alias("reason"),
-        (F.col("_i") + 1).cast("bigint").alias("line_no"), F.trim(F.col("_line")).alias("line"))
+        (F.col("_i") + 1).cast("bigint").alias("line_no"),
+        F.regexp_replace(F.col("_line"), STRIP, "").alias("line"))

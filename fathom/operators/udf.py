@@ -24,4 +24,7 @@ def apply_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd
     (an order's lines, a user's day); for unbounded groups express the logic with built-in
     aggregates and windows instead.
     """
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit hash repartition on the keys: the groupBy reuses it (no second shuffle), and
+    # AQE does not fold it into a single task when the input is small.
+    return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)

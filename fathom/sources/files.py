@@ -65,6 +65,17 @@ def read_json(spark: SparkSession, path: str, orient: str = "records",
         text = spark.read.text(path, wholetext=False).limit(1).collect()
         multi = bool(text) and text[0]["value"].lstrip().startswith("[")
         return reader.option("multiLine", str(multi).lower()).json(path)
+    head = spark.read.text(path, wholetext=False).where(F.trim("value") != "").limit(2).collect()
+    if orient == "values" and head and not head[0]["value"].lstrip().startswith("[["):
+        # JSON lines of arrays (what write_json(orient='values') produces): splittable.
+        rows = spark.read.text(path).where(F.trim("value") != "").select(
+            F.from_json("value", "array<string>").alias("_row"))
+        width = rows.agg(F.max(F.size("_row"))).first()[0] or 0
+        out = rows.select(*[F.col("_row")[i].alias(str(i)) for i in range(width)])
+        if schema is not None:
+            st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+            out = out.select(*[F.col(str(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(st.fields)])
+        return out
     docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("_doc"))
     if orient == "values":
         rows = docs.select(F.posexplode(F.from_json("_doc", "array<array<string>>")).alias("_idx", "_row"))
@@ -80,7 +91,10 @@ def read_json(spark: SparkSession, path: str, orient: str = "records",
                .orderBy(F.col("_idx").try_cast("bigint"), "_idx").drop("_idx"))
     if schema is not None:
         st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-        out = out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
+        if orient == "values":
+            out = out.select(*[F.col(str(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(st.fields)])
+        else:
+            out = out.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in st.fields])
     return out
 
 

@@ -8,6 +8,16 @@ from pyspark.sql import types as T
 
 # Fixed value: ISO-8601 rendering of timestamps (fraction only when non-zero).
 ISO_SECONDS = "yyyy-MM-dd'T'HH:mm:ss"
+# Text formats keep full microsecond precision (Spark's CSV/JSON default stops at millis).
+TEXT_TIMESTAMP_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
+    """CSV with header, in parallel part files, timestamps at microsecond precision."""
+    df.write.mode(mode).options(header="true", sep=sep, **TEXT_TIMESTAMP_OPTIONS).csv(path)
 
 
 def iso_timestamp(c: Column) -> Column:
@@ -60,9 +70,8 @@ def write_json(df: DataFrame, path: str, orient: str = "records", mode: str = "e
 def write_cleaned(df: DataFrame, out_dir: str, name: str, fmt: str = "csv", mode: str = "overwrite") -> str:
     """Write a cleaned table to ``<out_dir>/<name>_cleaned.<fmt>`` (a directory of part files)."""
     path = f"{out_dir.rstrip('/')}/{name}_cleaned.{fmt}"
-    writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", "true").csv(path)
+        write_csv(df, path, mode=mode)
     else:
-        writer.format(fmt).save(path)
+        df.write.mode(mode).format(fmt).save(path)
     return path
