@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.stats import nan_to_null
+from fathom.plans.parallel import spread
 from fathom.plans.quantiles import column_quantiles
 
 
@@ -139,6 +140,10 @@ def cap_outliers(df: DataFrame, col: str, lower: float | None = None, upper: flo
                  exact: bool = True) -> DataFrame:
     """Winsorise ``col`` at its ``lower``/``upper`` percentiles (default: cap at the 99th)."""
     lo, hi = fit_bounds(df, col, "percentile", lower=lower, upper=upper, exact=exact)
+    return _apply_cap(df, col, lo, hi)
+
+
+def _apply_cap(df: DataFrame, col: str, lo, hi) -> DataFrame:
     x = _c(col)
     capped = x
     if hi is not None:
@@ -222,63 +227,16 @@ class CleanRules:
     exact: bool = True
 
 
-def clean(df: DataFrame, rules: CleanRules | None = None, observe: bool = False):
-    """Run the cleaning steps and return ``(cleaned, report)``.
+def clean(df: DataFrame, rules: CleanRules | None = None):
+    """Run the cleaning steps and return ``(cleaned, report)``, both lazy DataFrames.
 
-    ``report`` is a DataFrame (step, column, rows_in, rows_out, affected). Row counts come from
-    counting the lazily defined stage outputs; ``observe=True`` instead attaches
-    ``DataFrame.observe`` metrics that are filled by the first action on ``cleaned``.
+    ``report`` has one row per step (step, column, rows_in, rows_out, affected), each a
+    one-row aggregate over that step's input and output plans; nothing is counted until the
+    report itself is evaluated. Only fitted statistics (a percentile, a mean) run jobs here.
     """
     rules = rules or CleanRules()
-    spark = df.sparkSession
-    stages = [("input", None, df)]
-    cur = nan_to_null(df)
-    if rules.drop_null_rows:
-        cur = drop_nulls(cur, subset=rules.null_subset)
-        stages.append(("drop_nulls", ",".join(rules.null_subset or []) or None, cur))
-    if rules.dedup:
-        cur = drop_duplicates(cur, subset=rules.dedup_subset)
-        stages.append(("drop_duplicates", ",".join(rules.dedup_subset or []) or None, cur))
-    changed_exprs = []
-    for col, how in rules.outlier_cols.items():
-        if how == "cap":
-            lo, hi = fit_bounds(cur, col, "percentile", upper=rules.cap_upper, exact=rules.exact)
-            before = cur
-            cur = cap_outliers(cur, col, upper=rules.cap_upper, exact=rules.exact)
-            changed_exprs.append((f"cap_p{round(rules.cap_upper * 100):d}", col, before,
-                                  (_c(col) > F.lit(hi)) if hi is not None else F.lit(False)))
-        else:
-            cur = drop_outliers(cur, col, method=how, exact=rules.exact)
-            stages.append((f"drop_outliers_{how}", col, cur))
-    counts = _count_stages([s[2] for s in stages] + [c[2] for c in changed_exprs],
-                           [None] * len(stages) + [c[3] for c in changed_exprs])
-    rows = []
-    n = len(stages)
-    for i in range(1, n):
-        rows.append((stages[i][0], stages[i][1], counts[i - 1][0], counts[i][0], counts[i - 1][0] - counts[i][0]))
-    for j, (step, col, _, _) in enumerate(changed_exprs):
-        c_in, c_aff = counts[n + j]
-        rows.append((step, col, c_in, c_in, c_aff))
-    report = spark.createDataFrame(rows, "step string, column string, rows_in bigint, rows_out bigint, affected bigint")
-    return cur, report
-
-
-def _count_stages(frames: list[DataFrame], flags: list[Column | None]) -> list[tuple[int, int]]:
-    out = []
-    for df, flag in zip(frames, flags):
-        if flag is None:
-            out.append((df.count(), 0))
-        else:
-            r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("a")).first()
-            out.append((r["n"], r["a"]))
-    return out
-
-
-def cleaning_report_frame(df: DataFrame, rules: CleanRules | None = None) -> DataFrame:
-    """The cleaning summary as one lazy DataFrame (a union of one-row aggregates)."""
-    rules = rules or CleanRules()
     parts = []
-    cur = nan_to_null(df)
+    cur = spread(nan_to_null(df))
     if rules.drop_null_rows:
         nxt = drop_nulls(cur, subset=rules.null_subset)
         parts.append(_step_row("drop_nulls", ",".join(rules.null_subset or []) or None, cur, nxt))
@@ -290,20 +248,26 @@ def cleaning_report_frame(df: DataFrame, rules: CleanRules | None = None) -> Dat
     for col, how in rules.outlier_cols.items():
         if how == "cap":
             _, hi = fit_bounds(cur, col, "percentile", upper=rules.cap_upper, exact=rules.exact)
-            n = cur.agg(F.count(F.lit(1)).alias("rows_in"),
-                        F.count_if(_c(col) > F.lit(hi)).cast("bigint").alias("affected"))
+            flag = (_c(col) > F.lit(hi)) if hi is not None else F.lit(False)
+            n = cur.agg(F.count(F.lit(1)).cast("bigint").alias("rows_in"),
+                        F.count_if(flag).cast("bigint").alias("affected"))
             parts.append(n.select(F.lit(f"cap_p{round(rules.cap_upper * 100):d}").alias("step"),
                                   F.lit(col).alias("column"), "rows_in", F.col("rows_in").alias("rows_out"),
                                   "affected"))
-            cur = cap_outliers(cur, col, upper=rules.cap_upper, exact=rules.exact)
+            cur = _apply_cap(cur, col, None, hi)
         else:
             nxt = drop_outliers(cur, col, method=how, exact=rules.exact)
             parts.append(_step_row(f"drop_outliers_{how}", col, cur, nxt))
             cur = nxt
-    out = parts[0]
+    report = parts[0] if parts else None
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        report = report.unionByName(p)
+    return cur, report
+
+
+def cleaning_report_frame(df: DataFrame, rules: CleanRules | None = None) -> DataFrame:
+    """The cleaning summary of :func:`clean` as one lazy DataFrame."""
+    return clean(df, rules)[1]
 
 
 def _step_row(step: str, col: str | None, before: DataFrame, after: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from fathom.functions import types as vt
 from fathom.functions.stats import nan_to_null, sample_skewness
 from fathom.plans import ranks
+from fathom.plans.parallel import spread
 from fathom.plans.quantiles import weighted_quantiles_tagged
 
 # Suggested operations per descriptive type and warning thresholds, as named
@@ -96,53 +97,52 @@ def clean_column_names(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) -> DataFrame:
-    """One aggregation for all columns; returns one row per column position."""
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for c in cols:
-        p = f"c{c.pos}_"
-        aggs.append(F.count(c.ref).alias(p + "n"))
-        if vt.is_numeric(c.dtype):
-            x = c.ref.cast("double")
-            aggs += [F.min(x).alias(p + "min"), F.max(x).alias(p + "max"), F.avg(x).alias(p + "mean"),
-                     F.stddev_samp(x).alias(p + "std"), F.skewness(x).alias(p + "g1"),
-                     F.max(F.abs(x)).alias(p + "maxabs")]
-            if not exact:
-                aggs += [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-                         .alias(p + "q")]
-        if vt.is_string(c.dtype):
-            aggs.append(F.max(F.char_length(c.ref)).alias(p + "len"))
-        if vt.is_temporal(c.dtype):
-            t = c.ref.cast("timestamp_ntz")
-            aggs += [F.min(t).alias(p + "dmin"), F.max(t).alias(p + "dmax")]
-        if not exact and vt.is_scalar(c.dtype):
-            aggs.append(F.approx_count_distinct(c.ref, 0.01).alias(p + "u"))
-    wide = df.agg(*aggs)
-
-    def get(c: _Col, stat: str, dtype: str) -> Column:
-        name = f"c{c.pos}_{stat}"
-        return (F.col(name) if name in wide.columns else F.lit(None)).cast(dtype)
-
-    rows = []
+def _long_form(df: DataFrame, cols: list[_Col], with_text: bool) -> DataFrame:
+    """One row per (input row, column): position, is-present flag and the value in the typed
+    slots that apply (x numeric, t temporal, len string length, v text).
+
+    Aggregating this long form by position keeps the generated code the same size for a
+    2-column and a 2,000-column table; the wide form (one aggregate per column and statistic)
+    grows with the width and stops compiling for wide tables.
+    """
+    structs = []
     for c in cols:
-        q = f"c{c.pos}_q"
-        has_q = q in wide.columns
-        rows.append(F.struct(
+        num, tmp, txt = vt.is_numeric(c.dtype), vt.is_temporal(c.dtype), vt.is_string(c.dtype)
+        fields = [
             F.lit(c.pos).alias("position"),
-            F.col("_rows").cast("bigint").alias("rows"),
-            get(c, "n", "bigint").alias("non_null"),
-            get(c, "min", "double").alias("min"), get(c, "max", "double").alias("max"),
-            get(c, "mean", "double").alias("mean"), get(c, "std", "double").alias("std_dev"),
-            sample_skewness(get(c, "g1", "double"), get(c, "n", "bigint")).alias("skewness"),
-            get(c, "maxabs", "double").alias("max_abs"),
-            get(c, "len", "bigint").alias("max_length"),
-            get(c, "dmin", "timestamp_ntz").alias("min_date"),
-            get(c, "dmax", "timestamp_ntz").alias("max_date"),
-            get(c, "u", "bigint").alias("approx_unique"),
-            *[(F.col(q)[i] if has_q else F.lit(None)).cast("double").alias(n)
-              for i, n in enumerate(["ap25", "ap50", "ap75"])],
-        ))
-    return wide.select(F.inline(F.array(*rows)))
+            c.ref.isNotNull().alias("present"),
+            (c.ref.cast("double") if num else F.lit(None).cast("double")).alias("x"),
+            (c.ref.cast("timestamp_ntz") if tmp else F.lit(None).cast("timestamp_ntz")).alias("t"),
+            (F.char_length(c.ref) if txt else F.lit(None).cast("int")).alias("len"),
+        ]
+        if with_text:
+            fields.append((c.ref.cast("string") if vt.is_scalar(c.dtype) else F.lit(None).cast("string")).alias("v"))
+        structs.append(F.struct(*fields))
+    return df.select(F.inline(F.array(*structs)))
+
+
+def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) -> DataFrame:
+    """Per-column statistics in one aggregation grouped by column position."""
+    long = _long_form(df, cols, with_text=not exact)
+    aggs = [
+        F.count(F.lit(1)).cast("bigint").alias("rows"),
+        F.count_if("present").cast("bigint").alias("non_null"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std_dev"), F.skewness("x").alias("_g1"), F.count("x").alias("_nx"),
+        F.max(F.abs("x")).alias("max_abs"), F.max("len").cast("bigint").alias("max_length"),
+        F.min("t").alias("min_date"), F.max("t").alias("max_date"),
+    ]
+    if exact:
+        aggs += [F.lit(None).cast("bigint").alias("approx_unique")]
+        aggs += [F.lit(None).cast("double").alias(n) for n in ("ap25", "ap50", "ap75")]
+    else:
+        q = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
+        aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("approx_unique"), q.alias("_q")]
+    out = long.groupBy("position").agg(*aggs)
+    out = out.withColumn("skewness", sample_skewness(F.col("_g1"), F.col("_nx")))
+    if not exact:
+        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["ap25", "ap50", "ap75"])]).drop("_q")
+    return out.drop("_g1", "_nx")
 
 
 def _value_table(df: DataFrame, cols: list[_Col]) -> DataFrame:
@@ -178,7 +178,7 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
     df = clean_column_names(df)
     if sample_rows is not None:
         df = df.limit(int(sample_rows))
-    df = nan_to_null(df)
+    df = spread(nan_to_null(df))
     cols = [_Col(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
     spark = df.sparkSession
     if not cols:

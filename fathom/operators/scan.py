@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.plans.parallel import spread
+
 # The deny-list tokens and the reason given for each, in list order (the list
 # names 'eval(' twice; it is kept once here).
 DENY_REASONS = {
@@ -43,7 +45,7 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, tokens: dict[str, str]
         tokens = {t: DENY_REASONS.get(t, DEFAULT_REASON) for t in tokens}
     token_arr = F.array(*[F.lit(t) for t in tokens])
     reasons = F.create_map(*[x for t, r in tokens.items() for x in (F.lit(t), F.lit(r))])
-    lines = df.select(F.col(f"`{id_col}`").alias(id_col),
+    lines = spread(df).select(F.col(f"`{id_col}`").alias(id_col),
                       F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("_i", "_line"))
     hits = lines.select(id_col, "_i", "_line",
                         F.filter(token_arr, lambda t: F.instr(F.col("_line"), t) > 0).alias("_hits"))

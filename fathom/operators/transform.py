@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.stats import nan_to_null
 from fathom.plans import ranks
+from fathom.plans.parallel import spread
 
 # Largest number of distinct values one_hot_encode accepts (the profile's
 # categorical limit) and the tokenizer's word characters (stated explicitly: ASCII letters,
@@ -106,7 +107,7 @@ def text_processing(df: DataFrame, col: str, out: str | None = None) -> DataFram
 def token_counts(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """(by..., token, count) over whole texts; map-side combine keeps hot tokens cheap."""
     by = by or []
-    exploded = df.select(*[_c(b) for b in by], F.explode(tokens_expr(_c(col))).alias("token"))
+    exploded = spread(df).select(*[_c(b) for b in by], F.explode(tokens_expr(_c(col))).alias("token"))
     return exploded.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("count"))
 
 

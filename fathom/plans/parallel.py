@@ -1,0 +1,18 @@
+"""Parallelism guard for inputs that arrive in fewer partitions than there are cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster when it has fewer partitions than cores.
+
+    A single-row-group file is read by one task, and everything map-side (partial aggregates,
+    per-row expressions) would then run on one core. Large inputs already have far more
+    splits than cores, so for them this is a no-op and adds no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.plans import ranks
+from fathom.plans.parallel import spread
 
 
 def weighted_quantiles(values: DataFrame, key: str, value: str, weight: str, probs: list[float],
@@ -61,7 +62,7 @@ def column_quantiles(df: DataFrame, column: str, probs: list[float], names: list
                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """One-row DataFrame of quantiles of one numeric column (NULLs and NaNs ignored)."""
     c = F.col(column)
-    clean = df.select(c.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    clean = spread(df).select(c.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not exact:
         q = F.percentile_approx("_x", F.array(*[F.lit(float(p)) for p in probs]), accuracy)
         row = clean.agg(q.alias("_qs"))
