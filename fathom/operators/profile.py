@@ -193,7 +193,8 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
 
     value_cols = [c for c in cols if vt.is_scalar(c.dtype)
                   and (exact or not (vt.is_numeric(c.dtype) or vt.is_temporal(c.dtype)))]
-    out = F.broadcast(meta).join(typed, "position")  # both sides: one row per column
+    # Every column gets a row, even when the table is empty (then the aggregate has no groups).
+    out = meta.join(F.broadcast(typed), "position", "left")  # both sides: one row per column
     if value_cols:
         values = _value_table(df, value_cols)
         if exact and any(vt.is_numeric(c.dtype) for c in value_cols):
@@ -223,7 +224,7 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
 
 
 def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
-    rows, nn = F.col("rows"), F.col("non_null")
+    rows, nn = F.coalesce(F.col("rows"), F.lit(0).cast("bigint")), F.coalesce(F.col("non_null"), F.lit(0).cast("bigint"))
     null_count = (rows - nn).cast("bigint")
     unique = F.col("exact_unique") if exact else F.coalesce(F.col("exact_unique"), F.col("approx_unique"))
     unique = F.when(F.col("type").isin(vt.MIXED, vt.EMPTY), F.lit(None)).otherwise(F.coalesce(unique, F.lit(0)))

@@ -65,7 +65,9 @@ def binning(df: DataFrame, col: str, bins: int = 10, out: str | None = None) ->
         expr = F.when(x.isNotNull(), F.lit(0))
     else:
         width = (s["hi"] - s["lo"]) / bins
-        expr = F.least(F.floor((x - F.lit(s["lo"])) / F.lit(width)), F.lit(bins - 1)).cast("int")
+        # least() skips NULLs, so keep missing values missing explicitly.
+        expr = F.when(x.isNotNull(), F.least(F.floor((x - F.lit(s["lo"])) / F.lit(width)),
+                                             F.lit(bins - 1))).cast("int")
     return df.withColumn(out or f"{col}_bin", expr)
 
 
