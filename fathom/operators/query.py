@@ -7,6 +7,8 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathom.plans.ordered import last_non_null_by_key
+
 # Fixed value: default number of rows a collected result is cut to.
 RESULT_ROW_LIMIT = 100
 
@@ -74,8 +76,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                      F.col(f"`{right_on}`").alias("_t"), F.lit(side_right).alias("_side"),
                      *[F.col(f"`{c}`").alias(f"_r_{c}") for c in right_cols])
     both = l.unionByName(r.select(*l.columns))
-    w = (Window.partitionBy(*[F.col(f"`{b}`") for b in by]).orderBy("_t", "_side")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = both.select("*", *[F.last(f"_r_{c}", ignorenulls=True).over(w).alias(f"_f_{c}") for c in right_cols])
+    # last(..., ignorenulls) per key over range slices of (key, time): no key-sized task.
+    filled = last_non_null_by_key(both, list(by), ["_t", "_side"], [f"_r_{c}" for c in right_cols], prefix="_f_")
+    filled = filled.select("*", *[F.col(f"_f__r_{c}").alias(f"_f_{c}") for c in right_cols])
     return filled.where(F.col("_side") == side_left).select(
         *[F.col(f"`{c}`") for c in lcols], *[F.col(f"_f_{c}").alias(c) for c in right_cols])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.stats import nan_to_null
 from fathom.plans import ranks
+from fathom.plans.ordered import lag_by_key
 from fathom.plans.parallel import spread
 
 # Largest number of distinct values one_hot_encode accepts (the profile's
@@ -153,8 +154,12 @@ def time_delta(df: DataFrame, col: str, key: list[str] | None = None, tiebreak:
     out = out or f"{col}_delta_seconds"
     if other:
         return df.withColumn(out, seconds_between(_c(other), _c(col)))
+    if key:
+        # Range slices of (key, time): a hot key is spread over many tasks (see plans.ordered).
+        prev = lag_by_key(df, list(key), [col, *(tiebreak or [])], col, "_prev_ts")
+        return prev.withColumn(out, seconds_between(F.col("_prev_ts"), _c(col))).drop("_prev_ts")
     order = [_c(col)] + [_c(t) for t in (tiebreak or [])]
-    w = Window.partitionBy(*[_c(k) for k in (key or [])]).orderBy(*order)
+    w = Window.orderBy(*order)   # no key: one global sequence
     return df.withColumn(out, seconds_between(F.lag(_c(col)).over(w), _c(col)))
 
 

@@ -30,3 +30,22 @@ def test_dense_index_is_global_rank(spark):
     got = {r["v"]: r["i"] for r in ranks.dense_index(df, "v", "i", num_slices=7).collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(got)))}
     assert len(got) == 1013
+
+
+def test_ordered_ops_across_slices_match_brute_force(spark):
+    from fathom.plans.ordered import lag_by_key, last_non_null_by_key
+    # one hot key with most rows, forced over many slices
+    rows = [(0 if i % 4 else i % 3 + 1, i, (float(i) if i % 5 else None)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t int, v double")
+    lag = {r["t"]: r["p"] for r in lag_by_key(df, ["k"], ["t"], "t", "p", num_slices=9).collect()}
+    ff = {r["t"]: r["_ff_v"] for r in last_non_null_by_key(df, ["k"], ["t"], ["v"], num_slices=9).collect()}
+    by_key = {}
+    for k, t, v in rows:
+        by_key.setdefault(k, []).append((t, v))
+    for k, items in by_key.items():
+        items.sort()
+        last = None
+        for j, (t, v) in enumerate(items):
+            assert lag[t] == (items[j - 1][0] if j else None)
+            last = v if v is not None else last
+            assert ff[t] == last
