@@ -12,6 +12,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     per-row expressions) would then run on one core. Large inputs already have far more
     splits than cores, so for them this is a no-op and adds no shuffle.
     """
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
