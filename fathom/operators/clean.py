@@ -38,9 +38,8 @@ def fit_fill_values(df: DataFrame, strategy: dict[str, object]) -> dict[str, obj
     for col, how in strategy.items():
         if how == "mean":
             aggs.append(F.avg(_c(col)).alias(col))
-        elif how == "mode":
-            aggs.append(F.mode(_c(col), deterministic=True).alias(col))
-        elif how == "median":
+        elif how in ("mode", "median"):
+            pass
             pass
         else:
             literal[col] = how
@@ -51,6 +50,12 @@ def fit_fill_values(df: DataFrame, strategy: dict[str, object]) -> dict[str, obj
     for col, how in strategy.items():
         if how == "median":
             fitted[col] = column_quantiles(df, col, [0.5], ["m"]).first()["m"]
+        elif how == "mode":
+            # Most frequent value (smallest on ties): counted with a distributed groupBy, then a
+            # top-1 that each task computes before one merge - no value map in a single task.
+            top = (df.where(_c(col).isNotNull()).groupBy(_c(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+                   .orderBy(F.desc("_n"), F.asc("_v")).limit(1).collect())
+            fitted[col] = top[0]["_v"] if top else None
     return fitted
 
 
