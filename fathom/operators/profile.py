@@ -129,7 +129,7 @@ def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) ->
         F.count_if("present").cast("bigint").alias("non_null"),
         F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std_dev"), F.skewness("x").alias("_g1"), F.count("x").alias("_nx"),
-        F.max(F.abs("x")).alias("max_abs"), F.max("len").cast("bigint").alias("max_length"),
+        F.max(F.abs("x")).alias("max_abs"), F.max("len").cast("bigint").alias("_maxlen"),
         F.min("t").alias("min_date"), F.max("t").alias("max_date"),
     ]
     if exact:
@@ -145,18 +145,55 @@ def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) ->
     return out.drop("_g1", "_nx")
 
 
-def _value_table(df: DataFrame, cols: list[_Col]) -> DataFrame:
-    """(position, v, x, cnt): distinct non-null values per column with counts.
+def _value_table(df: DataFrame, cols: list[_Col], with_nulls: bool = False) -> DataFrame:
+    """(position, present, v, x, t, cnt): distinct values per column with their counts.
 
-    ``v`` is the value as text, ``x`` its numeric value for numeric columns (for ordering and
-    percentiles). ``groupBy`` combines map-side, so heavy values do not skew the shuffle.
+    ``v`` is the value as text, ``x`` its numeric value (numeric columns), ``t`` its timestamp
+    (temporal columns). With ``with_nulls`` missing values form one group per column
+    (present = false) and nested columns contribute only their present/missing counts, so the
+    table also carries every typed statistic. ``groupBy`` combines map-side: a heavy value
+    costs one row per map task.
     """
     structs = []
     for c in cols:
+        scalar = vt.is_scalar(c.dtype)
         x = c.ref.cast("double") if vt.is_numeric(c.dtype) else F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(c.pos).alias("position"), c.ref.cast("string").alias("v"), x.alias("x")))
-    long = df.select(F.inline(F.array(*structs))).where(F.col("v").isNotNull())
-    return long.groupBy("position", "v", "x").agg(F.count(F.lit(1)).alias("cnt"))
+        t = c.ref.cast("timestamp_ntz") if vt.is_temporal(c.dtype) else F.lit(None).cast("timestamp_ntz")
+        v = c.ref.cast("string") if scalar else F.lit(None).cast("string")
+        structs.append(F.struct(F.lit(c.pos).alias("position"), c.ref.isNotNull().alias("present"),
+                                v.alias("v"), x.alias("x"), t.alias("t")))
+    long = df.select(F.inline(F.array(*structs)))
+    if not with_nulls:
+        long = long.where(F.col("v").isNotNull())
+    return long.groupBy("position", "present", "v", "x", "t").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _typed_from_values(values: DataFrame) -> DataFrame:
+    """The typed statistics of :func:`_typed_pass`, computed from the weighted value table.
+
+    A first small aggregate gives each column's mean (one row per column, broadcast); one more
+    aggregate then takes every other statistic, with central moments sum(cnt * (x - mean)^k)
+    rather than raw power sums, which lose digits when the mean is large next to the spread.
+    """
+    cnt, x = F.col("cnt"), F.col("x")
+    means = values.where(x.isNotNull()).groupBy("position").agg(
+        (F.sum(x * cnt) / F.sum(cnt)).alias("mean"))
+    d = x - F.col("mean")
+    nx = F.sum(F.when(x.isNotNull(), cnt))
+    stats = values.join(F.broadcast(means), "position", "left").groupBy("position").agg(
+        F.sum(cnt).cast("bigint").alias("rows"),
+        F.coalesce(F.sum(F.when(F.col("present"), cnt)), F.lit(0)).cast("bigint").alias("non_null"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.first("mean", ignorenulls=True).alias("mean"),
+        nx.alias("_nx"), F.sum(cnt * d * d).alias("_m2"), F.sum(cnt * d * d * d).alias("_m3"),
+        F.max(F.abs(x)).alias("max_abs"), F.max(F.char_length("v")).cast("bigint").alias("_maxlen"),
+        F.min("t").alias("min_date"), F.max("t").alias("max_date"))
+    n = F.col("_nx").cast("double")
+    g1 = F.when(F.col("_m2") > 0, F.sqrt(n) * F.col("_m3") / F.pow(F.col("_m2"), 1.5))
+    return (stats.withColumn("std_dev", F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))))
+            .withColumn("skewness", sample_skewness(g1, F.col("_nx")))
+            .select("position", "rows", "non_null", "min", "max", "mean", "std_dev", "skewness", "max_abs",
+                    "_maxlen", "min_date", "max_date", F.lit(None).cast("bigint").alias("approx_unique"),
+                    *[F.lit(None).cast("double").alias(a) for a in ("ap25", "ap50", "ap75")]))
 
 
 def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_counts: bool) -> DataFrame:
@@ -189,18 +226,23 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
          for c in cols],
         "position int, column_name string, type string, is_numeric boolean, is_temporal boolean, "
         "_is_string boolean")
-    typed = _typed_pass(df, cols, exact, accuracy)
-
-    value_cols = [c for c in cols if vt.is_scalar(c.dtype)
-                  and (exact or not (vt.is_numeric(c.dtype) or vt.is_temporal(c.dtype)))]
+    if exact:
+        # One scan: every statistic comes from the weighted value table.
+        values = _value_table(df, cols, with_nulls=True)
+        if any(vt.is_numeric(c.dtype) for c in cols):
+            # The value table feeds five branches and the percentile ranks need stable slice
+            # ids: materialise it once, range-partitioned, in the checkpoint folder.
+            values = tagged = ranks.sliced(values, ["position"], ["x", "v"], num_slices)
+        typed = _typed_from_values(values)
+        values = values.where(F.col("v").isNotNull())
+        value_cols = [c for c in cols if vt.is_scalar(c.dtype)]
+    else:
+        typed = _typed_pass(df, cols, exact, accuracy)
+        value_cols = [c for c in cols if vt.is_scalar(c.dtype) and not (vt.is_numeric(c.dtype) or vt.is_temporal(c.dtype))]
+        values = _value_table(df, value_cols) if value_cols else None
     # Every column gets a row, even when the table is empty (then the aggregate has no groups).
     out = meta.join(F.broadcast(typed), "position", "left")  # both sides: one row per column
     if value_cols:
-        values = _value_table(df, value_cols)
-        if exact and any(vt.is_numeric(c.dtype) for c in value_cols):
-            # The value table feeds four branches and the percentile ranks need stable slice ids:
-            # materialise it once, range-partitioned, in the checkpoint folder.
-            values = tagged = ranks.sliced(values, ["position"], ["x", "v"], num_slices)
         uniques = values.groupBy("position").agg(F.count(F.lit(1)).alias("exact_unique"))
         by_count = _first_k(values, TOP_VALUE_COUNT, [F.desc("cnt"), F.asc_nulls_last("x"), F.asc("v")],
                             "value_counts", True)
@@ -261,7 +303,7 @@ def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
         (is_string & (unique < CATEGORICAL_LIMIT)).alias("is_categorical"),
         "min", "max", "mean", "std_dev",
         p25.alias("p25"), p50.alias("p50"), p75.alias("p75"),
-        "skewness", "max_abs", "max_length", "min_date", "max_date",
+        "skewness", "max_abs", F.when(is_string, F.col("_maxlen")).alias("max_length"), "min_date", "max_date",
         F.timestamp_diff("SECOND", F.col("min_date"), F.col("max_date")).cast("bigint").alias("time_span_seconds"),
         examples.alias("examples"),
         F.when(is_string, F.coalesce(F.col("_smallest"), F.array().cast("array<string>"))).alias("distinct_values"),
