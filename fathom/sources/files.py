@@ -22,28 +22,57 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
     A first line ``sep=<c>`` (spreadsheet export hint) is honoured when ``skip_sep_line`` is
     True, or detected when 'auto': its delimiter is used and the header is the next line. That
-    path reads the files as text lines, so it does not support multi-line quoted cells.
+    path parses text lines with ``from_csv`` (so multi-line quoted cells are not supported
+    there) and infers types with one distributed aggregate.
     """
-    opts = dict(header=str(header).lower(), sep=sep, encoding=encoding, nullValue="", emptyValue=None,
+    opts = dict(header=str(header).lower(), sep=sep, encoding=encoding, nullValue="",
                 multiLine=str(multi_line).lower(), mode=mode)
     if skip_sep_line:
-        lines = spark.read.option("encoding", encoding).text(path)
-        first = lines.limit(1).collect()
-        has_sep = bool(first) and first[0]["value"].lstrip("﻿").startswith("sep=")
-        if has_sep or skip_sep_line is True:
-            if has_sep:
-                hint = first[0]["value"].lstrip("﻿")[4:5]
-                opts["sep"] = hint or sep
-            marker = first[0]["value"] if first else None
-            body = lines.where(F.col("value") != F.lit(marker)) if marker is not None else lines
-            reader = spark.read.options(**{k: v for k, v in opts.items() if v is not None and k != "encoding"})
-            reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", str(infer_schema).lower())
-            return _strip_names(reader.csv(body.rdd.map(lambda r: r[0])))
-    reader = spark.read.options(**{k: v for k, v in opts.items() if v is not None})
+        first = spark.read.option("encoding", encoding).text(path).limit(2).collect()
+        hint_line = first[0]["value"].lstrip("\ufeff") if first else ""
+        if hint_line.startswith("sep=") and len(first) == 2:
+            return _read_csv_after_hint(spark, path, hint_line, first[1]["value"], schema, encoding,
+                                        infer_schema, mode)
+    reader = spark.read.options(**opts)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", str(infer_schema).lower())
     return _strip_names(reader.csv(path))
 
 
+# Candidate types tried, narrowest first, when inferring the columns of a hinted CSV.
+INFER_ORDER = ("int", "bigint", "double", "boolean", "timestamp")
+
+
+def _read_csv_after_hint(spark: SparkSession, path: str, hint_line: str, header_line: str, schema,
+                         encoding: str, infer: bool, mode: str) -> DataFrame:
+    import csv as _csv
+    delim = hint_line[4:5] or ","
+    names = [n.strip() for n in next(_csv.reader([header_line], delimiter=delim))]
+    lines = spark.read.option("encoding", encoding).text(path).select(F.col("value"))
+    body = lines.where((F.col("value") != F.lit(hint_line)) & (F.col("value") != F.lit(header_line))
+                       & (F.col("value") != F.lit("\ufeff" + hint_line)))
+    opts = {"sep": delim, "nullValue": "", "mode": mode}
+    if schema is not None:
+        st = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+        parsed = body.select(F.from_csv("value", st.simpleString(), opts).alias("_r")).select("_r.*")
+        return parsed.toDF(*[f.name for f in st.fields])
+    text_schema = ", ".join(f"`_c{i}` string" for i in range(len(names)))
+    parsed = body.select(F.from_csv("value", text_schema, opts).alias("_r")).select("_r.*")
+    if not infer:
+        return parsed.toDF(*names)
+    # One aggregate over all rows: for each column and candidate type, does every value cast?
+    checks = [F.count_if(F.col(f"_c{i}").isNotNull() & F.col(f"_c{i}").try_cast(t).isNull()).alias(f"{i}_{t}")
+              for i in range(len(names)) for t in INFER_ORDER]
+    checks += [F.count(F.col(f"_c{i}")).alias(f"{i}_present") for i in range(len(names))]
+    bad = parsed.agg(*checks).first().asDict()   # one bounded row
+    cols = []
+    for i, name in enumerate(names):
+        chosen = "string" if bad[f"{i}_present"] == 0 else next(
+            (t for t in INFER_ORDER if bad[f"{i}_{t}"] == 0), "string")
+        c = F.col(f"_c{i}")
+        cols.append((c if chosen == "string" else c.try_cast(chosen)).alias(name))
+    return parsed.select(*cols)
+
+
 def _strip_names(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c.strip()) for c in df.columns])
 

@@ -17,6 +17,10 @@ def test_csv_sep_line_quotes_and_blanks(spark, tmp_path):
     assert rows[0]["b"] == "x;y" and rows[0]["c"] is None
     assert rows[1]["b"] is None and rows[1]["c"] == 3
     assert rows[2]["b"] is None and rows[2]["c"] is None
+    assert dict(df.dtypes) == {"a": "int", "b": "string", "c": "int"}
+    empty = tmp_path / "e.csv"
+    empty.write_text("sep=,\nk,blank\n1,\n2,\n")
+    assert dict(read_csv(spark, str(empty)).dtypes) == {"k": "int", "blank": "string"}
 
 
 def test_csv_plain(spark, tmp_path):
