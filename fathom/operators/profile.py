@@ -41,6 +41,9 @@ SKEW_LIMIT = 2.0                # skewness above this raises a warning
 EXAMPLE_COUNT = 3
 DISTINCT_VALUE_COUNT = 10
 TOP_VALUE_COUNT = 5
+# Approximate mode: only columns with at most this many (estimated) distinct values get the
+# value pass; its shuffle grows with distinct values per map task.
+APPROX_VALUE_PASS_LIMIT = 1000
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -137,11 +140,15 @@ def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) ->
         aggs += [F.lit(None).cast("double").alias(n) for n in ("ap25", "ap50", "ap75")]
     else:
         q = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-        aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("approx_unique"), q.alias("_q")]
+        aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("approx_unique"), q.alias("_q"),
+                 F.min(F.when(F.col("len").isNotNull(), F.col("v"))).alias("_vmin"),
+                 F.max(F.when(F.col("len").isNotNull(), F.col("v"))).alias("_vmax")]
     out = long.groupBy("position").agg(*aggs)
     out = out.withColumn("skewness", sample_skewness(F.col("_g1"), F.col("_nx")))
     if not exact:
         out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["ap25", "ap50", "ap75"])]).drop("_q")
+    else:
+        out = out.withColumn("_vmin", F.lit(None).cast("string")).withColumn("_vmax", F.lit(None).cast("string"))
     return out.drop("_g1", "_nx")
 
 
@@ -193,6 +200,7 @@ def _typed_from_values(values: DataFrame) -> DataFrame:
             .withColumn("skewness", sample_skewness(g1, F.col("_nx")))
             .select("position", "rows", "non_null", "min", "max", "mean", "std_dev", "skewness", "max_abs",
                     "_maxlen", "min_date", "max_date", F.lit(None).cast("bigint").alias("approx_unique"),
+                    F.lit(None).cast("string").alias("_vmin"), F.lit(None).cast("string").alias("_vmax"),
                     *[F.lit(None).cast("double").alias(a) for a in ("ap25", "ap50", "ap75")]))
 
 
@@ -238,7 +246,13 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
         value_cols = [c for c in cols if vt.is_scalar(c.dtype)]
     else:
         typed = _typed_pass(df, cols, exact, accuracy)
-        value_cols = [c for c in cols if vt.is_scalar(c.dtype) and not (vt.is_numeric(c.dtype) or vt.is_temporal(c.dtype))]
+        # The sketch counts decide which columns are worth a value pass: one row per column
+        # reaches the driver, and is reused below instead of recomputing the typed pass.
+        typed_rows = typed.collect()
+        typed = spark.createDataFrame(typed_rows, typed.schema)
+        estimate = {r["position"]: r["approx_unique"] or 0 for r in typed_rows}
+        value_cols = [c for c in cols if (vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
+                      and estimate.get(c.pos, 0) <= APPROX_VALUE_PASS_LIMIT]
         values = _value_table(df, value_cols) if value_cols else None
     # Every column gets a row, even when the table is empty (then the aggregate has no groups).
     out = meta.join(F.broadcast(typed), "position", "left")  # both sides: one row per column
@@ -274,8 +288,8 @@ def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
     null_pct = F.round(pct, 1)
     examples = F.coalesce(F.slice(F.col("_smallest"), 1, EXAMPLE_COUNT),
                           F.array_compact(F.array_distinct(F.array(
-                              F.coalesce(F.col("min").cast("string"), F.col("min_date").cast("string")),
-                              F.coalesce(F.col("max").cast("string"), F.col("max_date").cast("string"))))))
+                              F.coalesce(F.col("min").cast("string"), F.col("min_date").cast("string"), F.col("_vmin")),
+                              F.coalesce(F.col("max").cast("string"), F.col("max_date").cast("string"), F.col("_vmax"))))))
     examples = F.when(F.col("type").isin(vt.MIXED, vt.EMPTY), F.array().cast("array<string>")).otherwise(
         F.coalesce(examples, F.array().cast("array<string>")))
     is_string = F.col("_is_string")

@@ -94,3 +94,12 @@ def test_sample_rows_and_many(spark):
     both = profile_tables({"a": df, "b": df.selectExpr("id * 2 AS y")})
     assert sorted((r["table_name"], r["column_name"]) for r in both.collect()) == [("a", "id"), ("b", "y")]
     assert table_counts(df, "a").first()["columns"] == 1
+
+
+def test_approximate_mode_skips_value_pass_for_high_cardinality_text(spark):
+    df = spark.range(0, 3000).select(F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text"),
+                                     (F.col("id") % 3).cast("string").alias("kind"))
+    p = by_name(profile(df, exact=False))
+    assert p["text"]["value_counts"] is None and p["text"]["examples"] == ["doc 0", "doc 999"]
+    assert abs(p["text"]["unique_count"] - 3000) < 150 and not p["text"]["is_categorical"]
+    assert [v["value"] for v in p["kind"]["value_counts"]] == ["0", "1", "2"]
