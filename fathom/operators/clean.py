@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from fathom.functions.stats import nan_to_null
 from fathom.plans.parallel import spread
+from fathom.session import reliable_checkpoint
 from fathom.plans.quantiles import column_quantiles
 
 
@@ -248,6 +249,10 @@ def clean(df: DataFrame, rules: CleanRules | None = None):
         cur = nxt
     if rules.dedup:
         nxt = drop_duplicates(cur, subset=rules.dedup_subset)
+        if rules.outlier_cols:
+            # The outlier fit, the output and the report all read the deduplicated rows: write
+            # them once to the shared checkpoint folder instead of repeating the dedup shuffle.
+            nxt = reliable_checkpoint(nxt)
         parts.append(_step_row("drop_duplicates", ",".join(rules.dedup_subset or []) or None, cur, nxt))
         cur = nxt
     for col, how in rules.outlier_cols.items():
