@@ -326,11 +326,13 @@ def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
     )
 
 
-def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], exact: bool = True,
+                   errors: list | None = None) -> DataFrame:
     """Profiles of several tables in one DataFrame (one row per table and column).
 
-    A table whose profile cannot even be planned (for example a bad schema) is skipped, like a
-    sheet that fails to load; the names of skipped tables are in ``profile_tables.skipped``.
+    A table whose profile cannot be planned (for example an unreadable source) is skipped, like
+    a sheet that fails to load; ``(name, message)`` of each skipped table is appended to
+    ``errors`` when a list is given.
     """
     parts, skipped = [], []
     for name, df in tables.items():
@@ -338,7 +340,8 @@ def profile_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFram
             parts.append(profile(df, table_name=name, exact=exact))
         except Exception as exc:  # noqa: BLE001 - planning error of one table only
             skipped.append((name, str(exc)))
-    profile_tables.skipped = skipped
+    if errors is not None:
+        errors.extend(skipped)
     if not parts:
         raise ValueError(f"no table could be profiled: {skipped}")
     result = parts[0]

@@ -302,3 +302,36 @@ register("scan_text", _scan_sql("documents", "doc_id", "text"))(
     lambda spark, d: scan_text(table(spark, d, "documents"), "doc_id", "text"))
 register("scan_text_pages", _scan_sql("pages", "page_id", "html"))(
     lambda spark, d: scan_text(table(spark, d, "pages"), "page_id", "html"))
+
+# ------------------------------------------------------------------ full outer join, cube, range frame
+_URG = "o_orderpriority = '1-URGENT'"
+register("query_join_full", f"""
+SELECT a.o_custkey AS cust_1995, b.o_custkey AS cust_1996
+FROM (SELECT DISTINCT o_custkey FROM orders WHERE {_URG} AND {_Y95}) a
+FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders WHERE {_URG} AND {_Y96}) b ON a.o_custkey = b.o_custkey""")(
+    lambda spark, d: table(spark, d, "orders").where(f"{_URG} AND {_Y95}").select(F.col("o_custkey").alias("cust_1995"))
+    .distinct().join(table(spark, d, "orders").where(f"{_URG} AND {_Y96}").select(F.col("o_custkey").alias("cust_1996"))
+                     .distinct(), F.col("cust_1995") == F.col("cust_1996"), "full"))
+
+register("query_cube", f"""
+SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus)::BIGINT AS gid,
+       {sql_rnd("sum(l_extendedprice)", 2)} AS revenue, count(*) AS n
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")(
+    lambda spark, d: table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(
+        F.grouping_id().cast("bigint").alias("gid"), rnd(F.sum("l_extendedprice"), 2).alias("revenue"),
+        F.count(F.lit(1)).alias("n")))
+
+
+def _range_frame(spark, d):
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-3_600_000_000, 0)
+    return table(spark, d, "events").select(
+        "event_id", "user_id", rnd(F.sum("value").over(w), 4).alias("value_last_hour"),
+        F.count(F.lit(1)).over(w).alias("events_last_hour"))
+
+
+register("query_range_frame", f"""
+SELECT event_id, user_id,
+       {sql_rnd("sum(value) OVER w", 4)} AS value_last_hour, count(*) OVER w AS events_last_hour
+FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""")(_range_frame)
