@@ -49,3 +49,56 @@ def last_non_null_by_key(df: DataFrame, keys: list[str], order: list[str], cols:
     joined = local.join(carry, [*keys, SLICE], "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns],
                          *[F.coalesce(f"_loc_{c}", f"_carry_{c}").alias(prefix + c) for c in cols])
+
+
+def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, lags: int = 0, leads: int = 0,
+                  running_sum: str | None = None, prefix: str = "", num_slices: int | None = None) -> DataFrame:
+    """Row-frame window results per key without a key-sized task.
+
+    Adds ``{prefix}lag{j}`` (j = 1..lags), ``{prefix}lead{j}`` (j = 1..leads) and, when named,
+    ``running_sum`` (sum of ``col`` from the key's first row to the current one). ``order``
+    must order the rows of a key totally. Inside a slice, ordinary windows over (key, slice)
+    answer; rows near a slice edge take the missing neighbours from the last (first) ``k``
+    values of the ``k`` previous (next) slices of the key - each such slice holds at least one
+    row of the key, so ``k`` slices always suffice - and the running sum adds the totals of the
+    key's earlier slices. Every per-key structure has at most one row per slice.
+    """
+    tagged = ranks.sliced(df, keys, order, num_slices)
+    asc = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    desc = Window.partitionBy(*keys, SLICE).orderBy(*[F.desc(o) for o in order])
+    cur = tagged.withColumn("_rn", F.row_number().over(asc)).withColumn("_rd", F.row_number().over(desc))
+    by_slice = Window.partitionBy(*keys).orderBy(SLICE)
+    summaries = []
+    k_back, k_fwd = lags, leads
+    if k_back or k_fwd:
+        edge = cur.where((F.col("_rd") <= k_back) | (F.col("_rn") <= k_fwd))
+        per = edge.groupBy(*keys, SLICE).agg(
+            F.array_sort(F.collect_list(F.when(F.col("_rd") <= k_back, F.struct(F.col("_rn"), F.col(col).alias("v")))))
+            .alias("_tail"),
+            F.array_sort(F.collect_list(F.when(F.col("_rn") <= k_fwd, F.struct(F.col("_rn"), F.col(col).alias("v")))))
+            .alias("_head"))
+        per = per.select(*keys, SLICE, F.transform("_tail", lambda s: s["v"]).alias("_tail"),
+                         F.transform("_head", lambda s: s["v"]).alias("_head"))
+        cols = [*keys, SLICE]
+        if k_back:
+            cols.append(F.flatten(F.collect_list("_tail").over(by_slice.rowsBetween(-k_back, -1))).alias("_before"))
+        if k_fwd:
+            cols.append(F.flatten(F.collect_list("_head").over(by_slice.rowsBetween(1, k_fwd))).alias("_after"))
+        summaries.append(per.select(*cols))
+    if running_sum:
+        totals = tagged.groupBy(*keys, SLICE).agg(F.sum(col).alias("_total"))
+        summaries.append(totals.select(*keys, SLICE, F.coalesce(
+            F.sum("_total").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry_sum")))
+    for s in summaries:
+        cur = cur.join(s, [*keys, SLICE], "left")
+    out = [F.col(f"`{c}`") for c in df.columns]
+    for j in range(1, lags + 1):
+        from_before = F.try_element_at("_before", F.lit(-1) * (F.lit(j) - F.col("_rn") + 1))
+        out.append(F.when(F.col("_rn") > j, F.lag(col, j).over(asc)).otherwise(from_before).alias(f"{prefix}lag{j}"))
+    for j in range(1, leads + 1):
+        from_after = F.try_element_at("_after", F.lit(j) - F.col("_rd") + 1)
+        out.append(F.when(F.col("_rd") > j, F.lead(col, j).over(asc)).otherwise(from_after).alias(f"{prefix}lead{j}"))
+    if running_sum:
+        local = F.sum(col).over(asc.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out.append((F.col("_carry_sum") + local).alias(running_sum))
+    return cur.select(*out)
