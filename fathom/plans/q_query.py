@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathom.operators import query as Q
 from fathom.operators.scan import DENY_REASONS, scan_text
 from fathom.operators.udf import apply_batches, apply_groups
-from fathom.plans.ordered import window_by_key
+from fathom.plans.ordered import rank_by_key, window_by_key
 from fathom.plans.contract import register, rnd, sql_rnd, table
 
 # ------------------------------------------------------------------ A1 SQL over named tables
@@ -158,12 +158,10 @@ SELECT c_custkey, c_nationkey,
        rank() OVER w AS rnk, dense_rank() OVER w AS dense_rnk,
        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS row_num
 FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)""")(
-    lambda spark, d: table(spark, d, "customer").select(
-        "c_custkey", "c_nationkey",
-        F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).alias("rnk"),
-        F.dense_rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).alias("dense_rnk"),
-        F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
-        .alias("row_num")))
+    # Ranks per nation over range slices (plans.ordered.rank_by_key): no nation-sized task.
+    lambda spark, d: rank_by_key(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"),
+                                 ["c_nationkey"], "c_acctbal", descending=True, tiebreak=["c_custkey"])
+    .select("c_custkey", "c_nationkey", "rnk", "dense_rnk", "row_num"))
 
 
 def _rolling(spark, d):

@@ -29,7 +29,7 @@ def _num_slices(df: DataFrame, num_slices: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str], num_slices: int | None = None) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list, num_slices: int | None = None) -> DataFrame:
     """Range-partition by ``keys + order`` and tag rows with their slice id (checkpointed)."""
     n = _num_slices(df, num_slices)
     tagged = df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
@@ -44,13 +44,18 @@ def slice_offsets(tagged: DataFrame, keys: list[str], weight: str | None) -> Dat
     return per.withColumn("_slice_start", F.sum("_slice_weight").over(running) - F.col("_slice_weight"))
 
 
-def with_running_weight(tagged: DataFrame, offsets: DataFrame, keys: list[str], order: list[str],
-                        weight: str | None) -> DataFrame:
-    """Add ``_rank_start``/``_rank_end``: 0-based global cumulative weight before/after each row."""
+def with_running_weight(tagged: DataFrame, offsets: DataFrame, keys: list[str], order: list,
+                        weight: str | None, broadcast_offsets: bool = True) -> DataFrame:
+    """Add ``_rank_start``/``_rank_end``: 0-based global cumulative weight before/after each row.
+
+    ``offsets`` has one row per (key, slice); broadcast it only when the number of keys is
+    bounded (columns of a profile, one dictionary), otherwise it is joined by shuffle.
+    """
     w = F.col(weight) if weight else F.lit(1)
     local = (Window.partitionBy(*keys, SLICE).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = tagged.join(F.broadcast(offsets.select(*keys, SLICE, "_slice_start")), [*keys, SLICE])
+    off = offsets.select(*keys, SLICE, "_slice_start")
+    joined = tagged.join(F.broadcast(off) if broadcast_offsets else off, [*keys, SLICE])
     end = F.col("_slice_start") + F.sum(w).over(local)
     return (joined.withColumn("_rank_end", end.cast("bigint"))
             .withColumn("_rank_start", (F.col("_rank_end") - w).cast("bigint"))

@@ -71,3 +71,16 @@ def test_window_by_key_matches_brute_force(spark):
             assert r["lead1"] == (items[j + 1][1] if j + 1 < len(items) else None)
             assert r["lead2"] == (items[j + 2][1] if j + 2 < len(items) else None)
             assert abs(r["rs"] - run) < 1e-9
+
+
+def test_rank_by_key_matches_sql_windows(spark):
+    from pyspark.sql import Window
+    from fathom.plans.ordered import rank_by_key
+    rows = [(0 if i % 4 else i % 3 + 1, i, float((i * 7) % 13) if i % 17 else None) for i in range(260)]
+    df = spark.createDataFrame(rows, "k int, id int, v double")
+    got = {r["id"]: (r["row_num"], r["rnk"], r["dense_rnk"])
+           for r in rank_by_key(df, ["k"], "v", descending=True, tiebreak=["id"], num_slices=9).collect()}
+    w = Window.partitionBy("k").orderBy(F.desc("v"))
+    ref = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "id")).alias("a"),
+                    F.rank().over(w).alias("b"), F.dense_rank().over(w).alias("c")).collect()
+    assert got == {r["id"]: (r["a"], r["b"], r["c"]) for r in ref}
