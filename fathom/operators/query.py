@@ -57,27 +57,31 @@ def summary(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
-              right_cols: list[str], strict: bool = False) -> DataFrame:
+              right_cols: list[str], strict: bool = False, right_tiebreak: str | None = None) -> DataFrame:
     """Each left row gets ``right_cols`` of the latest right row of the same key at or before
     its time (before it when ``strict``); NULL when none exists. Left rows are all kept.
 
     Planned as a union of both sides and ``last(..., ignorenulls)`` over the key ordered by time,
-    right rows placed before left rows of equal time unless ``strict``.
+    right rows placed before left rows of equal time unless ``strict``. Among right rows of
+    equal time the one with the largest ``right_tiebreak`` wins (else an arbitrary one).
     """
     side_right = 1 if strict else 0
     side_left = 0 if strict else 1
     lcols = left.columns
     l = left.select(*[F.col(f"`{c}`") for c in lcols],
                     F.col(f"`{left_on}`").alias("_t"), F.lit(side_left).alias("_side"),
+                    F.lit(None).cast(right.schema[right_tiebreak].dataType if right_tiebreak else "int").alias("_o"),
                     *[F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in right_cols])
     r_other = [c for c in lcols if c not in by]
     r = right.select(*[F.col(f"`{b}`") for b in by],
                      *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in r_other],
                      F.col(f"`{right_on}`").alias("_t"), F.lit(side_right).alias("_side"),
+                     (F.col(f"`{right_tiebreak}`") if right_tiebreak else F.lit(None).cast("int")).alias("_o"),
                      *[F.col(f"`{c}`").alias(f"_r_{c}") for c in right_cols])
     both = l.unionByName(r.select(*l.columns))
     # last(..., ignorenulls) per key over range slices of (key, time): no key-sized task.
-    filled = last_non_null_by_key(both, list(by), ["_t", "_side"], [f"_r_{c}" for c in right_cols], prefix="_f_")
+    filled = last_non_null_by_key(both, list(by), ["_t", "_side", "_o"], [f"_r_{c}" for c in right_cols],
+                                  prefix="_f_")
     filled = filled.select("*", *[F.col(f"_f__r_{c}").alias(f"_f_{c}") for c in right_cols])
     return filled.where(F.col("_side") == side_left).select(
         *[F.col(f"`{c}`") for c in lcols], *[F.col(f"_f_{c}").alias(c) for c in right_cols])

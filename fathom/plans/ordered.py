@@ -52,11 +52,13 @@ def last_non_null_by_key(df: DataFrame, keys: list[str], order: list[str], cols:
 
 
 def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, lags: int = 0, leads: int = 0,
-                  running_sum: str | None = None, prefix: str = "", num_slices: int | None = None) -> DataFrame:
+                  running_sum: str | None = None, prefix: str = "", num_slices: int | None = None,
+                  running_sums: dict[str, str] | None = None) -> DataFrame:
     """Row-frame window results per key without a key-sized task.
 
     Adds ``{prefix}lag{j}`` (j = 1..lags), ``{prefix}lead{j}`` (j = 1..leads) and, when named,
-    ``running_sum`` (sum of ``col`` from the key's first row to the current one). ``order``
+    ``running_sum`` (sum of ``col`` from the key's first row to the current one); ``running_sums``
+    maps further output names to the columns they sum. ``order``
     must order the rows of a key totally. Inside a slice, ordinary windows over (key, slice)
     answer; rows near a slice edge take the missing neighbours from the last (first) ``k``
     values of the ``k`` previous (next) slices of the key - each such slice holds at least one
@@ -85,10 +87,15 @@ def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, la
         if k_fwd:
             cols.append(F.flatten(F.collect_list("_head").over(by_slice.rowsBetween(1, k_fwd))).alias("_after"))
         summaries.append(per.select(*cols))
+    sums = dict(running_sums or {})
     if running_sum:
-        totals = tagged.groupBy(*keys, SLICE).agg(F.sum(col).alias("_total"))
-        summaries.append(totals.select(*keys, SLICE, F.coalesce(
-            F.sum("_total").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry_sum")))
+        sums[running_sum] = col
+    if sums:
+        outs = list(sums)
+        totals = tagged.groupBy(*keys, SLICE).agg(*[F.sum(sums[o]).alias(f"_total{i}") for i, o in enumerate(outs)])
+        earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+        summaries.append(totals.select(*keys, SLICE, *[
+            F.coalesce(F.sum(f"_total{i}").over(earlier), F.lit(0)).alias(f"_carry{i}") for i in range(len(outs))]))
     for s in summaries:
         cur = cur.join(s, [*keys, SLICE], "left")
     out = [F.col(f"`{c}`") for c in df.columns]
@@ -98,9 +105,9 @@ def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, la
     for j in range(1, leads + 1):
         from_after = F.try_element_at("_after", F.lit(j) - F.col("_rd") + 1)
         out.append(F.when(F.col("_rd") > j, F.lead(col, j).over(asc)).otherwise(from_after).alias(f"{prefix}lead{j}"))
-    if running_sum:
-        local = F.sum(col).over(asc.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        out.append((F.col("_carry_sum") + local).alias(running_sum))
+    upto = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for i, o in enumerate(sums):
+        out.append((F.col(f"_carry{i}") + F.sum(sums[o]).over(upto)).alias(o))
     return cur.select(*out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathom.operators import query as Q
+from fathom.operators.query import asof_join
 from fathom.operators.scan import DENY_REASONS, scan_text
 from fathom.operators.udf import apply_batches, apply_groups
 from fathom.plans.ordered import rank_by_key, window_by_key
@@ -326,11 +327,24 @@ FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")(
 
 
 def _range_frame(spark, d):
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-3_600_000_000, 0)
-    return table(spark, d, "events").select(
-        "event_id", "user_id", rnd(F.sum("value").over(w), 4).alias("value_last_hour"),
-        F.count(F.lit(1)).over(w).alias("events_last_hour"))
+    """Sum and count over the user's last hour (RANGE frame), skew-safe.
+
+    Exact (decimal) running sums and counts per user come from range slices; each event then
+    looks up, by two as-of joins, the running totals at its own time (peers included) and just
+    before its time minus one hour; the frame is the difference.
+    """
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts", F.col("value").cast("decimal(38,10)").alias("dv"))
+    pre = window_by_key(ev.withColumn("one", F.lit(1).cast("bigint")), ["user_id"], ["ts", "event_id"], "dv",
+                        running_sums={"S": "dv", "C": "one"}).select("user_id", "ts", "event_id", "S", "C")
+    left = ev.select("event_id", "user_id", "ts", (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("ts_low"))
+    upper = asof_join(left, pre.select("user_id", "ts", F.col("event_id").alias("_eid"), "S", "C"),
+                      ["user_id"], "ts", "ts", ["S", "C"], right_tiebreak="_eid")
+    both = asof_join(upper.withColumnRenamed("S", "S_up").withColumnRenamed("C", "C_up"),
+                     pre.select("user_id", "ts", "S", "C"), ["user_id"], "ts_low", "ts", ["S", "C"], strict=True)
+    return both.select(
+        "event_id", "user_id",
+        rnd((F.col("S_up") - F.coalesce("S", F.lit(0))).cast("double"), 4).alias("value_last_hour"),
+        (F.col("C_up") - F.coalesce("C", F.lit(0))).cast("bigint").alias("events_last_hour"))
 
 
 register("query_range_frame", f"""
