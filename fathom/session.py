@@ -57,6 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The configured shared folder itself (``spark.checkpoint.dir``), stable across restarts.
+
+    ``checkpoint_dir`` adds a per-application sub-folder; state that must survive a restart
+    (a streaming query's progress) belongs directly under this root.
+    """
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
+        "spark.checkpoint.dir", None)
+    return configured or checkpoint_dir(spark)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder; return it re-read.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fathom.operators.scan import scan_text
-from fathom.session import checkpoint_dir
+from fathom.session import shared_root
 
 
 def screen_text_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str, id_col: str,
@@ -20,7 +22,9 @@ def screen_text_stream(spark: SparkSession, source_dir: str, schema: T.StructTyp
     """
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
     hits = scan_text(stream, id_col, text_col, tokens)
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/fathom-stream-{abs(hash((source_dir, sink_dir)))}"
+    # A stable name (not Python's per-process hash) so that a restarted query finds its progress.
+    digest = hashlib.sha1(f"{source_dir}\n{sink_dir}".encode()).hexdigest()[:16]
+    location = checkpoint or f"{shared_root(spark).rstrip('/')}/fathom-stream-{digest}"
     writer = hits.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
