@@ -10,7 +10,7 @@ target rank are ranked row by row (see :mod:`fathom.plans.ranks`).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.plans import ranks
@@ -34,28 +34,34 @@ def weighted_quantiles_tagged(tagged: DataFrame, key: str, value: str, weight: s
     """
     tagged = tagged.where(F.col(value).isNotNull())
     offsets = ranks.slice_offsets(tagged, [key], weight)
-    totals = offsets.groupBy(key).agg(F.sum("_slice_weight").alias("_n"))
+    # Total weight per key in the same window pass as the offsets (one row per key and slice).
+    offsets = offsets.withColumn("_n", F.sum("_slice_weight").over(Window.partitionBy(key)))
 
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (totals.select(key, "_n", F.posexplode(probs_arr).alias("_qi", "_p"))
+    targets = (offsets.where(F.col("_slice_start") == 0).select(key, "_n", F.posexplode(probs_arr).alias("_qi", "_p"))
                .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("_p"))
                .withColumn("_r", F.explode(F.array_distinct(F.array(
                    F.floor("_h").cast("bigint"), F.ceil("_h").cast("bigint"))))))
     # The slice holding each target rank: both sides are bounded by keys x slices.
-    located = (targets.join(F.broadcast(offsets), [key])
+    located = (targets.join(F.broadcast(offsets.select(key, ranks.SLICE, "_slice_start", "_slice_weight")), [key])
                .where((F.col("_r") >= F.col("_slice_start"))
                       & (F.col("_r") < F.col("_slice_start") + F.col("_slice_weight")))
                .select(key, "_qi", "_h", "_r", ranks.SLICE))
-    needed = located.select(key, ranks.SLICE).distinct()
-    subset = tagged.join(F.broadcast(needed), [key, ranks.SLICE], "left_semi")
+    subset = tagged.join(F.broadcast(located.select(key, ranks.SLICE)), [key, ranks.SLICE], "left_semi")
     ranked = ranks.with_running_weight(subset, offsets, [key], [value], weight)
     hits = (ranked.join(F.broadcast(located), [key, ranks.SLICE])
             .where((F.col("_r") >= F.col("_rank_start")) & (F.col("_r") < F.col("_rank_end"))))
-    per_q = (hits.groupBy(key, "_qi", "_h")
-             .agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-             .withColumn("_q", F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))))
-    return per_q.groupBy(key).agg(*[
-        F.max(F.when(F.col("_qi") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)])
+    # One aggregate: the two neighbouring order statistics of every probability, then interpolate.
+    aggs = []
+    for i in range(len(probs)):
+        mine = F.col("_qi") == i
+        aggs += [F.min(F.when(mine, F.col(value))).cast("double").alias(f"_lo{i}"),
+                 F.max(F.when(mine, F.col(value))).cast("double").alias(f"_hi{i}"),
+                 F.max(F.when(mine, F.col("_h"))).alias(f"_h{i}")]
+    per_key = hits.groupBy(key).agg(*aggs)
+    return per_key.select(key, *[
+        (F.col(f"_lo{i}") + (F.col(f"_h{i}") - F.floor(f"_h{i}")) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(name)
+        for i, name in enumerate(names)])
 
 
 def column_quantiles(df: DataFrame, column: str, probs: list[float], names: list[str],
