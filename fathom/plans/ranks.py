@@ -23,16 +23,17 @@ from fathom.session import reliable_checkpoint
 SLICE = "_slice"
 
 
-def _num_slices(df: DataFrame, num_slices: int | None) -> int:
-    if num_slices:
-        return int(num_slices)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def sliced(df: DataFrame, keys: list[str], order: list, num_slices: int | None = None) -> DataFrame:
-    """Range-partition by ``keys + order`` and tag rows with their slice id (checkpointed)."""
-    n = _num_slices(df, num_slices)
-    tagged = df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    """Range-partition by ``keys + order`` and tag rows with their slice id (checkpointed).
+
+    Without ``num_slices`` the exchange uses ``spark.sql.shuffle.partitions`` and adaptive
+    execution merges neighbouring ranges up to the advisory partition size, so the number of
+    slices follows the data: one for a small table, many for a large one. Merged ranges stay
+    contiguous and in order, which is all the slice ids must guarantee.
+    """
+    cols = [*keys, *order]
+    ranged = df.repartitionByRange(int(num_slices), *cols) if num_slices else df.repartitionByRange(*cols)
+    tagged = ranged.withColumn(SLICE, F.spark_partition_id())
     return reliable_checkpoint(tagged)
 
 
