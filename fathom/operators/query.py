@@ -30,10 +30,14 @@ def run_query(spark: SparkSession, tables: dict[str, DataFrame],
     return spark.sql(query)
 
 
-def result_records(df: DataFrame, limit: int | None = RESULT_ROW_LIMIT) -> list[dict]:
-    """The first ``limit`` rows as dicts; only this bounded slice reaches the driver."""
-    rows = df.limit(limit).collect() if limit is not None else df.collect()
-    return [r.asDict(recursive=True) for r in rows]
+def result_records(df: DataFrame, limit: int = RESULT_ROW_LIMIT) -> list[dict]:
+    """The first ``limit`` rows as dicts; only this bounded slice reaches the driver.
+
+    There is no "everything" option: whole results are written with a sink, not collected.
+    """
+    if limit is None or int(limit) < 0:
+        raise ValueError("result_records needs a row limit; write whole results with a sink")
+    return [r.asDict(recursive=True) for r in df.limit(int(limit)).collect()]
 
 
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
