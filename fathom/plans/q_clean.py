@@ -158,3 +158,10 @@ SELECT position, column_name, data_type, (SELECT count(*) FROM dd) AS rows
 FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'), (2, 'user_id', 'bigint'),
              (3, 'event_type', 'string'), (4, 'value', 'double')) AS t(position, column_name, data_type)""")(
     lambda spark, d: C.describe_output(C.clean(dirty_events(spark, d), CLEAN_RULES)[0]))
+
+# C2 with a median fill
+register("clean_fill_median", f"""
+SELECT event_id, ts, user_id, event_type,
+       {sql_rnd("coalesce(value, (SELECT quantile_cont(value, 0.5) FROM " + DIRTY + " AS m))", 4)} AS value
+FROM {DIRTY} AS d""")(
+    lambda spark, d: C.fill_nulls(dirty_events(spark, d), {"value": "median"}).withColumn("value", rnd("value", 4)))

@@ -245,3 +245,19 @@ def _many_sql() -> str:
 register("profile_many", _many_sql())(
     lambda spark, d: profile_tables({t: table(spark, d, t) for t in ALL_TABLES}).select(
         "table_name", "column_name", "type", "rows", "null_count", "unique_count"))
+
+
+# ------------------------------------------------------------------ approximate mode, exact fields
+def _approx_profiles(spark, d):
+    return _union([profile(dirty_events(spark, d) if n == "events_dirty" else table(spark, d, n), n, exact=False)
+                   for n in NULL_TABLES])
+
+
+register("profile_approx", _per_column(
+    NULL_TABLES, ALL_KINDS,
+    "count(*)::BIGINT AS rows, (count(*) - count({c}))::BIGINT AS null_count, "
+    + f"{sql_rnd('min(TRY_CAST({c} AS DOUBLE))')} AS min, {sql_rnd('max(TRY_CAST({c} AS DOUBLE))')} AS max, "
+    + f"{sql_rnd('avg(TRY_CAST({c} AS DOUBLE))')} AS mean"))(
+    lambda spark, d: _approx_profiles(spark, d).select(
+        "table_name", "column_name", "rows", "null_count", rnd("min").alias("min"), rnd("max").alias("max"),
+        rnd("mean").alias("mean")))

@@ -84,3 +84,12 @@ SELECT event_id, date_trunc('hour', ts) AS ts_hour, time_bucket(INTERVAL '15 min
     lambda spark, d: X.time_binning(
         X.time_binning(table(spark, d, _EV), "ts", unit="hour", out="ts_hour"), "ts", width="15 minutes",
         out="ts_15min").select("event_id", "ts_hour", "ts_15min"))
+
+register("t_time_delta_between", f"""
+SELECT l_orderkey, l_linenumber, {sql_rnd("date_sub('microsecond', o_orderdate, l_shipdate) / 1e6", 1)}
+         AS ship_delay_seconds
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")(
+    lambda spark, d: X.time_delta(
+        table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")),
+        "l_shipdate", other="o_orderdate", out="ship_delay_seconds").select(
+        "l_orderkey", "l_linenumber", rnd("ship_delay_seconds", 1).alias("ship_delay_seconds")))
