@@ -152,14 +152,13 @@ def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) ->
     return out.drop("_g1", "_nx")
 
 
-def _value_table(df: DataFrame, cols: list[_Col], with_nulls: bool = False) -> DataFrame:
-    """(position, present, v, x, t, cnt): distinct values per column with their counts.
+def _long_values(df: DataFrame, cols: list[_Col], with_nulls: bool) -> DataFrame:
+    """(position, present, v, x, t): one row per input row and column.
 
     ``v`` is the value as text, ``x`` its numeric value (numeric columns), ``t`` its timestamp
-    (temporal columns). With ``with_nulls`` missing values form one group per column
-    (present = false) and nested columns contribute only their present/missing counts, so the
-    table also carries every typed statistic. ``groupBy`` combines map-side: a heavy value
-    costs one row per map task.
+    (temporal columns). With ``with_nulls`` missing values are kept (present = false) and nested
+    columns contribute only their present/missing flag, so the aggregated table also carries
+    every typed statistic.
     """
     structs = []
     for c in cols:
@@ -170,11 +169,20 @@ def _value_table(df: DataFrame, cols: list[_Col], with_nulls: bool = False) -> D
         structs.append(F.struct(F.lit(c.pos).alias("position"), c.ref.isNotNull().alias("present"),
                                 v.alias("v"), x.alias("x"), t.alias("t")))
     long = df.select(F.inline(F.array(*structs)))
-    if not with_nulls:
-        long = long.where(F.col("v").isNotNull())
+    return long if with_nulls else long.where(F.col("v").isNotNull())
+
+
+def _value_table_of(long: DataFrame) -> DataFrame:
+    """Distinct values per column with their counts; ``groupBy`` combines map-side, so a heavy
+    value costs one row per map task."""
     return long.groupBy("position", "present", "v", "x", "t").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _value_table(df: DataFrame, cols: list[_Col], with_nulls: bool = False) -> DataFrame:
+    """(position, present, v, x, t, cnt) of one table."""
+    return _value_table_of(_long_values(df, cols, with_nulls))
+
+
 def _typed_from_values(values: DataFrame) -> DataFrame:
     """The typed statistics of :func:`_typed_pass`, computed from the weighted value table.
 
@@ -220,23 +228,45 @@ def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_coun
 def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_rows: int | None = None,
             accuracy: int = 10000, num_slices: int | None = None) -> DataFrame:
     """Profile every column of ``df``; see :data:`PROFILE_SCHEMA` for the output."""
+    return _profile_many([(table_name, df)], exact, sample_rows, accuracy, num_slices)
+
+
+def _prepare(df: DataFrame, sample_rows: int | None) -> DataFrame:
     df = clean_column_names(df)
     if sample_rows is not None:
         df = df.limit(int(sample_rows))
-    df = spread(nan_to_null(df))
-    cols = [_Col(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
-    spark = df.sparkSession
+    return spread(nan_to_null(df))
+
+
+def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, sample_rows: int | None, accuracy: int,
+                  num_slices: int | None) -> DataFrame:
+    """Profiles of several tables as ONE plan: columns get global ids across tables, the
+    per-table long forms are unioned, and a single value table (one shuffle, one
+    materialisation, one set of small stages) serves every table."""
+    frames, cols, meta_rows, spark = [], [], [], None
+    for name, df in tables:
+        df = _prepare(df, sample_rows)
+        spark = df.sparkSession
+        mine = [_Col(len(cols) + i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
+        meta_rows += [(c.pos, name, i, c.name, c.kind, vt.is_numeric(c.dtype), vt.is_temporal(c.dtype),
+                       vt.is_string(c.dtype)) for i, c in enumerate(mine)]
+        frames.append((df, mine))
+        cols += mine
     if not cols:
         return spark.createDataFrame([], PROFILE_SCHEMA)
 
-    meta = spark.createDataFrame(
-        [(c.pos, c.name, c.kind, vt.is_numeric(c.dtype), vt.is_temporal(c.dtype), vt.is_string(c.dtype))
-         for c in cols],
-        "position int, column_name string, type string, is_numeric boolean, is_temporal boolean, "
-        "_is_string boolean")
+    def union(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    # "position" below is the global column id; the per-table position is kept in meta.
+    meta = spark.createDataFrame(meta_rows, "position int, table_name string, column_pos int, column_name string, "
+                                            "type string, is_numeric boolean, is_temporal boolean, _is_string boolean")
     if exact:
-        # One scan: every statistic comes from the weighted value table.
-        values = _value_table(df, cols, with_nulls=True)
+        # One scan per table: every statistic comes from the weighted value table.
+        values = _value_table_of(union([_long_values(df, c, True) for df, c in frames]))
         if any(vt.is_numeric(c.dtype) for c in cols):
             # The value table feeds five branches and the percentile ranks need stable slice
             # ids: materialise it once, range-partitioned, in the checkpoint folder.
@@ -245,16 +275,19 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
         values = values.where(F.col("v").isNotNull())
         value_cols = [c for c in cols if vt.is_scalar(c.dtype)]
     else:
-        typed = _typed_pass(df, cols, exact, accuracy)
+        typed = union([_typed_pass(df, c, False, accuracy) for df, c in frames])
         # The sketch counts decide which columns are worth a value pass: one row per column
         # reaches the driver, and is reused below instead of recomputing the typed pass.
         typed_rows = typed.collect()
         typed = spark.createDataFrame(typed_rows, typed.schema)
         estimate = {r["position"]: r["approx_unique"] or 0 for r in typed_rows}
-        value_cols = [c for c in cols if (vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
-                      and estimate.get(c.pos, 0) <= APPROX_VALUE_PASS_LIMIT]
-        values = _value_table(df, value_cols) if value_cols else None
-    # Every column gets a row, even when the table is empty (then the aggregate has no groups).
+        keep = {c.pos for c in cols if (vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
+                and estimate.get(c.pos, 0) <= APPROX_VALUE_PASS_LIMIT}
+        parts = [_long_values(df, [c for c in cs if c.pos in keep], False) for df, cs in frames
+                 if any(c.pos in keep for c in cs)]
+        value_cols = [c for c in cols if c.pos in keep]
+        values = _value_table_of(union(parts)) if parts else None
+    # Every column gets a row, even when a table is empty (then the aggregate has no groups).
     out = meta.join(F.broadcast(typed), "position", "left")  # both sides: one row per column
     if value_cols:
         uniques = values.groupBy("position").agg(F.count(F.lit(1)).alias("exact_unique"))
@@ -276,10 +309,10 @@ def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_row
                      "_smallest": T.ArrayType(T.StringType())}.get(name, T.LongType() if name == "exact_unique"
                                                                    else T.DoubleType())
             out = out.withColumn(name, F.lit(None).cast(dtype))
-    return _assemble(out, table_name, exact)
+    return _assemble(out.drop("position").withColumnRenamed("column_pos", "position"), exact)
 
 
-def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
+def _assemble(out: DataFrame, exact: bool) -> DataFrame:
     rows, nn = F.coalesce(F.col("rows"), F.lit(0).cast("bigint")), F.coalesce(F.col("non_null"), F.lit(0).cast("bigint"))
     null_count = (rows - nn).cast("bigint")
     unique = F.col("exact_unique") if exact else F.coalesce(F.col("exact_unique"), F.col("approx_unique"))
@@ -309,7 +342,7 @@ def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
                    .when(F.col("is_temporal"), F.array(*map(F.lit, DATE_OPERATIONS)))
                    .otherwise(F.array().cast("array<string>")))
     return out.select(
-        F.lit(table_name).alias("table_name"),
+        "table_name",
         F.col("position").cast("int"), "column_name", "type",
         rows.alias("rows"), null_count.alias("null_count"), null_pct.alias("null_pct"),
         unique.cast("bigint").alias("unique_count"),
@@ -328,26 +361,23 @@ def _assemble(out: DataFrame, table_name: str, exact: bool) -> DataFrame:
 
 def profile_tables(tables: dict[str, DataFrame], exact: bool = True,
                    errors: list | None = None) -> DataFrame:
-    """Profiles of several tables in one DataFrame (one row per table and column).
-
-    A table whose profile cannot be planned (for example an unreadable source) is skipped, like
-    a sheet that fails to load; ``(name, message)`` of each skipped table is appended to
-    ``errors`` when a list is given.
+    """Profiles of several tables in one DataFrame (one row per table and column), computed
+    as one plan. A table whose schema cannot be read (for example an unreadable source) is
+    skipped, like a sheet that fails to load; ``(name, message)`` of each skipped table is
+    appended to ``errors`` when a list is given.
     """
-    parts, skipped = [], []
+    usable, skipped = [], []
     for name, df in tables.items():
         try:
-            parts.append(profile(df, table_name=name, exact=exact))
-        except Exception as exc:  # noqa: BLE001 - planning error of one table only
+            df.schema  # noqa: B018 - resolves the source; fails for unreadable inputs
+            usable.append((name, df))
+        except Exception as exc:  # noqa: BLE001 - one bad table must not stop the others
             skipped.append((name, str(exc)))
     if errors is not None:
         errors.extend(skipped)
-    if not parts:
+    if not usable:
         raise ValueError(f"no table could be profiled: {skipped}")
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result
+    return _profile_many(usable, exact, None, 10000, None)
 
 
 def table_counts(df: DataFrame, table_name: str = "t") -> DataFrame:

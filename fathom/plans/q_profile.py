@@ -19,13 +19,15 @@ def profiled(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
     A profile is a handful of rows per table; it is checkpointed once per session and input so
     that several contract keys reading different fields do not recompute it.
     """
-    parts = []
-    for name in names:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _MEMO:
-            df = dirty_events(spark, sf_dir) if name == "events_dirty" else table(spark, sf_dir, name)
-            _MEMO[key] = reliable_checkpoint(profile(df, name))
-        parts.append(_MEMO[key])
+    app = spark.sparkContext.applicationId
+    missing = [n for n in names if (app, sf_dir, n) not in _MEMO]
+    if missing:
+        # All missing inputs profiled as one plan (one value table, one set of stages).
+        frames = {n: dirty_events(spark, sf_dir) if n == "events_dirty" else table(spark, sf_dir, n) for n in missing}
+        done = reliable_checkpoint(profile_tables(frames))
+        for n in missing:
+            _MEMO[(app, sf_dir, n)] = done.where(F.col("table_name") == n)
+    parts = [_MEMO[(app, sf_dir, n)] for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
