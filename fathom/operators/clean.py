@@ -76,7 +76,8 @@ def fill_nulls(df: DataFrame, strategy: dict[str, object]) -> DataFrame:
 # --------------------------------------------------------------------------- duplicates
 def drop_duplicates(df: DataFrame, subset: list[str] | None = None,
                     order_by: list[Column] | None = None) -> DataFrame:
-    """Remove duplicate rows; with ``subset`` and ``order_by`` the first row by that order survives.
+    """Remove duplicate rows; with ``subset`` and ``order_by`` the first row by that order survives
+    (with a ``subset`` but no order, which row of a group survives is not defined).
 
     Full-row and subset dedup without an order are a ``groupBy`` with map-side combine. With an
     order it is ``row_number() = 1``, which Spark plans as a partial window-group limit before

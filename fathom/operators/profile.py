@@ -226,8 +226,16 @@ def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_coun
 
 
 def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_rows: int | None = None,
-            accuracy: int = 10000, num_slices: int | None = None) -> DataFrame:
-    """Profile every column of ``df``; see :data:`PROFILE_SCHEMA` for the output."""
+            accuracy: int = 10000, num_slices: int | None = None, sample_fraction: float | None = None,
+            seed: int = 42) -> DataFrame:
+    """Profile every column of ``df``; see :data:`PROFILE_SCHEMA` for the output.
+
+    By default the whole table is profiled. ``sample_rows`` profiles the first n rows (a limit:
+    the rows pass through one task, so keep n small); ``sample_fraction`` profiles a seeded
+    Bernoulli sample drawn inside every partition, which stays distributed at any size.
+    """
+    if sample_fraction is not None:
+        df = df.sample(withReplacement=False, fraction=float(sample_fraction), seed=seed)
     return _profile_many([(table_name, df)], exact, sample_rows, accuracy, num_slices)
 
 

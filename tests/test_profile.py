@@ -91,6 +91,8 @@ def test_approximate_mode_close_to_exact(spark):
 def test_sample_rows_and_many(spark):
     df = spark.range(0, 1000)
     assert by_name(profile(df, sample_rows=100))["id"]["rows"] == 100
+    sampled = by_name(profile(df, sample_fraction=0.5, seed=7))["id"]["rows"]
+    assert 350 < sampled < 650 and sampled == by_name(profile(df, sample_fraction=0.5, seed=7))["id"]["rows"]
     both = profile_tables({"a": df, "b": df.selectExpr("id * 2 AS y")})
     assert sorted((r["table_name"], r["column_name"]) for r in both.collect()) == [("a", "id"), ("b", "y")]
     assert table_counts(df, "a").first()["columns"] == 1
