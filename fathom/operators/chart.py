@@ -48,7 +48,7 @@ def chart_data(df: DataFrame, kind: str | list[str], label: str | None = None,
 
     ``kind`` may be a list, as chart requests give one; the first entry is used. ``disabled``
     labels are removed before aggregating; ``y_min`` drops aggregated values below it; ``top``
-    keeps the ``top`` largest labels of the first series (pie) or by label order (others).
+    keeps the ``top`` labels with the largest value of the first series (ties by label).
     ``label_unit`` truncates a temporal label (``date_trunc``) and ``label_format`` renders it.
     """
     if isinstance(kind, (list, tuple)):
@@ -68,6 +68,11 @@ def chart_data(df: DataFrame, kind: str | list[str], label: str | None = None,
     if disabled:
         base = base.where(~F.col("label").isin(list(disabled)) | F.col("label").isNull())
     grouped = base.groupBy("label").agg(*[fn(f"_m{pos}").cast("double").alias(f"_m{pos}") for pos, _ in measures])
+    if top:
+        # A top-k report: at most ``top`` labels survive (bounded), chosen by the first series.
+        first = f"_m{measures[0][0]}"
+        keep = grouped.orderBy(F.desc_nulls_last(first), F.asc("label")).limit(int(top)).select("label")
+        grouped = grouped.join(F.broadcast(keep), grouped["label"].eqNullSafe(keep["label"]), "left_semi")
     long = grouped.select("label", F.inline(F.array(*[
         F.struct(F.lit(m).alias("series"), F.lit(pos).alias("series_index"),
                  F.lit(pos % PALETTE_SIZE).alias("color_index"), F.col(f"_m{pos}").alias("value"))
@@ -75,12 +80,8 @@ def chart_data(df: DataFrame, kind: str | list[str], label: str | None = None,
     if y_min is not None:
         long = long.where(F.col("value") >= F.lit(float(y_min)))
     if kind == "pie":
-        if top:
-            long = long.orderBy(F.desc("value"), F.asc("label")).limit(top)
         total = long.agg(F.sum("value").alias("t")).first()["t"]   # one bounded row
         pct = F.round(F.col("value") / F.lit(total) * 100).cast("bigint") if total else F.lit(None).cast("bigint")
         return long.select("label", "series", "series_index", "color_index", "value", pct.alias("pct"),
                            (F.col("value") > PIE_LABEL_MIN).alias("show_label"))
-    if top:
-        long = long.orderBy("label").limit(top * len(measures))
     return long.orderBy("label", "series_index") if kind == "line" else long

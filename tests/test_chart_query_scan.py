@@ -17,6 +17,8 @@ def test_chart_bar_and_pie(spark):
     assert pie == {"a": (38, False), "b": (63, False)}
     assert {r["label"] for r in chart_data(df, "bar", disabled=["b"]).collect()} == {"a"}
     assert chart_data(df, "bar", y_min=10).count() == 1
+    top = chart_data(df, "bar", top=1).collect()
+    assert {(r["label"], r["series"]) for r in top} == {("b", "x"), ("b", "y")}
     with pytest.raises(ValueError):
         chart_data(df, "radar")
     with pytest.raises(ValueError):
