@@ -186,7 +186,7 @@ SELECT event_id, user_id,
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")(_rolling)
 
 register("query_top_k_per_group", """
-SELECT o_custkey, o_orderkey, o_totalprice, rank
+SELECT o_custkey, o_orderkey, o_totalprice, rank::INTEGER AS rank
 FROM (SELECT o_custkey, o_orderkey, o_totalprice,
              row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank
       FROM orders) WHERE rank <= 3""")(
