@@ -94,8 +94,9 @@ def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, la
         outs = list(sums)
         totals = tagged.groupBy(*keys, SLICE).agg(*[F.sum(sums[o]).alias(f"_total{i}") for i, o in enumerate(outs)])
         earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+        # NULL (not 0) when the earlier slices hold no value, as SQL's running sum.
         summaries.append(totals.select(*keys, SLICE, *[
-            F.coalesce(F.sum(f"_total{i}").over(earlier), F.lit(0)).alias(f"_carry{i}") for i in range(len(outs))]))
+            F.sum(f"_total{i}").over(earlier).alias(f"_carry{i}") for i in range(len(outs))]))
     for s in summaries:
         cur = cur.join(s, [*keys, SLICE], "left")
     out = [F.col(f"`{c}`") for c in df.columns]
@@ -107,7 +108,9 @@ def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, la
         out.append(F.when(F.col("_rd") > j, F.lead(col, j).over(asc)).otherwise(from_after).alias(f"{prefix}lead{j}"))
     upto = asc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for i, o in enumerate(sums):
-        out.append((F.col(f"_carry{i}") + F.sum(sums[o]).over(upto)).alias(o))
+        carry, local = F.col(f"_carry{i}"), F.sum(sums[o]).over(upto)
+        total = F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(carry + local)
+        out.append(total.alias(o))
     return cur.select(*out)
 
 
