@@ -20,6 +20,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
              mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with header; empty cells are NULL; malformed rows follow ``mode``.
 
+    Type inference costs one extra pass over the files; on large inputs pass ``schema``.
+
     A first line ``sep=<c>`` (spreadsheet export hint) is honoured when ``skip_sep_line`` is
     True, or detected when 'auto': its delimiter is used and the header is the next line. That
     path parses text lines with ``from_csv`` (so multi-line quoted cells are not supported
