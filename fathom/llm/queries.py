@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, simhash, source_mix
+from fathom.llm import decontam, exact_dedup, langid, simhash, source_mix, toxicity
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,16 @@ def op8_decontam(spark, sf_dir):
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+@register("op10_langid")
+def op10_langid(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
+    model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 1))
+    return langid.predict(docs, model, ["doc_id", held_out.alias("held_out")])
