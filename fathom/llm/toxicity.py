@@ -21,11 +21,13 @@ from fathom.llm.common import ship
 SAMPLE_ROWS = 4000        # at most half of them flagged, half not
 BEGINNINGS = (3, 4, 5)    # characters of a word's beginning that count as a feature
 MIN_ROWS = 3              # a feature must occur in so many graded rows of the sample
+MIN_SHARE = 0.01          # and in so large a share of them
 LIFT = 5.0                # and in a share of them at least so many times that among the clean rows
-PENALTY = 5e-4            # L1
-ROUNDS = 150
-REJECT = 0.5              # rejected if P(grade >= 1) is at least this
-GRADES = 3                # grades of flagged rows when the labels are only a flag
+MAX_FEATURES = 300        # the size of the model: the features that tell the classes apart best
+PENALTY = 3.0             # L2
+ROUNDS = 15
+FALSE_ALARM = 5.0         # cost of rejecting a clean sample row, in missed flagged rows, when the cut is placed
+GRADES = 2                # grades of flagged rows when the labels are only a flag
 _WORD = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
 
 
@@ -33,9 +35,15 @@ _WORD = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
 class SeverityModel:
     weights: dict
     thresholds: list
+    cut: float = 0.5          # a document is rejected if P(grade >= 1) is at least this
 
-    def word(self, w: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features(w))
+    def known(self, word: str) -> tuple:
+        """The features of a word that carry weight."""
+        return tuple(f for f in features(word) if f in self.weights)
+
+    def score(self, row: set, known=None) -> float:
+        """w.x of a text's distinct words; a feature counts once."""
+        return sum(self.weights[f] for f in {f for w in row for f in (known or self.known)(w)})
 
 
 def words(text: str | None) -> set[str]:
@@ -67,42 +75,64 @@ def severity_grades(rows: list[set], flags: np.ndarray, grades: int = GRADES) ->
 
 
 def fit_ordinal(rows: list[set], grades: np.ndarray) -> SeverityModel:
-    """Proximal gradient with per-coordinate steps on the cumulative-link log loss, L1 on the shared weights."""
+    """Penalised Newton steps on the shared weights, each followed by gradient steps on the ordered thresholds.
+
+    With a = x.w - t_y and b = x.w - t_(y+1), -log(sigmoid(a) - sigmoid(b)) has slope sigmoid(a) + sigmoid(b) - 1
+    and curvature sigmoid'(a) + sigmoid'(b) in x.w.
+    """
     top = int(grades.max()) if len(grades) else 0
     if not top or not (grades == 0).any():
         return SeverityModel({}, [0.0 if top else 30.0])
-    rows_f = [[f for w in row for f in features(w)] for row in rows]
+    rows_f = [{f for w in row for f in features(w)} for row in rows]
     df: tuple = ({}, {})
     for fs, g in zip(rows_f, grades):
         held = df[min(g, 1)]
-        for f in set(fs):
+        for f in fs:
             held[f] = held.get(f, 0) + 1
     n_bad, n_good = int((grades > 0).sum()), int((grades == 0).sum())
-    telling = [f for f, k in df[1].items() if k >= MIN_ROWS and k / n_bad >= LIFT * (df[0].get(f, 0) + 1) / n_good]
-    code = {f: k for k, f in enumerate(sorted(telling))}
-    at = [np.array([code[f] for f in fs if f in code], np.int64) for fs in rows_f]
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
-    col = np.concatenate(at) if at else np.zeros(0, np.int64)
+    telling = [f for f, k in df[1].items() if k >= max(MIN_ROWS, MIN_SHARE * n_bad) and k / n_bad >= LIFT * (df[0].get(f, 0) + 1) / n_good]
+    def gain(f: str) -> float:      # log-likelihood ratio of the feature's rate among graded and clean rows
+        k, m = df[1][f], df[0].get(f, 0)
+        both = (k + m) / (n_bad + n_good)
+        return k * np.log(k / n_bad / both) + (m * np.log(m / n_good / both) if m else 0.0)
+
+    telling = sorted(sorted(telling, key=lambda f: (-gain(f), f))[:MAX_FEATURES])
+    code = {f: k for k, f in enumerate(telling)}
     n, y = len(rows), grades.astype(int)
-    w, seen = np.zeros(len(code)), np.full(len(code), 1e-3)
-    cum = np.array([(y >= k).mean() for k in range(1, top + 1)])
-    t = -np.log(np.clip(cum, 1e-3, 1 - 1e-3) / (1 - np.clip(cum, 1e-3, 1 - 1e-3)))
-    t_seen = np.full(top, 1e-3)
+    x = np.zeros((n, len(code)))
+    for i, fs in enumerate(rows_f):
+        x[i, [code[f] for f in fs if f in code]] = 1.0
+    cum = np.clip([(y >= k).mean() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
+    w, t, i = np.zeros(len(code)), -np.log(cum / (1 - cum)), np.arange(n)
+
+    def above(s):       # P(grade >= k), k = 0 .. top + 1
+        return np.concatenate([np.ones((1, n)), _sigmoid(s - t[:, None]), np.zeros((1, n))])
+
     for _ in range(ROUNDS):
-        s = np.bincount(row, w[col], minlength=n)
-        above = np.concatenate([np.ones((1, n)), _sigmoid(s - t[:, None]), np.zeros((1, n))])   # P(grade >= k), k = 0 .. top + 1
-        i = np.arange(n)
-        p = np.maximum(above[y, i] - above[y + 1, i], 1e-9)
-        lower, upper = above[y, i] * (1 - above[y, i]) / p, above[y + 1, i] * (1 - above[y + 1, i]) / p
-        g = np.bincount(col, (upper - lower)[row] / n, minlength=len(code))
-        g_t = np.array([(lower[y == k].sum() - upper[y == k - 1].sum()) / n for k in range(1, top + 1)])
-        seen += g * g
-        t_seen += g_t * g_t
-        rate = 0.3 / np.sqrt(seen)
-        w = w - rate * g
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * PENALTY, 0.0)
-        t = np.maximum.accumulate(t - 0.3 / np.sqrt(t_seen) * g_t)
-    return SeverityModel({f: float(w[k]) for f, k in code.items() if w[k]}, [float(x) for x in t])
+        s = x @ w
+        for _ in range(30):
+            q = above(s)
+            p = np.maximum(q[y, i] - q[y + 1, i], 1e-9)
+            lower, upper = q[y, i] * (1 - q[y, i]) / p, q[y + 1, i] * (1 - q[y + 1, i]) / p
+            t = np.maximum.accumulate(t - np.array([(lower[y == k].sum() - upper[y == k - 1].sum()) / n for k in range(1, top + 1)]))
+        q = above(s)
+        a, b = q[y, i], q[y + 1, i]
+        slope = x.T @ (a + b - 1) + PENALTY * w
+        bend = (x * (a * (1 - a) + b * (1 - b))[:, None]).T @ x + PENALTY * np.eye(len(code))
+        w = w - np.clip(np.linalg.solve(bend, slope), -2.0, 2.0)
+    return SeverityModel({f: float(w[k]) for f, k in code.items() if w[k]}, [float(x) for x in t], place_cut(_sigmoid(x @ w - t[0]), y > 0))
+
+
+def place_cut(p: np.ndarray, flagged: np.ndarray) -> float:
+    """The cut on P(grade >= 1) with the least cost on the sample, in the middle of the gap it falls into."""
+    order = np.argsort(p, kind="stable")
+    p, flagged = p[order], flagged[order]
+    missed = np.r_[0, np.cumsum(flagged)]
+    alarms = (~flagged).sum() - np.r_[0, np.cumsum(~flagged)]
+    edges = np.r_[0.0, (p[1:] + p[:-1]) / 2, 1.0]
+    cost = missed + FALSE_ALARM * alarms
+    cost[1:-1][p[1:] == p[:-1]] = np.inf        # no cut between equal scores
+    return float(edges[len(cost) - 1 - np.argmin(cost[::-1])])
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", flag: str = "toxic",
@@ -132,23 +162,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 def severity(text: Column, model: SeverityModel) -> Column:
     """struct(p_toxic, severity, grade) of a whole text. Null and empty texts score like texts without known words, grade 0."""
     thresholds = np.array(model.thresholds)
-    memo: dict[str, float] = {}
+    memo: dict[str, tuple] = {}
+
+    def known(word: str) -> tuple:
+        got = memo.get(word)
+        if got is None:
+            if len(memo) > 1_000_000:
+                memo.clear()
+            got = memo[word] = model.known(word)
+        return got
 
     def run(bodies: pd.Series) -> pd.DataFrame:
-        if len(memo) > 1_000_000:
-            memo.clear()
-        s = np.zeros(len(bodies))
-        for i, body in enumerate(bodies):
-            total = 0.0
-            for w in words(body):
-                x = memo.get(w)
-                if x is None:
-                    x = memo[w] = model.word(w)
-                total += x
-            s[i] = total
+        s = np.array([model.score(words(body), known) for body in bodies], float)
         above = _sigmoid(s[:, None] - thresholds[None, :])
         empty = np.array([not b for b in bodies], bool)
-        above[empty] = 0.0
+        above[empty] = 0.0      # nothing in them to reject
         return pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(axis=1),
                              "grade": np.concatenate([1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]], axis=1).argmax(axis=1)})
 
@@ -158,12 +186,12 @@ def severity(text: Column, model: SeverityModel) -> Column:
 def score(docs: DataFrame, model: SeverityModel, columns: list, text: str = "text") -> DataFrame:
     """``columns`` plus p_toxic, severity (expected grade), grade (most likely) and rejected."""
     rows = docs.select(*columns, severity(F.col(text), model).alias("__llm_s"))
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns[:-1]], "__llm_s.*").withColumn("rejected", F.col("p_toxic") >= REJECT)
+    return rows.select(*[F.col(f"`{c}`") for c in rows.columns[:-1]], "__llm_s.*").withColumn("rejected", F.col("p_toxic") >= F.lit(model.cut))
 
 
 def drop_toxic(docs: DataFrame, model: SeverityModel, text: str = "text") -> DataFrame:
     """``docs`` without the documents the model rejects."""
-    return docs.where(severity(F.col(text), model)["p_toxic"] < REJECT)
+    return docs.where(severity(F.col(text), model)["p_toxic"] < F.lit(model.cut))
 
 
 ship(__name__)
