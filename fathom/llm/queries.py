@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, simhash, source_mix, toxicity
+from fathom.llm import decontam, exact_dedup, langid, pii, simhash, source_mix, toxicity
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,10 @@ def op10_langid(spark, sf_dir):
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(langid.fold(F.col("doc_id")) == 1, F.lit(False))
     model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 1))
     return langid.predict(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@register("op9_pii")
+def op9_pii(spark, sf_dir):
+    rows = pii.label(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+                       F.array_join("spans", ",").alias("spans"))
