@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, pii, simhash, source_mix, toxicity
+from fathom.llm import decontam, exact_dedup, langid, pii, simhash, source_mix, toxicity, url_rules
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op9_pii(spark, sf_dir):
     rows = pii.label(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
                        F.array_join("spans", ",").alias("spans"))
+
+
+@register("op3_url_rules")
+def op3_url_rules(spark, sf_dir):
+    return url_rules.judge(table(spark, sf_dir, "pages"))
