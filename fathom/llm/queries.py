@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, toxicity, url_rules
+from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, toxicity, url_rules
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op3_url_rules(spark, sf_dir):
 def op7_line_dedup(spark, sf_dir):
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@register("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import ship
 
-SAMPLE_ROWS = 4000        # at most half of them flagged, half not
+SAMPLE_ROWS = 3000        # at most half of them flagged, half not
 BEGINNINGS = (3, 4, 5)    # characters of a word's beginning that count as a feature
 MIN_ROWS = 3              # a feature must occur in so many graded rows of the sample
 MIN_SHARE = 0.01          # and in so large a share of them
