@@ -173,7 +173,7 @@ def _midpoint_links(nodes: DataFrame, distance: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE,
                 most_in_key: int = MOST_IN_KEY) -> DataFrame:
-    """One row per input row: doc_id, K1, K2, fp, component_id (smallest doc_id reachable by links within ``distance`` bits).
+    """One row per input row: doc_id, K1, K2, fp, label (smallest fingerprint of the component), component_id (smallest doc_id reachable by links within ``distance`` bits).
 
     Texts without words share fingerprint 0 and are linked like any others. Null ids are ignored
     as component ids unless a component has no other. Empty table: empty result.
@@ -183,9 +183,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     labels = components(near_links(nodes.select("fp"), distance, most_in_key)).select(F.col("node").alias("fp"), "label")
     named = saved(nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     ids = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    dim = saved(named.join(ids, "label").select("fp", "n", "component_id"))
+    dim = saved(named.join(ids, "label").select("fp", "n", "label", "component_id"))
     total = dim.agg(F.sum("n")).head()[0] or 0
-    return join_counted(rows, dim, ["fp"], "n", total).select("doc_id", K1, K2, "fp", "component_id")
+    return join_counted(rows, dim, ["fp"], "n", total).select("doc_id", K1, K2, "fp", "label", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -195,10 +195,10 @@ def hex16(fp: Column) -> Column:
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with the smallest id (of equal ids, one of them)."""
     groups = near_groups(docs, doc_id, text, shingle, distance)
-    chosen = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", K1, K2)
+    chosen = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("label", K1, K2)
               .agg(F.count(F.lit(1)).alias("n")))
     # an id may stand for several texts of a group: the smallest identity of them stays
-    keep = saved(chosen.groupBy("component_id").agg(F.min(F.struct(K1, K2, "n")).alias("k")).select("k.*"))
+    keep = saved(chosen.groupBy("label").agg(F.min(F.struct(K1, K2, "n")).alias("k")).select("k.*"))
     return keep_keyed(docs, keep, doc_id, text)
 
 
