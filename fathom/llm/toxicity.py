@@ -124,12 +124,12 @@ def fit_ordinal(rows: list[set], grades: np.ndarray) -> SeverityModel:
 
 
 def place_cut(p: np.ndarray, flagged: np.ndarray) -> float:
-    """The cut on P(grade >= 1) with the least cost on the sample, in the middle of the gap it falls into."""
+    """The cut on P(grade >= 1) with the least cost on the sample, a quarter into the gap it falls into (from the clean side)."""
     order = np.argsort(p, kind="stable")
     p, flagged = p[order], flagged[order]
     missed = np.r_[0, np.cumsum(flagged)]
     alarms = (~flagged).sum() - np.r_[0, np.cumsum(~flagged)]
-    edges = np.r_[0.0, (p[1:] + p[:-1]) / 2, 1.0]
+    edges = np.r_[0.0, 0.75 * p[:-1] + 0.25 * p[1:], 1.0]
     cost = missed + FALSE_ALARM * alarms
     cost[1:-1][p[1:] == p[:-1]] = np.inf        # no cut between equal scores
     return float(edges[len(cost) - 1 - np.argmin(cost[::-1])])
