@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from fathom.plans.ordered import last_non_null_by_key
 
-# Fixed value: default number of rows a collected result is cut to.
-RESULT_ROW_LIMIT = 100
 
 
 def run_query(spark: SparkSession, tables: dict[str, DataFrame],
@@ -25,19 +23,57 @@ def run_query(spark: SparkSession, tables: dict[str, DataFrame],
         if not isinstance(result, DataFrame):
             raise TypeError(f"query returned {type(result).__name__}, not a DataFrame")
         return result
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    # The views exist only while the query is analysed; the caller's own views come back after it.
+    before = {name: spark.table(name) if spark.catalog.tableExists(name) else None for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(query)
+    finally:
+        for name, df in before.items():
+            spark.catalog.dropTempView(name)
+            if df is not None and not spark.catalog.tableExists(name):
+                df.createOrReplaceTempView(name)
 
 
-def result_records(df: DataFrame, limit: int = RESULT_ROW_LIMIT) -> list[dict]:
-    """The first ``limit`` rows as dicts; only this bounded slice reaches the driver.
+class Records(list):
+    """Result rows as dicts; ``truncated`` tells whether the result has more."""
+    truncated = False
 
-    There is no "everything" option: whole results are written with a sink, not collected.
+
+def result_records(df: DataFrame, limit: int) -> Records:
+    """The first ``limit`` rows as dicts, and whether there are more (``.truncated``).
+
+    Only this bounded slice reaches the driver. There is no "everything" option: whole results are
+    written with a sink, not collected.
     """
     if limit is None or int(limit) < 0:
         raise ValueError("result_records needs a row limit; write whole results with a sink")
-    return [r.asDict(recursive=True) for r in df.limit(int(limit)).collect()]
+    rows = df.limit(int(limit) + 1).collect()
+    out = Records(r.asDict(recursive=True) for r in rows[:int(limit)])
+    out.truncated = len(rows) > int(limit)
+    return out
+
+
+def result_column(df: DataFrame, limit: int, column: str | None = None) -> list:
+    """One column (the first by default) of the first ``limit`` rows as a list."""
+    column = column or df.columns[0]
+    return [r[0] for r in df.select(F.col(f"`{column}`")).limit(int(limit)).collect()]
+
+
+def result_dict(df: DataFrame, key: str, value: str, limit: int) -> dict:
+    """{key: value} of the first ``limit`` rows (later rows win)."""
+    return {r[0]: r[1] for r in df.select(F.col(f"`{key}`"), F.col(f"`{value}`")).limit(int(limit)).collect()}
+
+
+def result_scalar(df: DataFrame):
+    """The single value of a one-row, one-column result; None for no row. More than one row is an error."""
+    if len(df.columns) != 1:
+        raise ValueError(f"a scalar result has one column, not {len(df.columns)}")
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("a scalar result has one row")
+    return rows[0][0] if rows else None
 
 
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -54,7 +90,7 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 def summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """Statistical summary in long form: (column_name, statistic, value) per numeric column."""
     from fathom.operators.profile import profile
-    p = profile(df, exact=exact).where("is_numeric")
+    p = profile(df, exact=exact, stats=["scalar", "values", "percentiles"]).where("is_numeric")
     stats = ["rows", "null_count", "unique_count", "mean", "std_dev", "min", "p25", "p50", "p75", "max"]
     return p.select("column_name", F.inline(F.array(*[
         F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats])))
@@ -63,7 +99,8 @@ def summary(df: DataFrame, exact: bool = True) -> DataFrame:
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
               right_cols: list[str], strict: bool = False, right_tiebreak: str | None = None) -> DataFrame:
     """Each left row gets ``right_cols`` of the latest right row of the same key at or before
-    its time (before it when ``strict``); NULL when none exists. Left rows are all kept.
+    its time (before it when ``strict``); NULL when none exists. Left rows are all kept; as in an SQL
+    join a NULL key matches nothing.
 
     Planned as a union of both sides and ``last(..., ignorenulls)`` over the key ordered by time,
     right rows placed before left rows of equal time unless ``strict``. Among right rows of
@@ -82,6 +119,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                      F.col(f"`{right_on}`").alias("_t"), F.lit(side_right).alias("_side"),
                      (F.col(f"`{right_tiebreak}`") if right_tiebreak else F.lit(None).cast("int")).alias("_o"),
                      *[F.col(f"`{c}`").alias(f"_r_{c}") for c in right_cols])
+    for b in by:
+        r = r.where(F.col(f"`{b}`").isNotNull())
     both = l.unionByName(r.select(*l.columns))
     # last(..., ignorenulls) per key over range slices of (key, time): no key-sized task.
     filled = last_non_null_by_key(both, list(by), ["_t", "_side", "_o"], [f"_r_{c}" for c in right_cols],

@@ -29,7 +29,7 @@ def lag_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, out:
     local = tagged.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(col).over(w))
     last = tagged.groupBy(*keys, SLICE).agg(F.max_by(F.col(col), F.struct(*order)).alias("_last"))
     carry = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE)))
-    joined = local.join(carry.select(*keys, SLICE, "_carry"), [*keys, SLICE], "left")
+    joined = ranks.join_null_safe(local, carry.select(*keys, SLICE, "_carry"), [*keys, SLICE])
     prev = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
     return joined.withColumn(out, prev).drop("_rn", "_lag", "_carry", SLICE)
 
@@ -46,7 +46,7 @@ def last_non_null_by_key(df: DataFrame, keys: list[str], order: list[str], cols:
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, SLICE, *[F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}")
                                         for c in cols])
-    joined = local.join(carry, [*keys, SLICE], "left")
+    joined = ranks.join_null_safe(local, carry, [*keys, SLICE])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns],
                          *[F.coalesce(f"_loc_{c}", f"_carry_{c}").alias(prefix + c) for c in cols])
 
@@ -98,7 +98,7 @@ def window_by_key(df: DataFrame, keys: list[str], order: list[str], col: str, la
         summaries.append(totals.select(*keys, SLICE, *[
             F.sum(f"_total{i}").over(earlier).alias(f"_carry{i}") for i in range(len(outs))]))
     for s in summaries:
-        cur = cur.join(s, [*keys, SLICE], "left")
+        cur = ranks.join_null_safe(cur, s, [*keys, SLICE])
     out = [F.col(f"`{c}`") for c in df.columns]
     for j in range(1, lags + 1):
         from_before = F.try_element_at("_before", F.lit(-1) * (F.lit(j) - F.col("_rn") + 1))
@@ -137,6 +137,6 @@ def rank_by_key(df: DataFrame, keys: list[str], value: str, descending: bool = F
                                       broadcast_offsets=False)
     dense = dense.select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col(value).alias("_d_v"), names[1],
                          (F.col("_rank_start") + 1).alias(names[2]))
-    cond = [F.col(k) == F.col(f"_d_{k}") for k in keys] + [F.col(value).eqNullSafe(F.col("_d_v"))]
+    cond = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys] + [F.col(value).eqNullSafe(F.col("_d_v"))]
     joined = numbered.join(dense, cond)
     return joined.drop(*[f"_d_{k}" for k in keys], "_d_v")

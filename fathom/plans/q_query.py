@@ -141,9 +141,10 @@ register("query_count_distinct", """
 SELECT l_returnflag, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts,
        count(DISTINCT l_suppkey) AS suppliers
 FROM lineitem GROUP BY l_returnflag""")(
-    lambda spark, d: table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts"),
-        F.count_distinct("l_suppkey").alias("suppliers")))
+    # One grouping of (flag, column, key) rows instead of three copies of every row: the distinct pairs combine map-side.
+    lambda spark, d: table(spark, d, "lineitem").select("l_returnflag", F.posexplode(F.array("l_orderkey", "l_partkey", "l_suppkey")).alias("c", "k"))
+    .distinct().groupBy("l_returnflag").agg(F.count_if((F.col("c") == 0) & F.col("k").isNotNull()).alias("orders"), F.count_if((F.col("c") == 1) & F.col("k").isNotNull()).alias("parts"),
+                                            F.count_if((F.col("c") == 2) & F.col("k").isNotNull()).alias("suppliers")))
 
 register("query_rollup", f"""
 SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag, l_linestatus)::BIGINT AS gid,
@@ -214,7 +215,8 @@ register("query_pivot", f"""
 SELECT l_returnflag, {sql_rnd("sum(l_quantity) FILTER (WHERE l_linestatus = 'F')", 2)} AS "F",
        {sql_rnd("sum(l_quantity) FILTER (WHERE l_linestatus = 'O')", 2)} AS "O"
 FROM lineitem GROUP BY l_returnflag""")(
-    lambda spark, d: table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"])
+    lambda spark, d: table(spark, d, "lineitem").groupBy("l_returnflag").pivot(
+        "l_linestatus", [r[0] for r in table(spark, d, "lineitem").select("l_linestatus").distinct().orderBy("l_linestatus").collect()])
     .agg(F.sum("l_quantity")).select("l_returnflag", rnd("F", 2).alias("F"), rnd("O", 2).alias("O")))
 
 register("query_unpivot", """
@@ -352,3 +354,34 @@ SELECT event_id, user_id,
        {sql_rnd("sum(value) OVER w", 4)} AS value_last_hour, count(*) OVER w AS events_last_hour
 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)""")(_range_frame)
+
+
+# ------------------------------------------------------------------ NULL keys are keys of their own (but match nothing in a join)
+def _null_users(spark, d):
+    return table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("user_id"), "ts", "value", "event_type")
+
+
+_NULL_USERS_SQL = "(SELECT event_id, CASE WHEN user_id % 4 <> 0 THEN user_id END AS user_id, ts, value, event_type FROM events)"
+
+register("query_rank_null_key", f"""
+SELECT event_id, user_id, rank() OVER w AS rnk, dense_rank() OVER w AS dense_rnk,
+       row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS row_num
+FROM {_NULL_USERS_SQL} AS e WINDOW w AS (PARTITION BY user_id ORDER BY event_type)""")(
+    lambda spark, d: rank_by_key(_null_users(spark, d).select("event_id", "user_id", "event_type"), ["user_id"], "event_type",
+                                 tiebreak=["event_id"]).select("event_id", "user_id", "rnk", "dense_rnk", "row_num"))
+
+register("query_rolling_null_key", f"""
+SELECT event_id, user_id, {sql_rnd("sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 4)} AS running_value,
+       lag(value) OVER w AS prev_value, lead(value) OVER w AS next_value
+FROM {_NULL_USERS_SQL} AS e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")(
+    lambda spark, d: window_by_key(_null_users(spark, d), ["user_id"], ["ts", "event_id"], "value", lags=1, leads=1, running_sum="running").select(
+        "event_id", "user_id", rnd("running", 4).alias("running_value"), F.col("lag1").alias("prev_value"), F.col("lead1").alias("next_value")))
+
+register("query_asof_null_key", f"""
+WITH e AS {_NULL_USERS_SQL}, r AS (SELECT user_id, ts, event_id, value FROM e WHERE event_type = 'purchase')
+SELECT e.event_id, (SELECT max_by(r.value, (r.ts, r.event_id)) FROM r WHERE r.user_id = e.user_id AND r.ts <= e.ts) AS last_purchase_value
+FROM e WHERE e.event_type <> 'purchase'""")(
+    lambda spark, d: Q.asof_join(
+        _null_users(spark, d).where("event_type <> 'purchase'").select("event_id", "user_id", "ts"),
+        _null_users(spark, d).where("event_type = 'purchase'").select("user_id", "ts", "value", F.col("event_id").alias("_eid")),
+        ["user_id"], "ts", "ts", ["value"], right_tiebreak="_eid").select("event_id", F.col("value").alias("last_purchase_value")))

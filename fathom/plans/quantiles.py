@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.plans import ranks
-from fathom.plans.parallel import spread
 
 
 def weighted_quantiles(values: DataFrame, key: str, value: str, weight: str, probs: list[float],
@@ -43,7 +42,7 @@ def weighted_quantiles_tagged(tagged: DataFrame, key: str, value: str, weight: s
                .withColumn("_r", F.explode(F.array_distinct(F.array(
                    F.floor("_h").cast("bigint"), F.ceil("_h").cast("bigint"))))))
     # The slice holding each target rank: both sides are bounded by keys x slices.
-    located = (targets.join(F.broadcast(offsets.select(key, ranks.SLICE, "_slice_start", "_slice_weight")), [key])
+    located = (targets.join(offsets.select(key, ranks.SLICE, "_slice_start", "_slice_weight"), [key])
                .where((F.col("_r") >= F.col("_slice_start"))
                       & (F.col("_r") < F.col("_slice_start") + F.col("_slice_weight")))
                .select(key, "_qi", "_h", "_r", ranks.SLICE))
@@ -67,8 +66,8 @@ def weighted_quantiles_tagged(tagged: DataFrame, key: str, value: str, weight: s
 def column_quantiles(df: DataFrame, column: str, probs: list[float], names: list[str],
                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """One-row DataFrame of quantiles of one numeric column (NULLs and NaNs ignored)."""
-    c = F.col(column)
-    clean = spread(df).select(c.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    c = ranks.quoted(column)
+    clean = df.select(c.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not exact:
         q = F.percentile_approx("_x", F.array(*[F.lit(float(p)) for p in probs]), accuracy)
         row = clean.agg(q.alias("_qs"))

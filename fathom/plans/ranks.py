@@ -15,23 +15,55 @@ executor loss sees the same slice boundaries (range bounds come from a sample).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.session import reliable_checkpoint
 
 SLICE = "_slice"
+# Input bytes a slice should hold at most; more slices than the session's shuffle partitions are
+# used as soon as the input needs them.
+SLICE_BYTES = 128 << 20
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables ``df`` reads, from their statistics (no job)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)      # unknown sizes read as the largest number
+
+
+def slice_count(size: int, shuffle_partitions: int) -> int | None:
+    """None (the session's shuffle partitions, merged by adaptive execution) until the input needs more."""
+    wanted = -(-size // SLICE_BYTES)
+    return wanted if wanted > shuffle_partitions else None
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Equality join in which NULL keys match each other, as they do in GROUP BY and PARTITION BY."""
+    other = [c for c in right.columns if c not in keys]
+    r = right.select(*[quoted(k).alias(f"_nsk{i}") for i, k in enumerate(keys)], *[quoted(c) for c in other])
+    on = reduce(lambda a, b: a & b, [quoted(k).eqNullSafe(F.col(f"_nsk{i}")) for i, k in enumerate(keys)])
+    return left.join(r, on, how).drop(*[f"_nsk{i}" for i in range(len(keys))])
 
 
 def sliced(df: DataFrame, keys: list[str], order: list, num_slices: int | None = None) -> DataFrame:
     """Range-partition by ``keys + order`` and tag rows with their slice id (checkpointed).
 
-    Without ``num_slices`` the exchange uses ``spark.sql.shuffle.partitions`` and adaptive
-    execution merges neighbouring ranges up to the advisory partition size, so the number of
-    slices follows the data: one for a small table, many for a large one. Merged ranges stay
-    contiguous and in order, which is all the slice ids must guarantee.
+    Without ``num_slices`` the number of slices follows the input: adaptive execution merges the
+    session's shuffle partitions for a small table (merged ranges stay contiguous and in order,
+    which is all the slice ids must guarantee), and a table of more than ``SLICE_BYTES`` a shuffle
+    partition gets as many slices as its statistics ask for.
     """
-    cols = [*keys, *order]
+    cols = [*[quoted(k) if isinstance(k, str) else k for k in keys], *[quoted(o) if isinstance(o, str) else o for o in order]]
+    if num_slices is None:
+        num_slices = slice_count(input_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = df.repartitionByRange(int(num_slices), *cols) if num_slices else df.repartitionByRange(*cols)
     tagged = ranged.withColumn(SLICE, F.spark_partition_id())
     return reliable_checkpoint(tagged)
@@ -56,7 +88,7 @@ def with_running_weight(tagged: DataFrame, offsets: DataFrame, keys: list[str],
     local = (Window.partitionBy(*keys, SLICE).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     off = offsets.select(*keys, SLICE, "_slice_start")
-    joined = tagged.join(F.broadcast(off) if broadcast_offsets else off, [*keys, SLICE])
+    joined = join_null_safe(tagged, F.broadcast(off) if broadcast_offsets else off, [*keys, SLICE], "inner")
     end = F.col("_slice_start") + F.sum(w).over(local)
     return (joined.withColumn("_rank_end", end.cast("bigint"))
             .withColumn("_rank_start", (F.col("_rank_end") - w).cast("bigint"))
@@ -65,7 +97,7 @@ def with_running_weight(tagged: DataFrame, offsets: DataFrame, keys: list[str],
 
 def dense_index(df: DataFrame, column: str, out: str, num_slices: int | None = None) -> DataFrame:
     """Dictionary (value, 0-based index in sorted order) of the distinct non-null values of ``column``."""
-    distinct = df.select(F.col(column).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    distinct = df.select(quoted(column).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     tagged = sliced(distinct.withColumn("_k", F.lit(0)), ["_k"], ["_v"], num_slices)
     offsets = slice_offsets(tagged, ["_k"], None)
     ranked = with_running_weight(tagged, offsets, ["_k"], ["_v"], None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -44,8 +45,9 @@ def get_spark(master: str | None = None, app: str = "fathom", shuffle_partitions
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of this session.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``; only when
-    nothing is configured (local runs, tests) do we create a private one.
+    On a cluster this is the shared folder named by ``spark.checkpoint.dir``. Where nothing is
+    configured a private folder is created for a local session only: executors of a cluster would each write
+    their part to their own disk, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None)
+    if not configured and not (sc.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fathom-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -84,4 +88,29 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for round-trip writes."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/fathom-scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/fathom-scratch/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete on exit the scratch tables written inside the block (only those: every path is unique).
+
+    Operators that need a written table return frames that read it, so use their results inside the block;
+    without a scope the tables stay until the checkpoint folder is cleared.
+    """
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)

@@ -35,7 +35,19 @@ def test_run_query_and_records(spark):
         Q.run_query(spark, t, lambda ts: 42)
     with pytest.raises(Exception):
         Q.run_query(spark, t, "SELEC nothing")
-    assert len(Q.result_records(spark.range(0, 500), limit=100)) == 100
+    cut = Q.result_records(spark.range(0, 500), limit=100)
+    assert len(cut) == 100 and cut.truncated and not Q.result_records(spark.range(0, 5), 5).truncated
+    assert Q.result_column(spark.range(3), 10) == [0, 1, 2] and Q.result_scalar(spark.range(1)) == 0
+    assert Q.result_dict(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "k", "v", 10) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        Q.result_scalar(spark.range(2))
+
+
+def test_run_query_leaves_the_callers_views(spark):
+    spark.range(7).createOrReplaceTempView("mine")
+    assert Q.run_query(spark, {"mine": spark.range(3), "other": spark.range(2)}, "SELECT count(*) AS n FROM mine, other").first()["n"] == 6
+    assert spark.table("mine").count() == 7 and not spark.catalog.tableExists("other")
+    spark.catalog.dropTempView("mine")
 
 
 def test_asof_join_matches_brute_force(spark):
