@@ -29,7 +29,3 @@ def sample_skewness(population_skew: Column, n: Column) -> Column:
     """
     n = n.cast("double")
     return F.when(n > 2, population_skew * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def is_missing(c: Column, floating: bool) -> Column:
-    return (c.isNull() | F.isnan(c)) if floating else c.isNull()

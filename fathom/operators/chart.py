@@ -2,7 +2,8 @@
 
 Output of :func:`chart_data` is long: (label, series, series_index, value) for bar and line
 charts, plus (pct, show_label) for pie charts. ``series_index`` is the measure's column
-position in the input, the position that picks its colour (``color_index = pos % 3``).
+position in the input, the position that picks its colour (``color_index = pos % 3``); the slices of
+a pie are coloured by their own position, in label order.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import types as vt
+from fathom.plans import ranks
 
 # Chart kinds, palette size (colours cycle by column position) and the value
 # above which a pie slice shows its label.
@@ -28,7 +30,7 @@ def chart_columns(df: DataFrame, kind: str, label: str | None = None,
                   measures: list[str] | None = None) -> tuple[str | None, list[tuple[int, str]]]:
     """Label = first string column; measures = every numeric column (pie: the first one)."""
     if kind not in CHART_KINDS:
-        raise ValueError(f"Invalid chart type '{kind}'")
+        raise ValueError(f"unknown chart kind {kind!r}; choose one of {CHART_KINDS}")
     fields = df.schema.fields
     if label is None:
         label = next((f.name for f in fields if vt.is_string(f.dataType)), None)
@@ -53,7 +55,7 @@ def chart_data(df: DataFrame, kind: str | list[str], label: str | None = None,
     """
     if isinstance(kind, (list, tuple)):
         if not kind:
-            raise ValueError("Must specify chart types")
+            raise ValueError("no chart kind given")
         kind = kind[0]
     label, measures = chart_columns(df, kind, label, measures)
     if not measures:
@@ -80,8 +82,11 @@ def chart_data(df: DataFrame, kind: str | list[str], label: str | None = None,
     if y_min is not None:
         long = long.where(F.col("value") >= F.lit(float(y_min)))
     if kind == "pie":
-        total = long.agg(F.sum("value").alias("t")).first()["t"]   # one bounded row
+        # The slices are grouped once (a table); the total is one row, the position of a slice its rank by label.
+        slices = ranks.sliced(long.withColumn("_all", F.lit(0)), ["_all"], [F.asc_nulls_last("label")])
+        placed = ranks.with_running_weight(slices, ranks.slice_offsets(slices, ["_all"], None), ["_all"], [F.asc_nulls_last("label")], None)
+        total = slices.agg(F.sum("value").alias("t")).first()["t"]
         pct = F.round(F.col("value") / F.lit(total) * 100).cast("bigint") if total else F.lit(None).cast("bigint")
-        return long.select("label", "series", "series_index", "color_index", "value", pct.alias("pct"),
-                           (F.col("value") > PIE_LABEL_MIN).alias("show_label"))
+        return placed.select("label", "series", "series_index", F.pmod(F.col("_rank_start"), F.lit(PALETTE_SIZE)).cast("int").alias("color_index"),
+                             "value", pct.alias("pct"), (F.col("value") > PIE_LABEL_MIN).alias("show_label"))
     return long.orderBy("label", "series_index") if kind == "line" else long

@@ -33,7 +33,8 @@ FROM events GROUP BY 1""")(
 
 register("chart_pie", f"""
 WITH g AS (SELECT o_orderpriority AS label, sum(o_totalprice) AS v FROM orders GROUP BY 1)
-SELECT label, 'o_totalprice' AS series, 1 AS series_index, 1 AS color_index, {sql_rnd("v", 2)} AS value,
+SELECT label, 'o_totalprice' AS series, 1 AS series_index,
+       ((row_number() OVER (ORDER BY label NULLS LAST) - 1) % 3)::INTEGER AS color_index, {sql_rnd("v", 2)} AS value,
        round(v / (SELECT sum(v) FROM g) * 100)::BIGINT AS pct, v > 5 AS show_label
 FROM g""")(
     lambda spark, d: chart_data(table(spark, d, "orders").select("o_orderpriority", "o_totalprice"), ["pie"])

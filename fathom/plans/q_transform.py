@@ -37,7 +37,8 @@ SELECT event_id,
        (event_type = 'purchase')::INTEGER AS event_type_purchase,
        (event_type = 'signup')::INTEGER AS event_type_signup, (event_type = 'view')::INTEGER AS event_type_view
 FROM events""")(
-    lambda spark, d: X.one_hot_encode(table(spark, d, _EV).select("event_id", "event_type"), "event_type")
+    lambda spark, d: X.one_hot_encode(table(spark, d, _EV).select("event_id", "event_type"), "event_type",
+                                      sorted(r[0] for r in X.categories(table(spark, d, _EV), "event_type").collect()))
     .drop("event_type"))
 
 register("t_label", """
@@ -48,7 +49,7 @@ FROM orders""")(
 
 register("t_tokens", """
 SELECT token, count(*)::BIGINT AS count
-FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^0-9A-Za-z_]+')) AS token FROM documents)
+FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS token FROM documents)
 WHERE token <> '' GROUP BY token""")(
     lambda spark, d: X.token_counts(table(spark, d, "documents"), "text"))
 
@@ -93,3 +94,23 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")(
         table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")),
         "l_shipdate", other="o_orderdate", out="ship_delay_seconds").select(
         "l_orderkey", "l_linenumber", rnd("ship_delay_seconds", 1).alias("ship_delay_seconds")))
+
+# Rows without a timestamp stay, without a bucket.
+register("t_time_bin_null", """
+SELECT event_id, time_bucket(INTERVAL '15 minutes', CASE WHEN event_id % 5 <> 0 THEN ts END) AS ts_15min FROM events""")(
+    lambda spark, d: X.time_binning(table(spark, d, _EV).withColumn("ts", F.when(F.col("event_id") % 5 != 0, F.col("ts"))), "ts", width="15 minutes",
+                                    out="ts_15min").select("event_id", "ts_15min"))
+
+# NaN is missing: it has no bin and moves no bound.
+register("t_binning_nan", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)
+SELECT event_id, CASE WHEN value IS NOT NULL THEN least(floor((value - mn) / ((mx - mn) / 10)), 9) END::INTEGER AS value_bin
+FROM e, (SELECT min(value) AS mn, max(value) AS mx FROM e)""")(
+    lambda spark, d: X.binning(table(spark, d, _EV).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")).otherwise(F.lit(float("nan")))),
+                               "value", bins=10).select("event_id", "value_bin"))
+
+# One sequence over all rows, without a key.
+register("t_time_delta_all", f"""
+SELECT event_id, {sql_rnd("date_sub('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) / 1e6", 6)} AS ts_delta_seconds FROM events""")(
+    lambda spark, d: X.time_delta(table(spark, d, _EV).select("event_id", "ts"), "ts", tiebreak=["event_id"]).select(
+        "event_id", rnd("ts_delta_seconds", 6).alias("ts_delta_seconds")))
