@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.stats import nan_to_null
-from fathom.plans.parallel import spread
-from fathom.plans.quantiles import column_quantiles
+from fathom.functions.types import is_floating
+from fathom.plans.quantiles import column_quantiles, weighted_quantiles
 from fathom.session import reliable_checkpoint
 
 
@@ -39,10 +39,7 @@ def fit_fill_values(df: DataFrame, strategy: dict[str, object]) -> dict[str, obj
     for col, how in strategy.items():
         if how == "mean":
             aggs.append(F.avg(_c(col)).alias(col))
-        elif how in ("mode", "median"):
-            pass
-            pass
-        else:
+        elif how not in ("mode", "median"):
             literal[col] = how
     fitted = dict(literal)
     if aggs:
@@ -120,8 +117,13 @@ def fit_bounds(df: DataFrame, col: str, method: str = "iqr", k: float | None = N
     raise ValueError(f"unknown outlier method {method!r}")
 
 
-def _inside(col: str, lo, hi) -> Column:
+def _value(df: DataFrame, col: str) -> Column:
+    """The column with NaN read as missing, as the fitted statistics do."""
     x = _c(col)
+    return F.when(~F.isnan(x), x) if is_floating(df.schema[col].dataType) else x
+
+
+def _inside(x: Column, lo, hi) -> Column:
     cond = F.lit(True)
     if lo is not None:
         cond = cond & (x >= F.lit(lo))
@@ -133,14 +135,16 @@ def _inside(col: str, lo, hi) -> Column:
 def flag_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None = None,
                   out: str | None = None, exact: bool = True) -> DataFrame:
     lo, hi = fit_bounds(df, col, method, k, exact=exact)
-    return df.withColumn(out or f"{col}_outlier", _c(col).isNotNull() & ~_inside(col, lo, hi))
+    x = _value(df, col)
+    return df.withColumn(out or f"{col}_outlier", x.isNotNull() & ~_inside(x, lo, hi))
 
 
 def drop_outliers(df: DataFrame, col: str, method: str = "iqr", k: float | None = None,
                   exact: bool = True) -> DataFrame:
-    """Keep rows inside the bounds; rows with a NULL value are kept (they are not outliers)."""
+    """Keep rows inside the bounds; rows with a missing value (NULL or NaN) are kept, they are not outliers."""
     lo, hi = fit_bounds(df, col, method, k, exact=exact)
-    return df.where(_c(col).isNull() | _inside(col, lo, hi))
+    x = _value(df, col)
+    return df.where(x.isNull() | _inside(x, lo, hi))
 
 
 def cap_outliers(df: DataFrame, col: str, lower: float | None = None, upper: float | None = 0.99,
@@ -151,7 +155,7 @@ def cap_outliers(df: DataFrame, col: str, lower: float | None = None, upper: flo
 
 
 def _apply_cap(df: DataFrame, col: str, lo, hi) -> DataFrame:
-    x = _c(col)
+    x = _value(df, col)
     capped = x
     if hi is not None:
         capped = F.least(capped, F.lit(hi))
@@ -164,9 +168,13 @@ def _apply_cap(df: DataFrame, col: str, lo, hi) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- repairs
+NUMBER_TEXT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
 def to_number_expr(c: Column) -> Column:
-    """Text to double: strip spaces and thousands commas; anything unparseable becomes NULL."""
-    return F.regexp_replace(c.cast("string"), r"[, \t]", "").try_cast("double")
+    """Text to double: strip spaces and thousands commas; anything that is not a decimal number becomes NULL."""
+    text = F.regexp_replace(c.cast("string"), r"[, \t]", "")
+    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
 
 
 def to_number(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -224,71 +232,147 @@ def merge_tables(tables: dict[str, DataFrame], source_col: str = "source") -> Da
 # --------------------------------------------------------------------------- composite
 @dataclass
 class CleanRules:
-    """Which steps ``clean`` runs, in the fixed order nulls -> duplicates -> outliers."""
+    """Which steps ``clean`` runs, in the fixed order conversions -> fills -> nulls -> duplicates -> outliers."""
+    to_numbers: list[str] = field(default_factory=list)
+    to_dates: dict[str, list[str]] = field(default_factory=dict)     # col -> datetime patterns
+    fills: dict[str, object] = field(default_factory=dict)           # col -> value | 'mean' | 'median' | 'mode'
     null_subset: list[str] | None = None        # columns that must not be missing (None: all)
     drop_null_rows: bool = True
     dedup: bool = True
     dedup_subset: list[str] | None = None
     outlier_cols: dict[str, str] = field(default_factory=dict)   # col -> 'cap' | 'iqr' | 'zscore'
-    cap_upper: float = 0.99
+    cap_upper: float | None = 0.99
+    cap_lower: float | None = None
     exact: bool = True
 
 
-def clean(df: DataFrame, rules: CleanRules | None = None):
-    """Run the cleaning steps and return ``(cleaned, report)``, both lazy DataFrames.
-
-    ``report`` has one row per step (step, column, rows_in, rows_out, affected), each a
-    one-row aggregate over that step's input and output plans; nothing is counted until the
-    report itself is evaluated. Only fitted statistics (a percentile, a mean) run jobs here.
+def fit_many_bounds(df: DataFrame, outlier_cols: dict[str, str], upper: float | None = 0.99, lower: float | None = None, exact: bool = True) -> dict[str, tuple]:
+    """Bounds (lo, hi) of several columns: one pass for the percentiles of all, one for means and deviations."""
+    bounds: dict[str, tuple] = {}
+    wanted = [c for c, how in outlier_cols.items() if how in ("cap", "iqr")]
+    if unknown := {how for how in outlier_cols.values()} - {"cap", "iqr", "zscore"}:
+        raise ValueError(f"unknown outlier rule {sorted(unknown)}")
+    if wanted:
+        probs = sorted({0.25, 0.75, *(p for p in (lower, upper) if p is not None)})
+        names = [f"q{i}" for i in range(len(probs))]
+        entries = [F.struct(F.lit(i).alias("k"), _value(df, c).cast("double").alias("x")) for i, c in enumerate(wanted)]
+        long = df.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull())
+        if exact:
+            values = long.groupBy("k", "x").agg(F.count(F.lit(1)).alias("w"))
+            fitted = weighted_quantiles(values, "k", "x", "w", probs, names)
+        else:
+            q = long.groupBy("k").agg(F.percentile_approx("x", F.array(*map(F.lit, probs)), 10000).alias("q"))
+            fitted = q.select("k", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+        found = {r["k"]: {p: r[n] for p, n in zip(probs, names)} for r in fitted.collect()}      # a row a column
+        for i, c in enumerate(wanted):
+            q = found.get(i)
+            if q is None:
+                bounds[c] = (None, None)
+            elif outlier_cols[c] == "iqr":
+                spread = q[0.75] - q[0.25]
+                bounds[c] = (q[0.25] - 1.5 * spread, q[0.75] + 1.5 * spread)
+            else:
+                bounds[c] = (q[lower] if lower is not None else None, q[upper] if upper is not None else None)
+    scored = [c for c, how in outlier_cols.items() if how == "zscore"]
+    if scored:
+        row = df.agg(*[f(_value(df, c).cast("double")) for c in scored for f in (F.avg, F.stddev_samp)]).first()
+        for i, c in enumerate(scored):
+            m, s = row[2 * i], row[2 * i + 1]
+            bounds[c] = (None, None) if m is None or s is None else (m - 3.0 * s, m + 3.0 * s)
+    return bounds
+
+
+REPORT_SCHEMA = "step string, column string, rows_in long, rows_out long, affected long"
+
+
+def clean(df: DataFrame, rules: CleanRules | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run the cleaning steps and return ``(cleaned, report)``.
+
+    This runs jobs: the input is read once (twice if a fill must be fitted), its converted, filled,
+    complete and distinct rows are written to the checkpoint folder while the report's counts are observed,
+    and the outlier bounds of all columns are fitted on that table together. What is returned reads the
+    table (see :func:`fathom.session.scratch_scope` for its removal). ``report`` has one row per step:
+    step, column, rows_in, rows_out, affected (rows removed, or values changed).
     """
     rules = rules or CleanRules()
-    parts = []
-    cur = spread(nan_to_null(df))
+    cur = nan_to_null(df)
+    counts, steps = {"rows": F.count(F.lit(1))}, []
+    marks = []
+    for kind, cols in (("to_number", dict.fromkeys(rules.to_numbers)), ("to_date", rules.to_dates)):
+        for col, formats in cols.items():
+            made = to_number_expr(_c(col)) if kind == "to_number" else to_date_expr(_c(col), formats)
+            mark = f"_converted_{len(marks)}"
+            marks.append(mark)
+            cur = cur.withColumn(mark, made.isNotNull()).withColumn(col, made)
+            counts[mark] = F.count_if(mark)
+            steps.append((kind, col, mark))
+    fills = {c: v for c, v in fit_fill_values(cur.drop(*marks), rules.fills).items() if v is not None} if rules.fills else {}
+    for i, col in enumerate(fills):
+        counts[f"_filled_{i}"] = F.count_if(_c(col).isNull())
+        steps.append(("fill_nulls", col, f"_filled_{i}"))
+    subset = rules.null_subset or [c for c in cur.columns if c not in marks]
+    complete = F.lit(True)
+    for c in subset:
+        complete = complete & (_c(c).isNotNull() | F.lit(c in fills))
+    if rules.drop_null_rows:
+        counts["complete"] = F.count_if(complete)
+    observed = Observation()
+    cur = cur.observe(observed, *[c.alias(n) for n, c in counts.items()]).drop(*marks)
+    if fills:
+        cur = cur.select(*[(F.coalesce(_c(f.name), F.lit(fills[f.name]).cast(f.dataType)).alias(f.name) if f.name in fills else _c(f.name)) for f in cur.schema.fields])
     if rules.drop_null_rows:
-        nxt = drop_nulls(cur, subset=rules.null_subset)
-        parts.append(_step_row("drop_nulls", ",".join(rules.null_subset or []) or None, cur, nxt))
-        cur = nxt
+        cur = drop_nulls(cur, subset=rules.null_subset)
     if rules.dedup:
-        nxt = drop_duplicates(cur, subset=rules.dedup_subset)
-        if rules.outlier_cols:
-            # The outlier fit, the output and the report all read the deduplicated rows: write
-            # them once to the shared checkpoint folder instead of repeating the dedup shuffle.
-            nxt = reliable_checkpoint(nxt)
-        parts.append(_step_row("drop_duplicates", ",".join(rules.dedup_subset or []) or None, cur, nxt))
-        cur = nxt
-    for col, how in rules.outlier_cols.items():
-        if how == "cap":
-            _, hi = fit_bounds(cur, col, "percentile", upper=rules.cap_upper, exact=rules.exact)
-            flag = (_c(col) > F.lit(hi)) if hi is not None else F.lit(False)
-            n = cur.agg(F.count(F.lit(1)).cast("bigint").alias("rows_in"),
-                        F.count_if(flag).cast("bigint").alias("affected"))
-            parts.append(n.select(F.lit(f"cap_p{round(rules.cap_upper * 100):d}").alias("step"),
-                                  F.lit(col).alias("column"), "rows_in", F.col("rows_in").alias("rows_out"),
-                                  "affected"))
-            cur = _apply_cap(cur, col, None, hi)
-        else:
-            nxt = drop_outliers(cur, col, method=how, exact=rules.exact)
-            parts.append(_step_row(f"drop_outliers_{how}", col, cur, nxt))
-            cur = nxt
-    report = parts[0] if parts else None
-    for p in parts[1:]:
-        report = report.unionByName(p)
-    return cur, report
+        cur = drop_duplicates(cur, subset=rules.dedup_subset)
+    cur = reliable_checkpoint(cur)
+    got = observed.get
+    rows = got["rows"]
+    report = [(kind, col, rows, rows, got[name]) for kind, col, name in steps]
+    if rules.drop_null_rows:
+        report.append(("drop_nulls", ",".join(rules.null_subset or []) or None, rows, got["complete"], rows - got["complete"]))
+        rows = got["complete"]
+    if rules.dedup:
+        left = cur.count()      # from the written files' own row counts
+        report.append(("drop_duplicates", ",".join(rules.dedup_subset or []) or None, rows, left, rows - left))
+        rows = left
+    if rules.outlier_cols:
+        bounds = fit_many_bounds(cur, rules.outlier_cols, rules.cap_upper, rules.cap_lower, rules.exact)
+        alive, sums, base = F.lit(True), [], cur
+        for col, how in rules.outlier_cols.items():
+            x = _value(base, col)
+            outside = F.coalesce(x.isNotNull() & ~_inside(x, *bounds[col]), F.lit(False))
+            sums.append(F.count_if(alive & outside))
+            if how != "cap":
+                alive = alive & ~outside
+        hits = base.agg(*sums).first()      # one pass for all columns
+        for k, (col, how) in enumerate(rules.outlier_cols.items()):
+            gone = 0 if how == "cap" else hits[k]
+            report.append((_cap_name(rules) if how == "cap" else f"drop_outliers_{how}", col, rows, rows - gone, hits[k]))
+            rows -= gone
+        cur = base.where(alive)
+        for col, how in rules.outlier_cols.items():
+            if how == "cap":
+                cur = _apply_cap(cur, col, *bounds[col])
+    return cur, df.sparkSession.createDataFrame(report, REPORT_SCHEMA)
+
+
+def _cap_name(rules: CleanRules) -> str:
+    return "cap_" + "_".join(f"p{p * 100:g}" for p in (rules.cap_lower, rules.cap_upper) if p is not None)
 
 
 def cleaning_report_frame(df: DataFrame, rules: CleanRules | None = None) -> DataFrame:
-    """The cleaning summary of :func:`clean` as one lazy DataFrame."""
+    """The cleaning summary of :func:`clean`."""
     return clean(df, rules)[1]
 
 
-def _step_row(step: str, col: str | None, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(step, column, rows_in, rows_out, affected) from two counts: a union, then one aggregate."""
-    tagged = (before.select(F.lit(0).alias("_side")).unionAll(after.select(F.lit(1).alias("_side"))))
-    n = tagged.agg(F.count_if(F.col("_side") == 0).alias("rows_in"),
-                   F.count_if(F.col("_side") == 1).alias("rows_out"))
-    return n.select(F.lit(step).alias("step"), F.lit(col).cast("string").alias("column"),
-                    F.col("rows_in").cast("bigint"), F.col("rows_out").cast("bigint"),
-                    (F.col("rows_in") - F.col("rows_out")).cast("bigint").alias("affected"))
+def output_information(df: DataFrame, path: str, fmt: str) -> DataFrame:
+    """One row about a written table: path, format, size in bytes, files, rows and columns."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
+    about = [F.lit(path).alias("path"), F.lit(fmt).alias("format"), F.lit(int(summary.getLength())).cast("bigint").alias("size_bytes"),
+             F.lit(int(summary.getFileCount())).cast("bigint").alias("files")]
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(*about, "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"))
 
 
 def describe_output(df: DataFrame) -> DataFrame:

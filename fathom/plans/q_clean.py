@@ -58,17 +58,17 @@ SELECT event_id, value, value > m + 3 * sd OR value < m - 3 * sd AS value_outlie
         "event_id", "value", "value_outlier"))
 
 # C6 numeric text -> number: ' 1,234 ' style text built from the order total
-_NUM_TEXT_SPARK = """CASE WHEN o_orderkey % 5 = 0 THEN 'n/a'
+_NUM_TEXT_SPARK = """CASE WHEN o_orderkey % 5 = 0 THEN (CASE o_orderkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN '12d' WHEN 2 THEN 'NaN' ELSE '0x1p3' END)
   WHEN o_orderkey % 5 = 1 THEN concat(' ', CAST(CAST(floor(o_totalprice) AS BIGINT) DIV 1000 AS STRING), ',',
                                    lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS STRING), 3, '0'), ' ')
   ELSE CAST(o_totalprice AS STRING) END"""
-_NUM_TEXT_DUCK = """CASE WHEN o_orderkey % 5 = 0 THEN 'n/a'
+_NUM_TEXT_DUCK = """CASE WHEN o_orderkey % 5 = 0 THEN (CASE o_orderkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN '12d' WHEN 2 THEN 'NaN' ELSE '0x1p3' END)
   WHEN o_orderkey % 5 = 1 THEN concat(' ', CAST(CAST(floor(o_totalprice) AS BIGINT) // 1000 AS VARCHAR), ',',
                                    lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0'), ' ')
   ELSE CAST(o_totalprice AS VARCHAR) END"""
 register("clean_to_number", f"""
-SELECT o_orderkey, TRY_CAST(regexp_replace(txt, '[, \\t]', '', 'g') AS DOUBLE) AS amount
-FROM (SELECT o_orderkey, {_NUM_TEXT_DUCK} AS txt FROM orders)""")(
+SELECT o_orderkey, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(t AS DOUBLE) END AS amount
+FROM (SELECT o_orderkey, regexp_replace({_NUM_TEXT_DUCK}, '[, \\t]', '', 'g') AS t FROM orders)""")(
     lambda spark, d: C.to_number(
         table(spark, d, "orders").select("o_orderkey", F.expr(_NUM_TEXT_SPARK).alias("amount")), "amount"))
 
@@ -165,3 +165,35 @@ SELECT event_id, ts, user_id, event_type,
        {sql_rnd("coalesce(value, (SELECT quantile_cont(value, 0.5) FROM " + DIRTY + " AS m))", 4)} AS value
 FROM {DIRTY} AS d""")(
     lambda spark, d: C.fill_nulls(dirty_events(spark, d), {"value": "median"}).withColumn("value", rnd("value", 4)))
+
+
+def _nan_events(spark, d):
+    """events with NaN as the value of every 7th row; the SQL below reads those as NULL."""
+    return table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).otherwise(F.lit(float("nan"))).alias("value"))
+
+
+_NAN_EVENTS_SQL = "(SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events)"
+
+# C4, C5 with NaN: a missing value is neither capped nor an outlier
+register("clean_cap_nan", f"""
+SELECT event_id, {sql_rnd("least(value, (SELECT quantile_cont(value, 0.99) FROM " + _NAN_EVENTS_SQL + " AS m)) + value * 0", 4)} AS value
+FROM {_NAN_EVENTS_SQL} AS e""")(
+    lambda spark, d: C.cap_outliers(_nan_events(spark, d), "value", upper=0.99).select("event_id", rnd("value", 4).alias("value")))
+
+register("clean_outliers_nan", f"""
+WITH e AS {_NAN_EVENTS_SQL}, q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e)
+SELECT event_id, value IS NULL AS missing FROM e, q
+WHERE value IS NULL OR (value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1))""")(
+    lambda spark, d: C.drop_outliers(_nan_events(spark, d), "value", "iqr").select("event_id", F.isnan("value").alias("missing")))
+
+
+# C13 with conversions and a fill: text amounts to numbers, missing ones filled with 0
+_CONVERT_RULES = C.CleanRules(to_numbers=["amount"], fills={"amount": 0.0}, null_subset=["amount"], dedup=False)
+register("clean_report_conversions", f"""
+WITH o AS (SELECT o_orderkey, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(t AS DOUBLE) END AS amount
+           FROM (SELECT o_orderkey, regexp_replace({_NUM_TEXT_DUCK}, '[, \\t]', '', 'g') AS t FROM orders))
+SELECT 'to_number' AS step, 'amount' AS "column", count(*) AS rows_in, count(*) AS rows_out, count(amount) AS affected FROM o
+UNION ALL SELECT 'fill_nulls', 'amount', count(*), count(*), count(*) - count(amount) FROM o
+UNION ALL SELECT 'drop_nulls', 'amount', count(*), count(*), 0 FROM o""")(
+    lambda spark, d: C.cleaning_report_frame(
+        table(spark, d, "orders").select("o_orderkey", F.expr(_NUM_TEXT_SPARK).alias("amount")), _CONVERT_RULES))
