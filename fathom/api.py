@@ -18,35 +18,71 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.operators.chart import chart_data
-from fathom.operators.profile import profile, profile_tables
+from fathom.operators.profile import profile_tables
 from fathom.operators.query import run_query
 from fathom.sources.files import read_csv, read_json
 from fathom.sources.jdbc import read_sql, write_sql
 from fathom.sources.sinks import write_json
 
-__all__ = ["read_file", "read_metadata", "run_code", "chart", "read_json_file", "to_json", "read_sql", "to_sql"]
+__all__ = ["read_file", "file_information", "read_metadata", "run_code", "chart", "read_json_file", "to_json", "read_sql", "to_sql"]
+
+
+# File endings by format; a compression ending may follow.
+FORMATS = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".orc": "orc"}
+COMPRESSIONS = (".gz", ".bz2", ".zst", ".xz")
+
+
+def file_format(path: str) -> tuple[str, str]:
+    """(format, ending) of a path by its ending; an ending that is not known is an error."""
+    base = path.rstrip("/").lower()
+    for c in COMPRESSIONS:
+        base = base.removesuffix(c)
+    ending = os.path.splitext(base)[1]
+    if ending not in FORMATS:
+        raise ValueError(f"{path}: unknown ending {ending!r}; use one of {tuple(FORMATS)} or read the file yourself")
+    return FORMATS[ending], ending
 
 
 def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A table from a CSV, JSON, Parquet or ORC path (file or folder), chosen by extension."""
-    ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    if ext in (".csv", ".txt", ".tsv"):
-        if ext == ".tsv":
+    """A table from a CSV, JSON, Parquet or ORC path (file or folder), chosen by its ending."""
+    fmt, ending = file_format(path)
+    if fmt == "csv":
+        if ending == ".tsv":
             options.setdefault("sep", "\t")
         return read_csv(spark, path, **options)
-    if ext in (".json", ".jsonl", ".ndjson"):
+    if fmt == "json":
         return read_json(spark, path, **options)
-    if ext in (".orc",):
-        return spark.read.options(**options).orc(path)
-    return spark.read.options(**options).parquet(path)
-
-
-def read_metadata(spark: SparkSession, path: str | dict[str, str], exact: bool = True, **options) -> DataFrame:
-    """Column profile of a file, or of several named files (one profile per table)."""
-    if isinstance(path, dict):
-        return profile_tables({name: read_file(spark, p, **options) for name, p in path.items()}, exact=exact)
-    name = os.path.splitext(os.path.basename(path.rstrip("/")))[0] or "table"
-    return profile(read_file(spark, path, **options), table_name=name, exact=exact)
+    return getattr(spark.read.options(**options), fmt)(path)
+
+
+def file_information(spark: SparkSession, path: str, **options) -> dict:
+    """Format, size in bytes, number of files, and for CSV the encoding and delimiter used to read it."""
+    fmt, ending = file_format(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    summary = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target)
+    csv = fmt == "csv"
+    return {"path": path, "format": fmt, "size_bytes": int(summary.getLength()), "files": int(summary.getFileCount()),
+            "encoding": options.get("encoding", "UTF-8") if csv else None,
+            "delimiter": options.get("sep", "\t" if ending == ".tsv" else ",") if csv else None}
+
+
+def read_metadata(spark: SparkSession, path: str | dict[str, str], exact: bool = True, stats=None,
+                  **options) -> tuple[DataFrame | None, list[dict], list[tuple[str, str]]]:
+    """(profile, files, errors) of a file, or of several named files.
+
+    ``profile`` has a row per table and column (None if no table could be read), ``files`` the
+    information of each file read, ``errors`` (name, message) of each that was skipped.
+    """
+    paths = path if isinstance(path, dict) else {os.path.basename(path.rstrip("/")).split(".")[0] or "table": path}
+    tables, files, errors = {}, [], []
+    for name, one in paths.items():
+        try:
+            files.append({"table_name": name, **file_information(spark, one, **options)})
+            tables[name] = read_file(spark, one, **options)
+        except Exception as exc:  # noqa: BLE001 - one bad table must not stop the others; it is reported
+            errors.append((name, str(exc)))
+    files = [f for f in files if f["table_name"] in tables]
+    return (profile_tables(tables, exact=exact, stats=stats) if tables else None), files, errors
 
 
 def run_code(spark: SparkSession, tables: dict[str, DataFrame], query) -> DataFrame:
@@ -58,8 +94,8 @@ def chart(df: DataFrame, kinds: str | list[str], **kwargs) -> DataFrame:
     return chart_data(df, kinds, **kwargs)
 
 
-def read_json_file(spark: SparkSession, path: str, orient: str = "records", schema=None) -> DataFrame:
-    return read_json(spark, path, orient=orient, schema=schema)
+def read_json_file(spark: SparkSession, path: str, orient: str = "records", schema=None, lines: bool = True) -> DataFrame:
+    return read_json(spark, path, orient=orient, schema=schema, lines=lines)
 
 
 def to_json(df: DataFrame, path: str, orient: str = "records", mode: str = "errorifexists") -> str:
@@ -67,5 +103,5 @@ def to_json(df: DataFrame, path: str, orient: str = "records", mode: str = "erro
     return path
 
 
-def to_sql(df: DataFrame, url: str, table: str, if_exists: str = "fail", **options) -> int:
+def to_sql(df: DataFrame, url: str, table: str, if_exists: str = "replace", **options) -> int:
     return write_sql(df, url, table, if_exists=if_exists, **options)

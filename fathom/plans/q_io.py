@@ -76,3 +76,30 @@ def _cleaned_roundtrip(spark, d):
 
 
 register("sink_cleaned_roundtrip", _CLEAN_ALL_SQL)(_cleaned_roundtrip)
+
+
+def _csv_quoted(spark, d):
+    """Cells with quotes and line breaks, written and read as RFC 4180."""
+    src = table(spark, d, "pages").select("page_id", "html")
+    path = scratch_path(spark, "pages-csv")
+    write_csv(src, path)
+    return read_csv(spark, path, schema=src.schema, multi_line=True)
+
+
+register("source_csv_quoted", "SELECT page_id, html FROM pages")(_csv_quoted)
+
+
+def _csv_sep(spark, d):
+    """Spreadsheet exports: every file starts with its own sep= line and header; equal rows stay."""
+    src = table(spark, d, "nation").select("n_regionkey", "n_name")
+    path = scratch_path(spark, "nation-sep")
+    for sep in (";", "|"):
+        lines = src.select(F.concat_ws(sep, F.col("n_regionkey").cast("string"), "n_name").alias("value"), F.lit(2).alias("k"))
+        head = spark.createDataFrame([(f"sep={sep}", 0), (f"region{sep}name", 1), (f"0{sep}twice", 2), (f"0{sep}twice", 2)], "value string, k int")
+        head.unionByName(lines).coalesce(1).sortWithinPartitions("k").select("value").write.mode("append").text(path)
+    return read_csv(spark, path, schema="region long, name string", sep_line=True)
+
+
+register("source_csv_sep_roundtrip", """
+SELECT n_regionkey AS region, n_name AS name FROM nation, (VALUES (1), (2)) AS files(i)
+UNION ALL SELECT 0, 'twice' FROM (VALUES (1), (2), (3), (4)) AS files(i)""")(_csv_sep)

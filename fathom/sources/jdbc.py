@@ -11,20 +11,20 @@ IF_EXISTS_MODES = {"replace": "overwrite", "append": "append", "fail": "errorife
 def jdbc_read_options(url: str, query: str | None = None, table: str | None = None,
                       partition_column: str | None = None, lower_bound=None, upper_bound=None,
                       num_partitions: int | None = None, **extra) -> dict:
-    """Options for a JDBC scan: a whole ``query`` is pushed as is; a ``table`` scan can be
-    split on ``partition_column`` into ``num_partitions`` parallel range reads."""
+    """Options for a JDBC scan of a ``query`` or a ``table``, split on ``partition_column`` into
+    ``num_partitions`` parallel range reads if one is given (a query is then read as a subquery)."""
     if (query is None) == (table is None):
         raise ValueError("give exactly one of query or table")
     opts = {"url": url, **extra}
-    if query is not None:
+    if query is not None and not partition_column:
         opts["query"] = query
     else:
-        opts["dbtable"] = table
-        if partition_column:
-            if lower_bound is None or upper_bound is None or not num_partitions:
-                raise ValueError("partitioned reads need lower_bound, upper_bound and num_partitions")
-            opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
-                        upperBound=str(upper_bound), numPartitions=str(num_partitions))
+        opts["dbtable"] = table if query is None else f"({query}) AS fathom_query"
+    if partition_column:
+        if lower_bound is None or upper_bound is None or not num_partitions:
+            raise ValueError("partitioned reads need lower_bound, upper_bound and num_partitions")
+        opts.update(partitionColumn=partition_column, lowerBound=str(lower_bound),
+                    upperBound=str(upper_bound), numPartitions=str(num_partitions))
     return opts
 
 
@@ -38,7 +38,7 @@ def jdbc_write_mode(if_exists: str) -> str:
     return IF_EXISTS_MODES[if_exists]
 
 
-def write_sql(df: DataFrame, url: str, table: str, if_exists: str = "fail", **options) -> int:
+def write_sql(df: DataFrame, url: str, table: str, if_exists: str = "replace", **options) -> int:
     """Write ``df`` to ``table`` (no index column) and return the number of rows written.
 
     The row count is observed during the write itself (``DataFrame.observe``), not by a second

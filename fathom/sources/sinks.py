@@ -16,8 +16,9 @@ TEXT_TIMESTAMP_OPTIONS = {
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
-    """CSV with header, in parallel part files, timestamps at microsecond precision."""
-    df.write.mode(mode).options(header="true", sep=sep, **TEXT_TIMESTAMP_OPTIONS).csv(path)
+    """CSV with header, in parallel part files, quotes doubled inside quoted cells (RFC 4180), an empty text as "" and
+    NULL as nothing, timestamps at microsecond precision."""
+    df.write.mode(mode).options(header="true", sep=sep, quote='"', escape='"', emptyValue='""', nullValue="", **TEXT_TIMESTAMP_OPTIONS).csv(path)
 
 
 def iso_timestamp(c: Column) -> Column:
@@ -43,7 +44,7 @@ def _safe(c: Column, dt: T.DataType) -> Column:
         return F.transform_values(F.transform_keys(c, lambda k, v: k.cast("string")),
                                   lambda k, v: _safe(v, dt.valueType))
     if isinstance(dt, T.StructType):
-        return F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields])
+        return F.when(c.isNotNull(), F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
     return c
 
 

@@ -1,3 +1,5 @@
+import csv
+import inspect
 import json
 
 import pytest
@@ -5,13 +7,13 @@ from pyspark.sql import functions as F
 
 from fathom.sources import jdbc
 from fathom.sources.files import read_csv, read_json, read_tables
-from fathom.sources.sinks import json_safe, write_cleaned, write_json
+from fathom.sources.sinks import json_safe, write_cleaned, write_csv, write_json
 
 
 def test_csv_sep_line_quotes_and_blanks(spark, tmp_path):
     p = tmp_path / "f.csv"
     p.write_text('sep=;\n a ;b;c\n1;"x;y";\n2;;3\n3\n')
-    df = read_csv(spark, str(p))
+    df = read_csv(spark, str(p), sep_line=True, on_malformed="null")
     assert df.columns == ["a", "b", "c"]
     rows = df.orderBy("a").collect()
     assert rows[0]["b"] == "x;y" and rows[0]["c"] is None
@@ -20,7 +22,7 @@ def test_csv_sep_line_quotes_and_blanks(spark, tmp_path):
     assert dict(df.dtypes) == {"a": "int", "b": "string", "c": "int"}
     empty = tmp_path / "e.csv"
     empty.write_text("sep=,\nk,blank\n1,\n2,\n")
-    assert dict(read_csv(spark, str(empty)).dtypes) == {"k": "int", "blank": "string"}
+    assert dict(read_csv(spark, str(empty), sep_line=True).dtypes) == {"k": "int", "blank": "string"}
 
 
 def test_csv_plain(spark, tmp_path):
@@ -31,7 +33,7 @@ def test_csv_plain(spark, tmp_path):
 
 def test_missing_path_raises(spark, tmp_path):
     with pytest.raises(Exception):
-        read_csv(spark, str(tmp_path / "none.csv"), skip_sep_line=False).collect()
+        read_csv(spark, str(tmp_path / "none.csv")).collect()
     tables, errors = read_tables(spark, {"ok": str(tmp_path), "bad": str(tmp_path / "missing")}, fmt="csv")
     assert "bad" in dict(errors)
 
@@ -45,7 +47,7 @@ def test_missing_path_raises(spark, tmp_path):
 def test_json_layouts(spark, tmp_path, orient, doc):
     p = tmp_path / f"{orient}.json"
     p.write_text(json.dumps(doc))
-    df = read_json(spark, str(p), orient=orient, schema="a long, b string")
+    df = read_json(spark, str(p), orient=orient, schema="a long, b string", lines=False)
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, "x"), (2, "y")]
 
 
@@ -85,3 +87,63 @@ def test_jdbc_options_and_modes():
     assert [jdbc.jdbc_write_mode(m) for m in ("replace", "append", "fail")] == ["overwrite", "append", "errorifexists"]
     with pytest.raises(ValueError):
         jdbc.jdbc_write_mode("upsert")
+
+
+def test_partitioned_query_and_default_write_mode():
+    o = jdbc.jdbc_read_options("jdbc:x", query="select * from t", partition_column="id", lower_bound=0, upper_bound=9, num_partitions=3)
+    assert o["dbtable"] == "(select * from t) AS fathom_query" and o["partitionColumn"] == "id" and "query" not in o
+    assert inspect.signature(jdbc.write_sql).parameters["if_exists"].default == "replace"
+
+
+def test_csv_written_by_other_tools(spark, tmp_path):
+    p = tmp_path / "rfc.csv"
+    with open(p, "w", newline="") as f:
+        csv.writer(f).writerows([["k", " note ", "", "z"], [1, 'say ""hi"", ok', "dropped", "C:\\dir\\"], [2, "two\nlines, \"quoted\"", "", "x"], [3, "", "", 'a"b']])
+    rows = read_csv(spark, str(p), multi_line=True).orderBy("k").collect()
+    assert rows[0].asDict() == {"k": 1, "note": 'say ""hi"", ok', "z": "C:\\dir\\"}
+    assert rows[1]["note"] == 'two\nlines, "quoted"' and rows[2]["note"] is None and rows[2]["z"] == 'a"b'
+
+
+def test_csv_keeps_empty_text_apart_from_null(spark, tmp_path):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, 'q"q'), (4, "a\nb")], "k long, v string")
+    write_csv(df, str(tmp_path / "o"))
+    assert sorted(read_csv(spark, str(tmp_path / "o"), schema=df.schema, multi_line=True).collect()) == sorted(df.collect())
+
+
+def test_csv_rows_of_the_wrong_length(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text("a,b\n1,x\n2,y,extra\n3\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(p), schema="a long, b string").collect()
+    kept = {r["a"]: r["_malformed"] for r in read_csv(spark, str(p), schema="a long, b string", on_malformed="keep").collect()}
+    assert kept == {1: None, 2: "2,y,extra", 3: "3"}
+    assert read_csv(spark, str(p), on_malformed="null").count() == 3
+    with pytest.raises(ValueError):
+        read_csv(spark, str(p), on_malformed="ignore")
+
+
+def test_sep_files_have_their_own_hint_and_keep_rows_like_the_header(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.csv").write_text("sep=;\nk;v\nk;v\n1;x\n1;x\n")
+    (tmp_path / "d" / "2.csv").write_text('sep=|\nk|v\n2|"y|z"\nsep=|\n')
+    rows = read_csv(spark, str(tmp_path / "d"), sep_line=True, on_malformed="null").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("k", "v"), ("1", "x"), ("1", "x"), ("2", "y|z"), ("sep=", None)], key=str)
+    (tmp_path / "plain.csv").write_text("k,v\n1,2\n")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path / "plain.csv"), sep_line=True)
+
+
+def test_json_form_is_said_not_guessed(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n\n[\n {"a": 1},\n {"a": 2}\n]\n')
+    assert sorted(r["a"] for r in read_json(spark, str(tmp_path / "a.json"), lines=False).collect()) == [1, 2]
+    with pytest.raises(Exception):
+        read_json(spark, str(tmp_path / "a.json"), schema="a long").collect()
+    (tmp_path / "two").mkdir()
+    for k in (1, 2):
+        (tmp_path / "two" / f"{k}.json").write_text(json.dumps({"a": {"0": k}, "b": {"0": "x"}}))
+    assert sorted(r["a"] for r in read_json(spark, str(tmp_path / "two"), orient="columns", schema="a long, b string").collect()) == [1, 2]
+
+
+def test_a_null_struct_stays_null_in_json(spark):
+    df = spark.sql("SELECT CAST(NULL AS STRUCT<a: DOUBLE>) AS s UNION ALL SELECT named_struct('a', 1.0D)")
+    assert sorted(json_safe(df).collect(), key=str) == sorted(df.collect(), key=str)
