@@ -1,33 +1,35 @@
 """Column profile of a whole table, one output row per column.
 
-Plan shape (two jobs over the input, no per-column loop of Spark actions):
-
-* **typed pass** - one ``agg`` holding count, nulls, min, max, mean, stddev, skewness, max abs,
-  max length and date range for every column at once. Partial aggregation runs map-side and
-  the single wide row is turned long with ``inline``.
-* **value pass** - ``inline`` into (position, value) and one ``groupBy(position, value)``
-  with map-side combine, so a hot value costs one row per map task. From that table come the
-  exact distinct count, the top values and the smallest values (``row_number() <= k``, which
-  Spark turns into a partial window-group limit before the shuffle) and the exact percentiles
-  (:mod:`fathom.plans.quantiles`, no single-task window).
-
-With ``exact=False`` distinct counts and percentiles come from sketches in the typed pass and
-the value pass only covers string and boolean columns.
+The caller names the statistics wanted (``stats``), and only the passes they need are planned:
+
+* ``schema`` - type, flags and suggested operations: from the schema, no job.
+* ``scalar`` - rows, nulls, min, max, mean, std-dev, skewness, largest magnitude, longest text, dates: one
+  aggregate by column position over the long form, combined map-side (a row per column and task
+  is shuffled, never a cell).
+* ``values`` - distinct count, smallest and most frequent values: ``groupBy(position, value)`` with map-side
+  combine, so a hot value costs one row per map task; top values and smallest values use
+  ``row_number() <= k``, a partial window-group limit before the shuffle.
+* ``percentiles`` - numeric columns only, without text (:mod:`fathom.plans.quantiles`, no one-task window).
+
+With ``exact=False`` distinct counts and percentiles come from sketches in the scalar pass, for every
+column; frequent values are counted by a 128-bit hash of the value, so texts are moved for the winners only;
+the smallest values are exact: a bound on them from the first rows keeps nearly all others out of the
+shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import types as vt
 from fathom.functions.stats import nan_to_null, sample_skewness
 from fathom.plans import ranks
-from fathom.plans.parallel import spread
 from fathom.plans.quantiles import weighted_quantiles_tagged
+from fathom.session import reliable_checkpoint
 
 # Suggested operations per descriptive type and warning thresholds, as named
 # by the column metadata contract.
@@ -41,9 +43,8 @@ SKEW_LIMIT = 2.0                # skewness above this raises a warning
 EXAMPLE_COUNT = 3
 DISTINCT_VALUE_COUNT = 10
 TOP_VALUE_COUNT = 5
-# Approximate mode: only columns with at most this many (estimated) distinct values get the
-# value pass; its shuffle grows with distinct values per map task.
-APPROX_VALUE_PASS_LIMIT = 1000
+STATS = ("schema", "scalar", "values", "percentiles")
+BOUND_ROWS = 1000               # rows that give the approximate mode its bound on the smallest values
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -100,9 +101,14 @@ def clean_column_names(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
-def _long_form(df: DataFrame, cols: list[_Col], with_text: bool) -> DataFrame:
-    """One row per (input row, column): position, is-present flag and the value in the typed
-    slots that apply (x numeric, t temporal, len string length, v text).
+def _plain(c: _Col) -> Column:
+    """The column's value; a negative zero reads as zero, as it does in comparisons."""
+    return F.when(c.ref == 0, F.lit(0).cast(c.dtype)).otherwise(c.ref) if vt.is_floating(c.dtype) else c.ref
+
+
+def _long(df: DataFrame, cols: list[_Col], text: bool) -> DataFrame:
+    """One row per (input row, column): position, whether the value is present, and the value in the typed slots
+    that apply (x numeric, t temporal, len string length; v its text form if ``text``).
 
     Aggregating this long form by position keeps the generated code the same size for a
     2-column and a 2,000-column table; the wide form (one aggregate per column and statistic)
@@ -110,23 +116,22 @@ def _long_form(df: DataFrame, cols: list[_Col], with_text: bool) -> DataFrame:
     """
     structs = []
     for c in cols:
-        num, tmp, txt = vt.is_numeric(c.dtype), vt.is_temporal(c.dtype), vt.is_string(c.dtype)
+        value = _plain(c)
         fields = [
             F.lit(c.pos).alias("position"),
             c.ref.isNotNull().alias("present"),
-            (c.ref.cast("double") if num else F.lit(None).cast("double")).alias("x"),
-            (c.ref.cast("timestamp_ntz") if tmp else F.lit(None).cast("timestamp_ntz")).alias("t"),
-            (F.char_length(c.ref) if txt else F.lit(None).cast("int")).alias("len"),
+            (value.cast("double") if vt.is_numeric(c.dtype) else F.lit(None).cast("double")).alias("x"),
+            (value.cast("timestamp_ntz") if vt.is_temporal(c.dtype) else F.lit(None).cast("timestamp_ntz")).alias("t"),
+            (F.char_length(c.ref) if vt.is_string(c.dtype) else F.lit(None).cast("int")).alias("len"),
         ]
-        if with_text:
-            fields.append((c.ref.cast("string") if vt.is_scalar(c.dtype) else F.lit(None).cast("string")).alias("v"))
+        if text:
+            fields.append((value.cast("string") if vt.is_scalar(c.dtype) else F.lit(None).cast("string")).alias("v"))
         structs.append(F.struct(*fields))
     return df.select(F.inline(F.array(*structs)))
 
 
-def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) -> DataFrame:
-    """Per-column statistics in one aggregation grouped by column position."""
-    long = _long_form(df, cols, with_text=not exact)
+def _scalar_pass(long: DataFrame, sketches: bool, accuracy: int) -> DataFrame:
+    """Per-column statistics in one aggregate by column position (one row per column and task is shuffled)."""
     aggs = [
         F.count(F.lit(1)).cast("bigint").alias("rows"),
         F.count_if("present").cast("bigint").alias("non_null"),
@@ -135,85 +140,48 @@ def _typed_pass(df: DataFrame, cols: list[_Col], exact: bool, accuracy: int) ->
         F.max(F.abs("x")).alias("max_abs"), F.max("len").cast("bigint").alias("_maxlen"),
         F.min("t").alias("min_date"), F.max("t").alias("max_date"),
     ]
-    if exact:
-        aggs += [F.lit(None).cast("bigint").alias("approx_unique")]
-        aggs += [F.lit(None).cast("double").alias(n) for n in ("ap25", "ap50", "ap75")]
-    else:
+    if sketches:
         q = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-        aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("approx_unique"), q.alias("_q"),
-                 F.min(F.when(F.col("len").isNotNull(), F.col("v"))).alias("_vmin"),
-                 F.max(F.when(F.col("len").isNotNull(), F.col("v"))).alias("_vmax")]
-    out = long.groupBy("position").agg(*aggs)
-    out = out.withColumn("skewness", sample_skewness(F.col("_g1"), F.col("_nx")))
-    if not exact:
-        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["ap25", "ap50", "ap75"])]).drop("_q")
-    else:
-        out = out.withColumn("_vmin", F.lit(None).cast("string")).withColumn("_vmax", F.lit(None).cast("string"))
-    return out.drop("_g1", "_nx")
-
-
-def _long_values(df: DataFrame, cols: list[_Col], with_nulls: bool) -> DataFrame:
-    """(position, present, v, x, t): one row per input row and column.
-
-    ``v`` is the value as text, ``x`` its numeric value (numeric columns), ``t`` its timestamp
-    (temporal columns). With ``with_nulls`` missing values are kept (present = false) and nested
-    columns contribute only their present/missing flag, so the aggregated table also carries
-    every typed statistic.
-    """
-    structs = []
-    for c in cols:
-        scalar = vt.is_scalar(c.dtype)
-        x = c.ref.cast("double") if vt.is_numeric(c.dtype) else F.lit(None).cast("double")
-        t = c.ref.cast("timestamp_ntz") if vt.is_temporal(c.dtype) else F.lit(None).cast("timestamp_ntz")
-        v = c.ref.cast("string") if scalar else F.lit(None).cast("string")
-        structs.append(F.struct(F.lit(c.pos).alias("position"), c.ref.isNotNull().alias("present"),
-                                v.alias("v"), x.alias("x"), t.alias("t")))
-    long = df.select(F.inline(F.array(*structs)))
-    return long if with_nulls else long.where(F.col("v").isNotNull())
-
-
-def _value_table_of(long: DataFrame) -> DataFrame:
-    """Distinct values per column with their counts; ``groupBy`` combines map-side, so a heavy
-    value costs one row per map task."""
-    return long.groupBy("position", "present", "v", "x", "t").agg(F.count(F.lit(1)).alias("cnt"))
+        aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("unique_count"), q.alias("_q")]
+    out = long.groupBy("position").agg(*aggs).withColumn("skewness", sample_skewness(F.col("_g1"), F.col("_nx"))).drop("_g1", "_nx")
+    if sketches:
+        out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])]).drop("_q")
+    return out
 
 
-def _value_table(df: DataFrame, cols: list[_Col], with_nulls: bool = False) -> DataFrame:
-    """(position, present, v, x, t, cnt) of one table."""
-    return _value_table_of(_long_values(df, cols, with_nulls))
+def _value_table(long: DataFrame) -> DataFrame:
+    """(position, v, x, cnt): distinct present values per column with their counts."""
+    return long.where(F.col("v").isNotNull()).groupBy("position", "v", "x").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _typed_from_values(values: DataFrame) -> DataFrame:
-    """The typed statistics of :func:`_typed_pass`, computed from the weighted value table.
+def _smallest(long: DataFrame, head: DataFrame) -> DataFrame:
+    """The smallest distinct values per column, exactly. ``head``: the long form of a few rows.
 
-    A first small aggregate gives each column's mean (one row per column, broadcast); one more
-    aggregate then takes every other statistic, with central moments sum(cnt * (x - mean)^k)
-    rather than raw power sums, which lose digits when the mean is large next to the spread.
+    The k-th smallest distinct value of any rows is an upper bound on that of all; only values up
+    to it are made distinct. Columns with fewer than k values in ``head`` have no bound.
     """
-    cnt, x = F.col("cnt"), F.col("x")
-    means = values.where(x.isNotNull()).groupBy("position").agg(
-        (F.sum(x * cnt) / F.sum(cnt)).alias("mean"))
-    d = x - F.col("mean")
-    nx = F.sum(F.when(x.isNotNull(), cnt))
-    stats = values.join(F.broadcast(means), "position", "left").groupBy("position").agg(
-        F.sum(cnt).cast("bigint").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("present"), cnt)), F.lit(0)).cast("bigint").alias("non_null"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.first("mean", ignorenulls=True).alias("mean"),
-        nx.alias("_nx"), F.sum(cnt * d * d).alias("_m2"), F.sum(cnt * d * d * d).alias("_m3"),
-        F.max(F.abs(x)).alias("max_abs"), F.max(F.char_length("v")).cast("bigint").alias("_maxlen"),
-        F.min("t").alias("min_date"), F.max("t").alias("max_date"))
-    n = F.col("_nx").cast("double")
-    g1 = F.when(F.col("_m2") > 0, F.sqrt(n) * F.col("_m3") / F.pow(F.col("_m2"), 1.5))
-    return (stats.withColumn("std_dev", F.when(n > 1, F.sqrt(F.col("_m2") / (n - 1))))
-            .withColumn("skewness", sample_skewness(g1, F.col("_nx")))
-            .select("position", "rows", "non_null", "min", "max", "mean", "std_dev", "skewness", "max_abs",
-                    "_maxlen", "min_date", "max_date", F.lit(None).cast("bigint").alias("approx_unique"),
-                    F.lit(None).cast("string").alias("_vmin"), F.lit(None).cast("string").alias("_vmax"),
-                    *[F.lit(None).cast("double").alias(a) for a in ("ap25", "ap50", "ap75")]))
+    order = [F.asc_nulls_last("x"), F.asc("v")]
+    seen = head.where(F.col("v").isNotNull()).select("position", "v", "x").distinct()
+    bound = (seen.withColumn("_rn", F.row_number().over(Window.partitionBy("position").orderBy(*order)))
+             .where(F.col("_rn") == DISTINCT_VALUE_COUNT).select("position", F.col("v").alias("_bv"), F.col("x").alias("_bx")))
+    low = long.where(F.col("v").isNotNull()).join(F.broadcast(bound), "position", "left")      # one row per column
+    low = low.where(F.when(F.col("_bv").isNull(), True).when(F.col("_bx").isNotNull(), F.col("x") <= F.col("_bx")).otherwise(F.col("v") <= F.col("_bv")))
+    return _first_k(low.select("position", "v", "x").distinct(), DISTINCT_VALUE_COUNT, order, "_smallest", False)
+
+
+def _frequent(long: DataFrame) -> DataFrame:
+    """The most frequent values per column, counted by a 128-bit hash (ties by hash); their texts are looked up after."""
+    hashed = long.where(F.col("v").isNotNull()).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    counts = hashed.groupBy("position", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
+    order = Window.partitionBy("position").orderBy(F.desc("cnt"), "h1", "h2")
+    top = reliable_checkpoint(counts.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= TOP_VALUE_COUNT))
+    texts = (hashed.join(F.broadcast(top), ["position", "h1", "h2"])        # TOP_VALUE_COUNT rows per column
+             .groupBy("position", "_rn", "cnt").agg(F.min("v").alias("v")))
+    item = F.array_sort(F.collect_list(F.struct("_rn", "v", "cnt")))
+    return texts.groupBy("position").agg(F.transform(item, lambda s: F.struct(s["v"].alias("value"), s["cnt"].alias("count"))).alias("value_counts"))
 
 
 def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_counts: bool) -> DataFrame:
-    from pyspark.sql import Window
     w = Window.partitionBy("position").orderBy(*order)
     top = values.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     item = F.struct("_rn", "v", "cnt") if with_counts else F.struct("_rn", "v")
@@ -225,35 +193,33 @@ def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_coun
     return top.groupBy("position").agg(shaped.alias(out))
 
 
-def profile(df: DataFrame, table_name: str = "t", exact: bool = True, sample_rows: int | None = None,
-            accuracy: int = 10000, num_slices: int | None = None, sample_fraction: float | None = None,
-            seed: int = 42) -> DataFrame:
-    """Profile every column of ``df``; see :data:`PROFILE_SCHEMA` for the output.
+def profile(df: DataFrame, table_name: str = "t", exact: bool = True, stats: list[str] | tuple[str, ...] | None = None,
+            columns: list[str] | None = None, accuracy: int = 10000, num_slices: int | None = None,
+            sample_fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """Profile the columns of ``df``; see :data:`PROFILE_SCHEMA` for the output.
 
-    By default the whole table is profiled. ``sample_rows`` profiles the first n rows (a limit:
-    the rows pass through one task, so keep n small); ``sample_fraction`` profiles a seeded
-    Bernoulli sample drawn inside every partition, which stays distributed at any size.
+    ``stats`` names the groups of statistics to compute (:data:`STATS`, all by default); fields of other
+    groups are NULL. ``columns`` limits the profile to some columns. By default the whole table is profiled;
+    ``sample_fraction`` profiles a seeded Bernoulli sample drawn inside every partition, which
+    stays distributed at any size.
     """
+    if columns is not None:
+        df = df.select(*[F.col(f"`{c}`") for c in columns])
     if sample_fraction is not None:
         df = df.sample(withReplacement=False, fraction=float(sample_fraction), seed=seed)
-    return _profile_many([(table_name, df)], exact, sample_rows, accuracy, num_slices)
+    return _profile_many([(table_name, df)], exact, stats, accuracy, num_slices)
 
 
-def _prepare(df: DataFrame, sample_rows: int | None) -> DataFrame:
-    df = clean_column_names(df)
-    if sample_rows is not None:
-        df = df.limit(int(sample_rows))
-    return spread(nan_to_null(df))
-
-
-def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, sample_rows: int | None, accuracy: int,
+def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, stats: list[str] | tuple[str, ...] | None, accuracy: int,
                   num_slices: int | None) -> DataFrame:
-    """Profiles of several tables as ONE plan: columns get global ids across tables, the
-    per-table long forms are unioned, and a single value table (one shuffle, one
-    materialisation, one set of small stages) serves every table."""
+    """Profiles of several tables as ONE plan: columns get global ids across tables and the per-table long
+    forms are unioned, so one set of stages serves every table."""
+    stats = tuple(stats or STATS)
+    if unknown := set(stats) - set(STATS):
+        raise ValueError(f"unknown statistics {sorted(unknown)}; choose from {STATS}")
     frames, cols, meta_rows, spark = [], [], [], None
     for name, df in tables:
-        df = _prepare(df, sample_rows)
+        df = nan_to_null(clean_column_names(df))
         spark = df.sparkSession
         mine = [_Col(len(cols) + i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
         meta_rows += [(c.pos, name, i, c.name, c.kind, vt.is_numeric(c.dtype), vt.is_temporal(c.dtype),
@@ -263,80 +229,70 @@ def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, sample_rows:
     if not cols:
         return spark.createDataFrame([], PROFILE_SCHEMA)
 
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    def long(text: bool, wanted=lambda c: True, head: int | None = None) -> DataFrame | None:
+        out = None
+        for df, mine in frames:
+            if keep := [c for c in mine if wanted(c)]:
+                part = _long(df.limit(head) if head else df, keep, text)
+                out = part if out is None else out.unionByName(part)
         return out
 
-    # "position" below is the global column id; the per-table position is kept in meta.
-    meta = spark.createDataFrame(meta_rows, "position int, table_name string, column_pos int, column_name string, "
-                                            "type string, is_numeric boolean, is_temporal boolean, _is_string boolean")
-    if exact:
-        # One scan per table: every statistic comes from the weighted value table.
-        values = _value_table_of(union([_long_values(df, c, True) for df, c in frames]))
-        if any(vt.is_numeric(c.dtype) for c in cols):
-            # The value table feeds five branches and the percentile ranks need stable slice
-            # ids: materialise it once, range-partitioned, in the checkpoint folder.
-            values = tagged = ranks.sliced(values, ["position"], ["x", "v"], num_slices)
-        typed = _typed_from_values(values)
-        values = values.where(F.col("v").isNotNull())
-        value_cols = [c for c in cols if vt.is_scalar(c.dtype)]
-    else:
-        typed = union([_typed_pass(df, c, False, accuracy) for df, c in frames])
-        # The sketch counts decide which columns are worth a value pass: one row per column
-        # reaches the driver, and is reused below instead of recomputing the typed pass.
-        typed_rows = typed.collect()
-        typed = spark.createDataFrame(typed_rows, typed.schema)
-        estimate = {r["position"]: r["approx_unique"] or 0 for r in typed_rows}
-        keep = {c.pos for c in cols if (vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
-                and estimate.get(c.pos, 0) <= APPROX_VALUE_PASS_LIMIT}
-        parts = [_long_values(df, [c for c in cs if c.pos in keep], False) for df, cs in frames
-                 if any(c.pos in keep for c in cs)]
-        value_cols = [c for c in cols if c.pos in keep]
-        values = _value_table_of(union(parts)) if parts else None
-    # Every column gets a row, even when a table is empty (then the aggregate has no groups).
-    out = meta.join(F.broadcast(typed), "position", "left")  # both sides: one row per column
-    if value_cols:
-        uniques = values.groupBy("position").agg(F.count(F.lit(1)).alias("exact_unique"))
-        by_count = _first_k(values, TOP_VALUE_COUNT, [F.desc("cnt"), F.asc_nulls_last("x"), F.asc("v")],
-                            "value_counts", True)
-        by_value = _first_k(values, DISTINCT_VALUE_COUNT, [F.asc_nulls_last("x"), F.asc("v")],
-                            "_smallest", False)
-        out = (out.join(F.broadcast(uniques), "position", "left")
-               .join(F.broadcast(by_count), "position", "left")
-               .join(F.broadcast(by_value), "position", "left"))
-        numeric = [c.pos for c in value_cols if vt.is_numeric(c.dtype)]
-        if exact and numeric:
-            qs = weighted_quantiles_tagged(tagged, "position", "x", "cnt", [0.25, 0.5, 0.75],
-                                           ["p25", "p50", "p75"])
-            out = out.join(F.broadcast(qs), "position", "left")
-    for name in ["exact_unique", "value_counts", "_smallest", "p25", "p50", "p75"]:
+    def scalar_kind(c: _Col) -> bool:
+        return vt.is_scalar(c.dtype)
+
+    def numeric(c: _Col) -> bool:
+        return vt.is_numeric(c.dtype)
+
+    # "position" below is the global column id; the per-table position is kept in meta. Every part is one
+    # row per column. Every column gets a row, even when a table is empty (then an aggregate has no groups).
+    out = spark.createDataFrame(meta_rows, "position int, table_name string, column_pos int, column_name string, "
+                                           "type string, is_numeric boolean, is_temporal boolean, _is_string boolean")
+    parts = []
+    sketches = not exact and ("values" in stats or "percentiles" in stats)
+    if "scalar" in stats or sketches:
+        parts.append(_scalar_pass(long(sketches), sketches, accuracy))
+    if "values" in stats and any(map(scalar_kind, cols)):
+        if exact:
+            values = _value_table(long(True, scalar_kind))
+            # several branches read the value table, and the percentile ranks need stable slice ids:
+            # it is written once, range-partitioned, in the checkpoint folder
+            values = ranks.sliced(values, ["position"], ["x", "v"], num_slices)
+            parts.append(values.groupBy("position").agg(F.count(F.lit(1)).alias("unique_count")))
+            parts.append(_first_k(values, TOP_VALUE_COUNT, [F.desc("cnt"), F.asc_nulls_last("x"), F.asc("v")], "value_counts", True))
+            parts.append(_first_k(values, DISTINCT_VALUE_COUNT, [F.asc_nulls_last("x"), F.asc("v")], "_smallest", False))
+            if "percentiles" in stats and any(map(numeric, cols)):
+                parts.append(weighted_quantiles_tagged(values, "position", "x", "cnt", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
+        else:
+            parts.append(_smallest(long(True, scalar_kind), long(True, scalar_kind, BOUND_ROWS)))
+            counted = long(True, lambda c: vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
+            if counted is not None:
+                parts.append(_frequent(counted))
+    elif "percentiles" in stats and exact and any(map(numeric, cols)):
+        numbers = long(False, numeric).where(F.col("x").isNotNull()).groupBy("position", "x").agg(F.count(F.lit(1)).alias("cnt"))
+        numbers = ranks.sliced(numbers, ["position"], ["x"], num_slices)
+        parts.append(weighted_quantiles_tagged(numbers, "position", "x", "cnt", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
+    for part in parts:
+        out = out.join(F.broadcast(part), "position", "left")      # one row per column on both sides
+    kinds = {f.name: f.dataType for f in PROFILE_SCHEMA.fields} | {"non_null": T.LongType(), "_maxlen": T.LongType(), "_smallest": T.ArrayType(T.StringType())}
+    for name in ("rows", "non_null", "min", "max", "mean", "std_dev", "skewness", "max_abs", "_maxlen", "min_date", "max_date", "unique_count",
+                 "value_counts", "_smallest", "p25", "p50", "p75"):
         if name not in out.columns:
-            dtype = {"value_counts": PROFILE_SCHEMA["value_counts"].dataType,
-                     "_smallest": T.ArrayType(T.StringType())}.get(name, T.LongType() if name == "exact_unique"
-                                                                   else T.DoubleType())
-            out = out.withColumn(name, F.lit(None).cast(dtype))
-    return _assemble(out.drop("position").withColumnRenamed("column_pos", "position"), exact)
+            out = out.withColumn(name, F.lit(None).cast(kinds[name]))
+    return _assemble(out.drop("position").withColumnRenamed("column_pos", "position"), stats)
 
 
-def _assemble(out: DataFrame, exact: bool) -> DataFrame:
+def _assemble(out: DataFrame, stats: tuple[str, ...]) -> DataFrame:
+    scalar, values = F.lit("scalar" in stats), F.lit("values" in stats)
     rows, nn = F.coalesce(F.col("rows"), F.lit(0).cast("bigint")), F.coalesce(F.col("non_null"), F.lit(0).cast("bigint"))
+    rows = F.when(scalar, rows)
     null_count = (rows - nn).cast("bigint")
-    unique = F.col("exact_unique") if exact else F.coalesce(F.col("exact_unique"), F.col("approx_unique"))
-    unique = F.when(F.col("type").isin(vt.MIXED, vt.EMPTY), F.lit(None)).otherwise(F.coalesce(unique, F.lit(0)))
+    no_values = F.col("type").isin(vt.MIXED, vt.EMPTY)
+    unique = F.when(values & ~no_values, F.coalesce(F.col("unique_count"), F.lit(0)))
     pct = F.try_divide(null_count.cast("double") * F.lit(100.0), rows.cast("double"))
     null_pct = F.round(pct, 1)
-    examples = F.coalesce(F.slice(F.col("_smallest"), 1, EXAMPLE_COUNT),
-                          F.array_compact(F.array_distinct(F.array(
-                              F.coalesce(F.col("min").cast("string"), F.col("min_date").cast("string"), F.col("_vmin")),
-                              F.coalesce(F.col("max").cast("string"), F.col("max_date").cast("string"), F.col("_vmax"))))))
-    examples = F.when(F.col("type").isin(vt.MIXED, vt.EMPTY), F.array().cast("array<string>")).otherwise(
-        F.coalesce(examples, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    examples = F.when(values, F.when(no_values, none).otherwise(F.coalesce(F.slice(F.col("_smallest"), 1, EXAMPLE_COUNT), none)))
     is_string = F.col("_is_string")
-    p25 = F.coalesce(F.col("p25"), F.col("ap25"))
-    p50 = F.coalesce(F.col("p50"), F.col("ap50"))
-    p75 = F.coalesce(F.col("p75"), F.col("ap75"))
     null_msg = F.format_string("%d null values (%.1f%%)", null_count, pct)
     warnings = F.array_compact(F.array(
         F.when(null_count > 0, null_msg),
@@ -357,18 +313,18 @@ def _assemble(out: DataFrame, exact: bool) -> DataFrame:
         "is_numeric", "is_temporal",
         (is_string & (unique < CATEGORICAL_LIMIT)).alias("is_categorical"),
         "min", "max", "mean", "std_dev",
-        p25.alias("p25"), p50.alias("p50"), p75.alias("p75"),
+        "p25", "p50", "p75",
         "skewness", "max_abs", F.when(is_string, F.col("_maxlen")).alias("max_length"), "min_date", "max_date",
         F.timestamp_diff("SECOND", F.col("min_date"), F.col("max_date")).cast("bigint").alias("time_span_seconds"),
         examples.alias("examples"),
-        F.when(is_string, F.coalesce(F.col("_smallest"), F.array().cast("array<string>"))).alias("distinct_values"),
+        F.when(values & is_string, F.coalesce(F.col("_smallest"), none)).alias("distinct_values"),
         F.when(is_string | (F.col("type") == vt.BOOLEAN), F.col("value_counts")).alias("value_counts"),
         warnings.alias("warnings"), suggestions.alias("suggested_operations"),
     )
 
 
-def profile_tables(tables: dict[str, DataFrame], exact: bool = True,
-                   errors: list | None = None) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], exact: bool = True, errors: list | None = None,
+                   stats: list[str] | tuple[str, ...] | None = None) -> DataFrame:
     """Profiles of several tables in one DataFrame (one row per table and column), computed
     as one plan. A table whose schema cannot be read (for example an unreadable source) is
     skipped, like a sheet that fails to load; ``(name, message)`` of each skipped table is
@@ -385,7 +341,7 @@ def profile_tables(tables: dict[str, DataFrame], exact: bool = True,
         errors.extend(skipped)
     if not usable:
         raise ValueError(f"no table could be profiled: {skipped}")
-    return _profile_many(usable, exact, None, 10000, None)
+    return _profile_many(usable, exact, stats, 10000, None)
 
 
 def table_counts(df: DataFrame, table_name: str = "t") -> DataFrame:

@@ -5,33 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.operators.profile import profile, profile_tables, table_counts
+from fathom.operators.profile import profile_tables, table_counts
 from fathom.plans.contract import (ALL_TABLES, DIRTY_EVENTS_COLUMNS, DIRTY_EVENTS_SQL, TABLE_COLUMNS,
                                    dirty_events, register, rnd, sql_rnd, table)
-from fathom.session import reliable_checkpoint
-
-_MEMO: dict[tuple, DataFrame] = {}
-
-
-def profiled(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    """Profiles of the named inputs ('events_dirty' = events with injected NULLs and copies).
-
-    A profile is a handful of rows per table; it is checkpointed once per session and input so
-    that several contract keys reading different fields do not recompute it.
-    """
-    app = spark.sparkContext.applicationId
-    missing = [n for n in names if (app, sf_dir, n) not in _MEMO]
-    if missing:
-        # All missing inputs profiled as one plan (one value table, one set of stages).
-        frames = {n: dirty_events(spark, sf_dir) if n == "events_dirty" else table(spark, sf_dir, n) for n in missing}
-        done = reliable_checkpoint(profile_tables(frames))
-        for n in missing:
-            _MEMO[(app, sf_dir, n)] = done.where(F.col("table_name") == n)
-    parts = [_MEMO[(app, sf_dir, n)] for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def profiled(spark: SparkSession, sf_dir: str, names: list[str], *stats: str, exact: bool = True) -> DataFrame:
+    """The named statistics of the named inputs ('events_dirty' = events with injected NULLs and copies)."""
+    frames = {n: dirty_events(spark, sf_dir) if n == "events_dirty" else table(spark, sf_dir, n) for n in names}
+    return profile_tables(frames, exact=exact, stats=stats)
 
 
 def _cols(name: str) -> list[tuple[str, str]]:
@@ -87,7 +68,7 @@ SELECT table_name, column_name, (ordinal_position - 1)::INTEGER AS position, typ
 FROM (SELECT table_name, column_name, ordinal_position, {_TYPE_CASE} AS type
       FROM information_schema.columns
       WHERE table_name IN ({", ".join(f"'{t}'" for t in TYPE_TABLES)}))""")(
-    lambda spark, d: profiled(spark, d, TYPE_TABLES).select(
+    lambda spark, d: profiled(spark, d, TYPE_TABLES, "schema").select(
         "table_name", "column_name", "position", "type", "is_numeric", "is_temporal"))
 
 # ------------------------------------------------------------------ P4, P5 nulls
@@ -96,12 +77,12 @@ register("profile_nulls", _per_column(
     NULL_TABLES, ALL_KINDS,
     "(count(*) - count({c}))::BIGINT AS null_count, "
     "round((count(*) - count({c}))::DOUBLE * 100.0 / count(*)::DOUBLE, 1) AS null_pct"))(
-    lambda spark, d: profiled(spark, d, NULL_TABLES).select("table_name", "column_name", "null_count", "null_pct"))
+    lambda spark, d: profiled(spark, d, NULL_TABLES, "scalar").select("table_name", "column_name", "null_count", "null_pct"))
 
 # ------------------------------------------------------------------ P6 unique
 UNIQUE_TABLES = ["lineitem", "events_dirty", "orders"]
 register("profile_unique", _per_column(UNIQUE_TABLES, ALL_KINDS, "count(DISTINCT {c})::BIGINT AS unique_count"))(
-    lambda spark, d: profiled(spark, d, UNIQUE_TABLES).select("table_name", "column_name", "unique_count"))
+    lambda spark, d: profiled(spark, d, UNIQUE_TABLES, "values").select("table_name", "column_name", "unique_count"))
 
 # ------------------------------------------------------------------ P9 flags
 FLAG_TABLES = ["lineitem", "events_dirty", "orders", "customer"]
@@ -109,7 +90,7 @@ register("profile_flags", _per_column(
     FLAG_TABLES, ALL_KINDS,
     "('{k}' = 'str' AND count(DISTINCT {c}) < 20) AS is_categorical, '{k}' = 'num' AS is_numeric, "
     "'{k}' = 'ts' AS is_temporal"))(
-    lambda spark, d: profiled(spark, d, FLAG_TABLES).select(
+    lambda spark, d: profiled(spark, d, FLAG_TABLES, "values").select(
         "table_name", "column_name", "is_categorical", "is_numeric", "is_temporal"))
 
 # ------------------------------------------------------------------ P10, P11 numeric
@@ -118,7 +99,7 @@ register("profile_numeric", _per_column(
     NUM_TABLES, {"num"},
     f"{sql_rnd('min({c})')} AS min, {sql_rnd('max({c})')} AS max, {sql_rnd('avg({c}::DOUBLE)')} AS mean, "
     f"{sql_rnd('stddev_samp({c}::DOUBLE)')} AS std_dev"))(
-    lambda spark, d: profiled(spark, d, NUM_TABLES).where("is_numeric").select(
+    lambda spark, d: profiled(spark, d, NUM_TABLES, "scalar").where("is_numeric").select(
         "table_name", "column_name", rnd("min").alias("min"), rnd("max").alias("max"),
         rnd("mean").alias("mean"), rnd("std_dev").alias("std_dev")))
 
@@ -128,18 +109,18 @@ register("profile_percentiles", _per_column(
     PCT_TABLES, {"num"},
     f"{sql_rnd('quantile_cont({c}::DOUBLE, 0.25)')} AS p25, {sql_rnd('quantile_cont({c}::DOUBLE, 0.5)')} AS p50, "
     f"{sql_rnd('quantile_cont({c}::DOUBLE, 0.75)')} AS p75"))(
-    lambda spark, d: profiled(spark, d, PCT_TABLES).where("is_numeric").select(
+    lambda spark, d: profiled(spark, d, PCT_TABLES, "percentiles").where("is_numeric").select(
         "table_name", "column_name", rnd("p25").alias("p25"), rnd("p50").alias("p50"), rnd("p75").alias("p75")))
 
 # ------------------------------------------------------------------ P18 skewness
 register("profile_skewness", _per_column(NUM_TABLES, {"num"}, f"{sql_rnd('skewness({c}::DOUBLE)', 6)} AS skewness"))(
-    lambda spark, d: profiled(spark, d, NUM_TABLES).where("is_numeric").select(
+    lambda spark, d: profiled(spark, d, NUM_TABLES, "scalar").where("is_numeric").select(
         "table_name", "column_name", rnd("skewness", 6).alias("skewness")))
 
 # ------------------------------------------------------------------ P13 strings
 STR_TABLES = ["lineitem", "events", "documents", "conversations"]
 register("profile_strings", _per_column(STR_TABLES, {"str"}, "max(length({c}))::BIGINT AS max_length"))(
-    lambda spark, d: profiled(spark, d, STR_TABLES).where("type = 'string'").select(
+    lambda spark, d: profiled(spark, d, STR_TABLES, "scalar").where("type = 'string'").select(
         "table_name", "column_name", "max_length"))
 
 # ------------------------------------------------------------------ P3 examples
@@ -150,7 +131,7 @@ register("profile_examples", _per_column(
     "FROM (SELECT v, row_number() OVER (ORDER BY x NULLS LAST, v) AS rn FROM ("
     "SELECT DISTINCT {c}::VARCHAR AS v, TRY_CAST({c} AS DOUBLE) AS x FROM {src} WHERE {c} IS NOT NULL)) "
     "WHERE rn <= 3"))(
-    lambda spark, d: profiled(spark, d, EX_TABLES).select(
+    lambda spark, d: profiled(spark, d, EX_TABLES, "values").select(
         "table_name", "column_name", F.posexplode("examples").alias("_p", "value")).select(
         "table_name", "column_name", (F.col("_p") + 1).cast("int").alias("rank"), "value"))
 
@@ -161,7 +142,7 @@ register("profile_distinct_values", _per_column(
     "rn::INTEGER AS rank, v AS value",
     "FROM (SELECT v, row_number() OVER (ORDER BY v) AS rn FROM ("
     "SELECT DISTINCT {c}::VARCHAR AS v FROM {src} WHERE {c} IS NOT NULL)) WHERE rn <= 10"))(
-    lambda spark, d: profiled(spark, d, DV_TABLES).where("type = 'string'").select(
+    lambda spark, d: profiled(spark, d, DV_TABLES, "values").where("type = 'string'").select(
         "table_name", "column_name", F.posexplode("distinct_values").alias("_p", "value")).select(
         "table_name", "column_name", (F.col("_p") + 1).cast("int").alias("rank"), "value"))
 
@@ -172,7 +153,7 @@ register("profile_value_counts", _per_column(
     "FROM (SELECT v, cnt, row_number() OVER (ORDER BY cnt DESC, v) AS rn FROM ("
     "SELECT {c}::VARCHAR AS v, count(*)::BIGINT AS cnt FROM {src} WHERE {c} IS NOT NULL GROUP BY 1)) "
     "WHERE rn <= 5"))(
-    lambda spark, d: profiled(spark, d, DV_TABLES).where("type = 'string'").select(
+    lambda spark, d: profiled(spark, d, DV_TABLES, "values").where("type = 'string'").select(
         "table_name", "column_name", F.posexplode("value_counts").alias("_p", "_vc")).select(
         "table_name", "column_name", (F.col("_p") + 1).cast("int").alias("rank"),
         F.col("_vc.value").alias("value"), F.col("_vc.count").alias("count")))
@@ -182,7 +163,7 @@ DATE_TABLES = ["lineitem", "events_dirty", "orders"]
 register("profile_dates", _per_column(
     DATE_TABLES, {"ts"},
     "min({c}) AS min_date, max({c}) AS max_date, date_sub('second', min({c}), max({c}))::BIGINT AS time_span_seconds"))(
-    lambda spark, d: profiled(spark, d, DATE_TABLES).where("is_temporal").select(
+    lambda spark, d: profiled(spark, d, DATE_TABLES, "scalar").where("is_temporal").select(
         "table_name", "column_name", "min_date", "max_date", "time_span_seconds"))
 
 # ------------------------------------------------------------------ P19-P23 warnings
@@ -209,7 +190,7 @@ def _warnings_sql() -> str:
 
 
 register("profile_warnings", _warnings_sql())(
-    lambda spark, d: profiled(spark, d, WARN_TABLES).select(
+    lambda spark, d: profiled(spark, d, WARN_TABLES, "scalar", "values").select(
         "table_name", "column_name", F.explode("warnings").alias("warning")))
 
 # ------------------------------------------------------------------ P24 suggestions
@@ -225,7 +206,7 @@ SELECT c.table_name, c.column_name, ops.rank::INTEGER AS rank, ops.op AS operati
 FROM (SELECT table_name, column_name, {_TYPE_CASE} AS type FROM information_schema.columns
       WHERE table_name IN ({", ".join(f"'{t}'" for t in SUG_TABLES)})) c
 JOIN ops ON ops.kind = c.type""")(
-    lambda spark, d: profiled(spark, d, SUG_TABLES).select(
+    lambda spark, d: profiled(spark, d, SUG_TABLES, "schema").select(
         "table_name", "column_name", F.posexplode("suggested_operations").alias("_p", "operation")).select(
         "table_name", "column_name", (F.col("_p") + 1).cast("int").alias("rank"), "operation"))
 
@@ -245,21 +226,38 @@ def _many_sql() -> str:
 
 
 register("profile_many", _many_sql())(
-    lambda spark, d: profile_tables({t: table(spark, d, t) for t in ALL_TABLES}).select(
+    lambda spark, d: profiled(spark, d, ALL_TABLES, "scalar", "values").select(
         "table_name", "column_name", "type", "rows", "null_count", "unique_count"))
 
 
 # ------------------------------------------------------------------ approximate mode, exact fields
-def _approx_profiles(spark, d):
-    return _union([profile(dirty_events(spark, d) if n == "events_dirty" else table(spark, d, n), n, exact=False)
-                   for n in NULL_TABLES])
-
-
 register("profile_approx", _per_column(
     NULL_TABLES, ALL_KINDS,
     "count(*)::BIGINT AS rows, (count(*) - count({c}))::BIGINT AS null_count, "
     + f"{sql_rnd('min(TRY_CAST({c} AS DOUBLE))')} AS min, {sql_rnd('max(TRY_CAST({c} AS DOUBLE))')} AS max, "
     + f"{sql_rnd('avg(TRY_CAST({c} AS DOUBLE))')} AS mean"))(
-    lambda spark, d: _approx_profiles(spark, d).select(
+    lambda spark, d: profiled(spark, d, NULL_TABLES, "scalar", exact=False).select(
         "table_name", "column_name", "rows", "null_count", rnd("min").alias("min"), rnd("max").alias("max"),
         rnd("mean").alias("mean")))
+
+
+# Approximate mode on columns of any number of distinct values: the smallest values are exact, and so are the
+# counts of the frequent ones (ties, which go by hash, are left out by asking for the largest count only).
+APPROX_VALUE_TABLES = ["orders", "customer"]
+register("profile_approx_values", "\nUNION ALL\n".join([
+    _per_column(APPROX_VALUE_TABLES, {"str"}, "'smallest' AS what, rn::INTEGER AS rank, v AS value",
+                "FROM (SELECT v, row_number() OVER (ORDER BY v) AS rn FROM (SELECT DISTINCT {c}::VARCHAR AS v FROM {src} WHERE {c} IS NOT NULL)) WHERE rn <= 10"),
+    _per_column(APPROX_VALUE_TABLES, {"str"}, "'largest count' AS what, 1 AS rank, max(n)::VARCHAR AS value",
+                "FROM (SELECT count(*) AS n FROM {src} WHERE {c} IS NOT NULL GROUP BY {c})")]))(
+    lambda spark, d: (lambda p: p.select("table_name", "column_name", F.lit("smallest").alias("what"), F.posexplode("distinct_values").alias("_p", "value"))
+                      .select("table_name", "column_name", "what", (F.col("_p") + 1).cast("int").alias("rank"), "value")
+                      .unionByName(p.select("table_name", "column_name", F.lit("largest count").alias("what"), F.lit(1).alias("rank"),
+                                            F.col("value_counts")[0]["count"].cast("string").alias("value"))))(
+        profiled(spark, d, APPROX_VALUE_TABLES, "values", exact=False).where("type = 'string'")))
+
+# -0.0 and 0.0 are one value
+register("profile_unique_zero", """
+SELECT count(DISTINCT CASE WHEN value * (event_id % 3) = 0 THEN 0.0 ELSE value * (event_id % 3) END)::BIGINT AS unique_count FROM events""")(
+    lambda spark, d: profile_tables({"z": table(spark, d, "events").select(
+        (F.col("value") * (F.col("event_id") % 3) * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(
+            F.when(F.col("event_id") % 3 == 0, -1.0).otherwise(1.0))).alias("z"))}, stats=["values"]).select("unique_count"))

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -85,12 +86,13 @@ def test_approximate_mode_close_to_exact(spark):
     assert ex["x"]["unique_count"] == 997
     assert abs(ap["x"]["unique_count"] - 997) <= 997 * 0.05
     assert abs(ap["x"]["p50"] - ex["x"]["p50"]) <= 5
-    assert ap["s"]["unique_count"] == 7 and ap["s"]["value_counts"] == ex["s"]["value_counts"]
+    assert ap["s"]["unique_count"] == 7
+    # ties go by hash in the approximate mode, so which of seven near-equal values is named may differ
+    assert [v["count"] for v in ap["s"]["value_counts"]] == [v["count"] for v in ex["s"]["value_counts"]]
 
 
-def test_sample_rows_and_many(spark):
+def test_sample_fraction_and_many(spark):
     df = spark.range(0, 1000)
-    assert by_name(profile(df, sample_rows=100))["id"]["rows"] == 100
     sampled = by_name(profile(df, sample_fraction=0.5, seed=7))["id"]["rows"]
     assert 350 < sampled < 650 and sampled == by_name(profile(df, sample_fraction=0.5, seed=7))["id"]["rows"]
     both = profile_tables({"a": df, "b": df.selectExpr("id * 2 AS y")})
@@ -98,10 +100,30 @@ def test_sample_rows_and_many(spark):
     assert table_counts(df, "a").first()["columns"] == 1
 
 
-def test_approximate_mode_skips_value_pass_for_high_cardinality_text(spark):
-    df = spark.range(0, 3000).select(F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text"),
-                                     (F.col("id") % 3).cast("string").alias("kind"))
+def test_approximate_mode_gives_values_of_any_column(spark):
+    df = spark.range(0, 3000).select(F.concat(F.lit("doc "), F.col("id").cast("string")).alias("text"), F.col("id").alias("n"),
+                                     (F.col("id") % 3).cast("string").alias("kind"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("mixed"))
     p = by_name(profile(df, exact=False))
-    assert p["text"]["value_counts"] is None and p["text"]["examples"] == ["doc 0", "doc 999"]
-    assert abs(p["text"]["unique_count"] - 3000) < 150 and not p["text"]["is_categorical"]
-    assert [v["value"] for v in p["kind"]["value_counts"]] == ["0", "1", "2"]
+    e = by_name(profile(df))
+    for c in ("text", "n", "kind", "mixed"):
+        assert p[c]["examples"] == e[c]["examples"] and p[c]["distinct_values"] == e[c]["distinct_values"]
+        assert abs(p[c]["unique_count"] - e[c]["unique_count"]) <= 0.05 * e[c]["unique_count"]
+    assert len(p["text"]["value_counts"]) == 5 and {v["count"] for v in p["text"]["value_counts"]} == {1}
+    assert p["mixed"]["value_counts"][0].asDict() == {"value": "hot", "count": 1500}
+    assert p["n"]["examples"] == ["0", "1", "2"] and not p["text"]["is_categorical"]
+
+
+def test_only_the_statistics_asked_for(spark):
+    df = spark.range(0, 50).withColumn("s", F.lit("a"))
+    assert by_name(profile(df, stats=["schema"]))["id"].asDict() | {"rows": None} == by_name(profile(df, stats=["schema"]))["id"].asDict()
+    scalar = by_name(profile(df, stats=["scalar"], columns=["id"]))
+    assert list(scalar) == ["id"] and scalar["id"]["max"] == 49.0 and scalar["id"]["unique_count"] is None and scalar["id"]["p50"] is None
+    assert by_name(profile(df, stats=["percentiles"]))["id"]["p50"] == 24.5
+    with pytest.raises(ValueError):
+        profile(df, stats=["everything"])
+
+
+def test_negative_zero_is_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
+    p = by_name(profile(df))["x"]
+    assert p["unique_count"] == 2 and p["examples"] == ["0.0", "1.0"]
