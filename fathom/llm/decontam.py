@@ -1,14 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 1. Words of the test items are counted over the whole corpus (map-side sums).
-2. Every window of an item names its rarest terms. Their postings (term, document, position) are the
-   index: one pass over the corpus, a table in the shared folder, beside one length record a document.
-3. Postings meet the item offsets of their term; position - offset is the diagonal of an occurrence.
-   Lists are intersected by grouping on (item, document, diagonal): only where enough distinct
-   offsets agree can a window occur.
-4. The documents of those candidates are read again and each diagonal is compared word by word, so
-   a phrase match is exact. Proximity matches are windows whose rarest terms all lie within
-   ``slop`` positions of their places.
+2. Of each item the rarest terms are chosen so that every window holds ``RAREST`` of them. One pass over
+   the corpus builds their postings: the index is sharded by document, one row a segment (at most
+   ``SEGMENT_DOCS`` documents, about ``SEGMENT_WORDS`` words) with its postings (term, document, position) in term
+   order, beside the documents' lengths. It is stored in the shared folder; building it moves no row.
+3. Each segment meets the item offsets of its terms; position - offset is the diagonal of an
+   occurrence. The offset-adjusted lists are intersected per (item, document): only where enough distinct
+   offsets agree on a diagonal can a window occur.
+4. Those diagonals are compared word by word while the segment's documents are at hand, so a phrase match is
+   exact. Proximity matches are windows whose chosen terms all lie within ``slop`` positions of their places.
 
 Test items are a stated query set. They are worked off in blocks of at most ``BLOCK_BYTES`` of text, so
 what a task holds of them is bounded however large the benchmark is.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from fathom.llm.common import K1, K2, row_key, saved, ship
 WINDOW = 10
 RAREST = 3
 SLOP = 3
+SEGMENT_DOCS = 512
+SEGMENT_WORDS = 1 << 19
 BLOCK_BYTES = 2 << 20
 _WORD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32
               for b in range(256))
@@ -45,13 +49,22 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> list[DataFrame]:
 
 
 def _chosen(item: list[bytes], counts: dict, window: int, rarest: int) -> dict[int, list[int]]:
-    """Window start -> its rarest offsets, for the windows all of whose words occur in the corpus."""
-    size, out = min(window, len(item)), {}
-    for s in range(len(item) - size + 1 if size else 0):
-        rank = sorted((counts.get(item[q], 0), q) for q in range(s, s + size))
-        if rank[0][0]:
-            out[s] = sorted(q for _, q in rank[:rarest])
-    return out
+    """Window start -> offsets of its chosen terms, for the windows all of whose words occur in the corpus.
+
+    Offsets are taken from the rarest term up while a window that holds them still lacks some, so
+    neighbouring windows share them and few postings are stored.
+    """
+    size = min(window, len(item))
+    starts = [s for s in range(len(item) - size + 1 if size else 0) if all(counts.get(w) for w in item[s:s + size])]
+    lacks, taken = dict.fromkeys(starts, min(rarest, size)), []
+    for q in sorted(range(len(item)), key=lambda q: (counts.get(item[q], 0), q)):
+        short = [s for s in range(max(0, q - size + 1), q + 1) if lacks.get(s)]
+        if short:
+            taken.append(q)
+            for s in range(max(0, q - size + 1), q + 1):
+                if s in lacks:
+                    lacks[s] = max(0, lacks[s] - 1)
+    return {s: sorted([q for q in taken if s <= q < s + size][:rarest]) for s in starts}
 
 
 def _phrases(doc: list[bytes], item: list[bytes], diagonals: set[int], window: int) -> list[tuple[int, int]]:
@@ -81,25 +94,29 @@ def _near(pairs: list[tuple[int, int]], chosen: dict[int, list[int]], slop: int)
     return False
 
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], doc_id: str, text: str) -> DataFrame:
-    """Postings (term, K1, K2, pos) of ``terms`` and one record (term null, pos = number of words, doc_id) a document."""
-    held = docs.sparkSession.sparkContext.broadcast(terms)
+def _intersect(term: np.ndarray, doc: np.ndarray, pos: np.ndarray, places: np.ndarray, need: np.ndarray, slop: int):
+    """(item, doc, diagonal, offset) of the postings of a segment that may be part of a match.
 
-    def run(batches):
-        for b in batches:
-            ids = held.value
-            k1, k2, own = (b.column(c).to_pylist() for c in (0, 1, 2))
-            rows = [[], [], [], [], []]
-            for i, body in enumerate(b.column(3)):
-                doc = words(body.as_py())
-                hit = [(t, p) for p, t in enumerate(map(ids.get, doc)) if t is not None]
-                n = len(hit) + 1
-                for out, more in zip(rows, ([None] + [t for t, _ in hit], [k1[i]] * n, [k2[i]] * n, [len(doc)] + [p for _, p in hit], [own[i]] + [None] * (n - 1))):
-                    out += more
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], ["term", K1, K2, "pos", "doc_id"])
-
-    source = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    return saved(source.mapInArrow(run, f"term long, {K1} long, {K2} long, pos long, doc_id long"))
+    ``places``: (term, item, offset) by term; ``need``: distinct offsets a match of an item has at least. Kept
+    are postings in a pair of neighbouring diagonal bands of width slop + 1 with so many distinct offsets.
+    """
+    low, high = np.searchsorted(places[:, 0], term, "left"), np.searchsorted(places[:, 0], term, "right")
+    n = high - low
+    post = np.repeat(np.arange(len(term)), n)
+    place = np.arange(len(post)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    item, offset = places[place, 1], places[place, 2]
+    pair, diag = item * SEGMENT_DOCS + doc[post], pos[post].astype(np.int64) - offset
+    keep = np.zeros(len(post), bool)
+    band = (diag + (1 << 31)) // (slop + 1)
+    for shift in (0, 1):
+        key = (pair << 32) + (band + shift) // 2      # bands 2k, 2k + 1 meet once, 2k - 1, 2k the other time
+        order = np.lexsort((offset, key))
+        k, o = key[order], offset[order]
+        fresh = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]
+        group = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
+        enough = np.bincount(group, fresh)[group] >= need[item[order]]
+        keep[order[enough]] = True
+    return item[keep], doc[post][keep], diag[keep], offset[keep]
 
 
 def _term_counts(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -123,46 +140,73 @@ def _block_matches(docs: DataFrame, block: DataFrame, doc_id: str, text: str, wi
     counts = _term_counts(docs, text, {w for _, item in items for w in item})
     chosen = [_chosen(item, counts, window, rarest) for _, item in items]
     terms: dict[bytes, int] = {}
-    offsets = []
-    for k, (_, item) in enumerate(items):
-        for q in sorted({q for qs in chosen[k].values() for q in qs}):
-            offsets.append((terms.setdefault(item[q], len(terms)), k, q, min(rarest, window, len(item))))
-    index = build_index(docs, terms, doc_id, text)
-    places = spark.createDataFrame(offsets or [(-1, -1, 0, 1)], "term long, item int, offset int, need int")
-    met = index.where("term IS NOT NULL").join(places, "term").select("item", "need", K1, K2, (F.col("pos") - F.col("offset")).alias("diag"), "offset")
-    width = slop + 1        # diagonals at most slop apart share a pair of neighbouring bands
-    band = F.floor(F.col("diag") / F.lit(width))
-    groups = (met.withColumn("band", F.explode(F.array(band, band + 1))).groupBy("item", K1, K2, "band")
-              .agg(F.max("need").alias("need"), F.collect_set(F.struct("diag", "offset")).alias("pairs"))
-              .where(F.size(F.array_distinct(F.col("pairs.offset"))) >= F.col("need")))
-    found = groups.groupBy(K1, K2).agg(F.collect_list(F.struct("item", "need", "pairs")).alias("met"))
-    held = spark.sparkContext.broadcast((items, chosen))
+    places = sorted((terms.setdefault(item[q], len(terms)), k, q) for k, (_, item) in enumerate(items) for q in {q for qs in chosen[k].values() for q in qs})
+    need = [min(rarest, window, len(item)) for _, item in items]
+    query = (terms, np.array(places, np.int64).reshape(-1, 3), np.array(need or [1], np.int64), items, chosen)
+    index = build_index(docs, spark.sparkContext.broadcast(query), doc_id, text, window, slop)
+    lengths = index.select(F.explode(F.arrays_zip("doc_id", "k1", "k2", "n_words")).alias("d"))
+    lengths = lengths.select("d.doc_id", F.col("d.k1").alias(K1), F.col("d.k2").alias(K2), F.col("d.n_words").cast("long").alias("n_words"))
+    return lengths, index.select(F.explode("matches").alias("m")).select("m.*")
+
+
+_MATCH = pa.struct([(K1, pa.int64()), (K2, pa.int64()), ("ranges", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
+                    ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+_SEGMENT = ("k1 array<long>, k2 array<long>, doc_id array<long>, n_words array<int>, term array<int>, doc array<int>, pos array<int>, "
+            f"matches array<struct<{K1}:long,{K2}:long,ranges:array<struct<s:long,e:long>>,items:array<string>,near:array<string>>>")
+
+
+def build_index(docs: DataFrame, query, doc_id: str, text: str, window: int, slop: int) -> DataFrame:
+    """The stored segments: per document k1, k2, doc_id, n_words; per posting term, doc (its place in the
+    segment) and pos, by term; and the matches of the items in ``query`` (a broadcast of one block's terms,
+    places, needs, words and chosen offsets)."""
+    def segments(batches):
+        held, size = [], 0
+        for b in batches:
+            for k1, k2, own, body in zip(*(b.column(c) for c in range(4))):
+                doc = words(body.as_py())
+                held.append((k1.as_py(), k2.as_py(), own.as_py(), doc))
+                size += len(doc)
+                if size >= SEGMENT_WORDS or len(held) >= SEGMENT_DOCS:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
 
     def run(batches):
-        for b in batches:
-            own, places = held.value
-            rows = [[], [], [], [], []]
-            for k1, k2, body, met in zip(*(b.column(c).to_pylist() for c in range(4))):
-                doc, pairs, ranges, exact, near = words(body), defaultdict(set), [], set(), set()
-                for m in met:
-                    pairs[m["item"]].update((p["diag"], p["offset"]) for p in m["pairs"])
+        terms, places, need, items, chosen = query.value
+        for held in segments(batches):
+            term, doc, pos = [], [], []
+            for i, (_, _, _, own) in enumerate(held):
+                found = [(t, p) for p, t in enumerate(map(terms.get, own)) if t is not None]
+                term += [t for t, _ in found]
+                pos += [p for _, p in found]
+                doc += [i] * len(found)
+            order = np.argsort(np.array(term, np.int32), kind="stable")
+            term, doc, pos = (np.array(x, np.int32)[order] for x in (term, doc, pos))
+            met: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+            if len(term) and len(places):
+                for item, own, d, q in zip(*(x.tolist() for x in _intersect(term, doc, pos, places, need, slop))):
+                    met[own][item].add((d, q))
+            matches = []
+            for own, pairs in met.items():
+                k1, k2, _, body = held[own]
+                ranges, exact, near = [], set(), set()
                 for k, seen in pairs.items():
-                    need = min(rarest, window, len(own[k][1]))
                     agree = Counter(d for d, _ in seen)
-                    if got := _phrases(doc, own[k][1], {d for d, n in agree.items() if n >= need}, window):
+                    if got := _phrases(body, items[k][1], {d for d, n in agree.items() if n >= need[k]}, window):
                         ranges += got
-                        exact.add(own[k][0])
-                    if _near(seen, places[k], slop):
-                        near.add(own[k][0])
-                for out, x in zip(rows, (k1, k2, [{"s": s, "e": e} for s, e in ranges], sorted(exact), sorted(near))):
-                    out.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds)], [K1, K2, "ranges", "items", "near"])
-
-    texts = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(text).alias("body"))
-    matches = texts.join(found, [K1, K2]).select(K1, K2, "body", "met").mapInArrow(
-        run, f"{K1} long, {K2} long, ranges array<struct<s:long,e:long>>, items array<string>, near array<string>")
-    return index.where("term IS NULL").select("doc_id", K1, K2, F.col("pos").alias("n_words")), matches
+                        exact.add(items[k][0])
+                    if _near(seen, chosen[k], slop):
+                        near.add(items[k][0])
+                if exact or near:
+                    matches.append({K1: k1, K2: k2, "ranges": [{"s": s, "e": e} for s, e in ranges], "items": sorted(exact), "near": sorted(near)})
+            own = [pa.array([[h[c] for h in held]], pa.list_(pa.int64())) for c in range(3)]
+            posts = [pa.array([x], pa.list_(pa.int32())) for x in (term, doc, pos)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([[len(h[3]) for h in held]], pa.list_(pa.int32())), *posts, pa.array([matches], pa.list_(_MATCH))],
+                                             ["k1", "k2", "doc_id", "n_words", "term", "doc", "pos", "matches"])
+
+    source = docs.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
+    return saved(source.mapInArrow(run, _SEGMENT))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
