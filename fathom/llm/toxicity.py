@@ -59,7 +59,7 @@ def _sigmoid(x):
     return 0.5 * (1.0 + np.tanh(0.5 * np.asarray(x, float)))
 
 
-def severity_grades(rows: list[set], flags: np.ndarray, grades: int = GRADES) -> np.ndarray:
+def severity_grades(rows: list, flags: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades 0..grades from a 0/1 flag: flagged rows are split evenly by their share of words that only flagged rows use."""
     bad: dict[str, int] = {}
     good: dict[str, int] = {}
@@ -69,12 +69,12 @@ def severity_grades(rows: list[set], flags: np.ndarray, grades: int = GRADES) ->
             seen[w] = seen.get(w, 0) + 1
     n_bad, n_good = max(1, int(flags.sum())), max(1, int((flags == 0).sum()))
     owned = {w for w, k in bad.items() if k >= MIN_ROWS and (k + 0.5) / n_bad > 20 * (good.get(w, 0) + 0.5) / n_good}
-    share = np.array([len(row & owned) / max(1, len(row)) for row in rows])
+    share = np.array([sum(w in owned for w in row) / max(1, len(row)) for row in rows])
     cuts = np.quantile(share[flags == 1], np.arange(1, grades) / grades) if flags.any() else []
     return np.where(flags == 1, 1 + np.searchsorted(cuts, share, side="left"), 0)
 
 
-def fit_ordinal(rows: list[set], grades: np.ndarray) -> SeverityModel:
+def fit_ordinal(rows: list, grades: np.ndarray) -> SeverityModel:
     """Penalised Newton steps on the shared weights, each followed by gradient steps on the ordered thresholds.
 
     With a = x.w - t_y and b = x.w - t_(y+1), -log(sigmoid(a) - sigmoid(b)) has slope sigmoid(a) + sigmoid(b) - 1
@@ -83,11 +83,10 @@ def fit_ordinal(rows: list[set], grades: np.ndarray) -> SeverityModel:
     top = int(grades.max()) if len(grades) else 0
     if not top or not (grades == 0).any():
         return SeverityModel({}, [0.0 if top else 30.0])
-    rows_f = [{f for w in row for f in features(w)} for row in rows]
     df: tuple = ({}, {})
-    for fs, g in zip(rows_f, grades):
+    for row, g in zip(rows, grades):
         held = df[min(g, 1)]
-        for f in fs:
+        for f in {f for w in row for f in features(w)}:
             held[f] = held.get(f, 0) + 1
     n_bad, n_good = int((grades > 0).sum()), int((grades == 0).sum())
     telling = [f for f, k in df[1].items() if k >= max(MIN_ROWS, MIN_SHARE * n_bad) and k / n_bad >= LIFT * (df[0].get(f, 0) + 1) / n_good]
@@ -100,8 +99,8 @@ def fit_ordinal(rows: list[set], grades: np.ndarray) -> SeverityModel:
     code = {f: k for k, f in enumerate(telling)}
     n, y = len(rows), grades.astype(int)
     x = np.zeros((n, len(code)))
-    for i, fs in enumerate(rows_f):
-        x[i, [code[f] for f in fs if f in code]] = 1.0
+    for i, row in enumerate(rows):
+        x[i, [code[f] for w in row for f in features(w) if f in code]] = 1.0
     cum = np.clip([(y >= k).mean() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
     w, t, i = np.zeros(len(code)), -np.log(cum / (1 - cum)), np.arange(n)
 
@@ -154,8 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words(x.as_py())) for x in b.column(2)], pa.list_(pa.string()))], ["id", "y", "words"])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body")).join(F.broadcast(sample), "id")    # sample_rows ids at most
-    got = texts.select("id", "y", "body").mapInArrow(run, "id long, y int, words array<string>").toPandas().sort_values("id", kind="stable")
-    rows, y = [set(r) for r in got["words"]], np.maximum(got["y"].to_numpy(int), 0)
+    got = texts.select("id", "y", "body").mapInArrow(run, "id long, y int, words array<string>").toArrow().sort_by("id").combine_chunks()
+    # one copy of each word for the whole sample
+    lists = got["words"].combine_chunks()
+    coded, ends = lists.flatten().dictionary_encode(), np.cumsum(np.array([len(x) for x in lists], np.int64))
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    rows = [tuple(names[k] for k in part) for part in np.split(at, ends[:-1])] if len(ends) else []
+    y = np.maximum(got["y"].to_numpy().astype(int), 0)
     return fit_ordinal(rows, y if grade else severity_grades(rows, y))
 
 
