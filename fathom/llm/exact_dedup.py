@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import K1, K2, join_counted, keep_keyed, row_key, saved, ship
+from fathom.llm.common import HEAVY_SHARES, K1, K2, join_counted, keep_keyed, row_key, saved, ship
 
 DIGESTS_PER_BUCKET = 1 << 17
 FILTER_SCHEMA = "bucket long, seed long, length long, segments long, slots binary"
@@ -141,12 +141,18 @@ def exact_groups(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text:
     buckets = max(1, -(-max(old, new) // DIGESTS_PER_BUCKET))
     snapshot, batch = groups.where("not new"), groups.where("new")
     positive = screen(batch, snapshot_filters(snapshot, buckets), buckets)
-    repeated = (groups.where("n > 1").select("digest")
-                .unionByName(positive.join(snapshot.select("digest"), "digest", "left_semi")).distinct())
+    repeated = saved(groups.where("n > 1").select("digest")
+                     .unionByName(positive.join(snapshot.select("digest"), "digest", "left_semi")).distinct())
     # byte check: every row of a repeated digest is grouped by its whole text
     members = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), _digest(F.col(text)).alias("digest"))
-    by_bytes = (members.join(repeated, "digest", "left_semi").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"))
-                .select("digest", F.xxhash64("body").alias("second"), "group_size"))
+    # digests of more than 1 / HEAVY_SHARES of all rows (so at most HEAVY_SHARES) are picked by broadcast: their texts are
+    # combined where they are read, and no other digest fills a task
+    sizes = groups.groupBy("digest").agg(F.sum("n").alias("n"))
+    hot = F.broadcast(saved(sizes.where(F.col("n") * HEAVY_SHARES > F.lit(total or 0)).join(repeated, "digest", "left_semi").select("digest")))
+    by_bytes = None
+    for part in (members.join(hot, "digest", "left_semi"), members.join(hot, "digest", "left_anti").join(repeated, "digest", "left_semi")):
+        part = part.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size")).select("digest", F.xxhash64("body").alias("second"), "group_size")
+        by_bytes = part if by_bytes is None else by_bytes.unionByName(part)
     best = rows.groupBy("digest", "second").agg(F.max(F.struct("doc_id", "uid")).alias("best"))
     dim = saved(best.join(by_bytes, ["digest", "second"], "inner"))
     out = join_counted(rows, dim, ["digest", "second"], "group_size", total or 0)
