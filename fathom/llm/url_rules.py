@@ -21,7 +21,6 @@ DEFAULT = "allow"
 MIN_SUPPORT = 0.002
 MIN_ROWS = 8            # no rule rests on fewer labelled URLs
 MIN_CONFIDENCE = 0.85
-MAX_TOKENS = 8          # tokens of a transaction: those that tell the labels apart best
 LABEL = "="             # marks the label item of a transaction; no token starts with it
 
 
@@ -63,12 +62,12 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         named("scheme:", F.array(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), "^([a-z][a-z0-9+.-]*)://", 1)))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple]:
     """(verdict, tokens, confidence, support) rules from (tokens, verdict) transactions, pruned, in order of preference.
 
     Tokens below the support cannot be in a frequent set, so those above it (at most tokens a URL /
-    support of them) are all that reaches the driver. Each transaction keeps its ``max_tokens`` most
-    telling tokens, which bounds the sets mined by 2^max_tokens / support.
+    support of them) are all that reaches the driver. Transactions keep every token above the support, so
+    supports and confidences are those of whole URLs; only the support bounds the sets mined.
     """
     labelled = saved(labelled.select("tokens", "verdict"))
     share = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}      # one row a verdict
@@ -76,20 +75,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if len(share) < 2:
         return []
     min_support = min(1.0, max(min_support, MIN_ROWS / total))
-    seen = (labelled.select(F.explode("tokens").alias("token"), "verdict").groupBy("token")
-            .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("verdict") == v).alias(f"n_{k}") for k, v in enumerate(sorted(share))])
-            .where(F.col("n") >= min_support * total).collect())
-    telling = {}
-    for r in seen:
-        tilt = max(abs(r[2 + k] / r[1] - share[v] / total) for k, v in enumerate(sorted(share)))
-        telling[r[0]] = tilt * (r[1] / total) ** 0.5
-    if not telling:
+    rarity = {r[0]: r[1] for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+              .where(F.col("n") >= min_support * total).collect()}
+    if not rarity:
         return []
-    rank = {t: k for k, t in enumerate(sorted(telling, key=lambda t: (-telling[t], t)))}
-    ranks = F.create_map(*[F.lit(x) for t, k in rank.items() for x in (t, k)])
-    known = F.filter(F.col("tokens"), lambda t: F.element_at(ranks, t).isNotNull())
-    best = F.transform(F.slice(F.array_sort(F.transform(known, lambda t: F.struct(F.element_at(ranks, t).alias("rank"), t.alias("token")))), 1, max_tokens), lambda s: s["token"])
-    baskets = labelled.select(F.array_append(best, F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
+    frequent = F.create_map(*[F.lit(x) for t in sorted(rarity) for x in (t, True)])
+    known = F.filter(F.col("tokens"), lambda t: F.element_at(frequent, t).isNotNull())
+    baskets = labelled.select(F.array_append(known, F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = (model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit(LABEL))))
              .select(F.substr(F.col("consequent")[0], F.lit(len(LABEL) + 1)), F.array_sort("antecedent"), "confidence", "support").collect())
@@ -97,7 +89,6 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     for verdict, items, confidence, support in sorted(found, key=lambda r: (len(r[1]), -r[2], -r[3], r[1])):
         if not any(v == verdict and c >= confidence - 1e-9 and set(t) <= set(items) for v, t, c, _ in rules):
             rules.append((verdict, tuple(items), confidence, support))
-    rarity = {r[0]: r[1] for r in seen}
     return sorted([(v, tuple(sorted(t, key=lambda x: (rarity[x], x))), c, s) for v, t, c, s in rules], key=lambda r: (-r[2], -r[3], r[1]))
 
 

@@ -197,3 +197,16 @@ def test_rules_are_pruned_and_matched_by_their_tokens(spark):
     assert {(v, t) for v, t, _, _ in rules} == {("block", ("b",)), ("allow", ("c",))}
     got = spark.createDataFrame([(["b", "z"],), (["c", "b"],), (["a"],), ([],)], "t array<string>").select(U.mined_rule(F.col("t"), rules)["verdict"]).collect()
     assert [r[0] for r in got] in (["block", "allow", None, None], ["block", "block", None, None])
+
+
+def test_rules_rest_on_every_token_of_a_long_url(spark):
+    rows = []
+    for i in range(400):
+        own = [t for t, there in (("p", i % 4 in (0, 1)), ("q", i % 4 in (0, 2))) if there]
+        block = i % 4 in (0, 3)
+        rows.append(([f"s{k}" for k in range(8) if block or i // 4 % 8 != k] + own, "block" if block else "allow"))
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.1)
+    assert ("block", {"p", "q"}) in [(v, set(t)) for v, t, _, _ in rules]
+    for verdict, needs, confidence, support in rules:
+        met = [v for t, v in rows if set(needs) <= set(t)]
+        assert (confidence, support) == pytest.approx((met.count(verdict) / len(met), met.count(verdict) / 400))
