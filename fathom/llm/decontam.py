@@ -9,7 +9,8 @@
    occurrence. The offset-adjusted lists are intersected per (item, document): only where enough distinct
    offsets agree on a diagonal can a window occur.
 4. Those diagonals are compared word by word while the segment's documents are at hand, so a phrase match is
-   exact. Proximity matches are windows whose chosen terms all lie within ``slop`` positions of their places.
+   exact. Proximity matches are windows whose chosen terms all lie within ``slop`` positions of their places;
+   words that the corpus lacks are never chosen, so such a window may hold some.
 
 Test items are a stated query set. They are worked off in blocks of at most ``BLOCK_BYTES`` of text, so
 what a task holds of them is bounded however large the benchmark is.
@@ -48,16 +49,18 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k) for k in range(n)]
 
 
-def _chosen(item: list[bytes], counts: dict, window: int, rarest: int) -> dict[int, list[int]]:
-    """Window start -> offsets of its chosen terms, for the windows all of whose words occur in the corpus.
+def _chosen(item: list[bytes], counts: dict, window: int, rarest: int, whole: bool = True) -> dict[int, list[int]]:
+    """Window start -> offsets of its chosen terms, for the windows all of whose words occur in the corpus;
+    if not ``whole``, for those with as many words that occur as are chosen.
 
     Offsets are taken from the rarest term up while a window that holds them still lacks some, so
     neighbouring windows share them and few postings are stored.
     """
     size = min(window, len(item))
-    starts = [s for s in range(len(item) - size + 1 if size else 0) if all(counts.get(w) for w in item[s:s + size])]
+    least = size if whole else min(rarest, size)
+    starts = [s for s in range(len(item) - size + 1 if size else 0) if sum(counts.get(w, 0) > 0 for w in item[s:s + size]) >= least]
     lacks, taken = dict.fromkeys(starts, min(rarest, size)), []
-    for q in sorted(range(len(item)), key=lambda q: (counts.get(item[q], 0), q)):
+    for q in sorted((q for q in range(len(item)) if counts.get(item[q])), key=lambda q: (counts[item[q]], q)):
         short = [s for s in range(max(0, q - size + 1), q + 1) if lacks.get(s)]
         if short:
             taken.append(q)
@@ -138,7 +141,7 @@ def _block_matches(docs: DataFrame, block: DataFrame, doc_id: str, text: str, wi
     spark = docs.sparkSession
     items = [(r[0], w) for r in block.collect() if (w := words(r[1]))]       # at most BLOCK_BYTES and one item
     counts = _term_counts(docs, text, {w for _, item in items for w in item})
-    chosen = [_chosen(item, counts, window, rarest) for _, item in items]
+    chosen = [_chosen(item, counts, window, rarest, whole=False) | _chosen(item, counts, window, rarest) for _, item in items]
     terms: dict[bytes, int] = {}
     places = sorted((terms.setdefault(item[q], len(terms)), k, q) for k, (_, item) in enumerate(items) for q in {q for qs in chosen[k].values() for q in qs})
     need = [min(rarest, window, len(item)) for _, item in items]

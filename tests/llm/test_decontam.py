@@ -70,6 +70,14 @@ def test_proximity_finds_a_phrase_with_a_word_put_in(spark):
     assert got == {1: (0, ["5"]), 2: (0, [])}
 
 
+def test_proximity_finds_a_window_with_a_word_that_the_corpus_lacks(spark):
+    item = "alpha beta gamma delta answer epsilon zeta eta theta iota"
+    docs = [(1, "so alpha beta gamma delta reply epsilon zeta eta theta iota it goes"), (2, "alpha " + "x " * 30 + "delta zeta"), (3, item.replace("answer", "")), (4, "iota of theta")]
+    for items, near in (([(5, item)], ["5"]), ([(5, "none of these words occurs but alpha and beta here")], [])):
+        got = {r.doc_id: (r.n_hit, r.near_items) for r in D.contamination(_frame(spark, docs, "doc_id"), _frame(spark, items, "item_id")).collect()}
+        assert got == {1: (0, near), 2: (0, []), 3: (0, near), 4: (0, [])}
+
+
 def test_chosen_offsets_cover_every_window():
     rng = random.Random(9)
     for _ in range(50):
