@@ -126,11 +126,11 @@ def _temperature(w: np.ndarray, rows: list) -> float:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """Learn from rows with a language and a letter; None if there are none.
 
-    The sample is the distinct texts of a language with the smallest hashes. The count of a language sets
-    a hash below which about 1.5 times its quota lie, so only those texts are moved and sorted.
+    The sample is the distinct texts of a language with the smallest hashes. The count of a language's
+    distinct texts sets a hash below which about twice its quota lie, so only those texts are moved and sorted.
     """
     rows = docs.select(F.col(text).alias("body"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text), F.lit(3)).alias("pick")).where("lang IS NOT NULL AND body IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}      # the languages: a value each
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count_distinct("pick")).collect()}      # the languages: a value each
     classes = sorted(sizes)
     if not classes:
         return None
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
         return None
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     quota = max(20, sample_rows // len(classes))
-    below = F.create_map(*[F.lit(x) for c in classes for x in (c, int(min(1.0, (1.5 * quota + 10) / sizes[c]) * (2.0 ** 64 - 2 ** 12)) - 2 ** 63)])
+    below = F.create_map(*[F.lit(x) for c in classes for x in (c, int(min(1.0, (2.0 * quota + 40) / sizes[c]) * (2.0 ** 64 - 2 ** 12)) - 2 ** 63)])
     low = rows.where((F.col("pick") <= F.element_at(below, F.col("lang")))).groupBy("lang", "pick").agg(F.first("body").alias("body"))
     sample = low.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("k") <= quota)
 

@@ -94,6 +94,14 @@ def test_a_text_with_many_copies_is_learned_once(spark):
     assert L.fit(spark.createDataFrame(rows, "text string, lang string"), sample_rows=100).classes == ["de", "en"]
 
 
+def test_a_language_made_mostly_of_copies_fills_its_quota(spark):
+    tails = ["".join(chr(97 + (i * p) % 26) for p in (3, 5, 7)) for i in range(60)]
+    rows = [(f"the cat and dog {t}", "en") for t in tails for _ in range(400)] + [(f"der hund und katze {t}", "de") for t in tails]
+    m = L.fit(spark.createDataFrame(rows, "text string, lang string").repartition(4), sample_rows=100)
+    got = L.predict(spark.createDataFrame([("the dog and cat",), ("katze und hund",)], "text string"), m, ["text"]).collect()
+    assert {r.text: r.lang_pred for r in got} == {"the dog and cat": "en", "katze und hund": "de"}
+
+
 # ---- personal data
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
