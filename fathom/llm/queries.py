@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, toxicity, url_rules
+from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, toxicity, url_rules, whitening
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op7_line_dedup(spark, sf_dir):
 @register("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model, ["vec_id"], error=whitening.identity_error(vectors, model))
+    # a deviation beyond 64 bits has no long: null
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
