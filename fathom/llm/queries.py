@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, toxicity, url_rules, whitening
+from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, token_align, toxicity, url_rules, whitening
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op13_whitening(spark, sf_dir):
     rows = whitening.whiten(vectors, model, ["vec_id"], error=whitening.identity_error(vectors, model))
     # a deviation beyond 64 bits has no long: null
     return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+@register("op11_token_align")
+def op11_token_align(spark, sf_dir):
+    rows = token_align.score_alignment(table(spark, sf_dir, "documents"), ["doc_id"])
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -293,7 +293,7 @@ def _triangle(rows: DataFrame, dims: int, n: int, sums: list) -> np.ndarray:
 
     schema = "row array<double>"
     some = rows.mapInArrow(first, schema).repartition(REDUCERS).mapInArrow(again, schema)
-    got = some.coalesce(1).mapInArrow(again, schema).collect()          # at most dims rows
+    got = some.repartition(1).mapInArrow(again, schema).collect()          # at most dims rows
     r = np.zeros((dims, dims))
     if got:
         r[:len(got)] = np.array([row["row"] for row in got])
