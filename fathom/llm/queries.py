@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, simhash, source_mix, suffix_dedup, token_align, toxicity, url_rules, whitening
+from fathom.llm import decontam, exact_dedup, langid, line_dedup, pii, quality, simhash, source_mix, suffix_dedup, token_align, toxicity, url_rules, whitening
 from fathom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,10 @@ def op13_whitening(spark, sf_dir):
 def op11_token_align(spark, sf_dir):
     rows = token_align.score_alignment(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register("op12_quality")
+def op12_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return rows.drop("p_good")
