@@ -21,6 +21,34 @@ HEAVY_SHARES = 4000
 K1, K2 = "__llm_k1", "__llm_k2"
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def position(docs: DataFrame, name: str) -> int:
+    """Where a column stands: the one of exactly this name, else the first that differs in case only."""
+    names = docs.columns
+    return names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+
+
+def only(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, picked by position: columns with dots, backticks or names that differ in case are no matter."""
+    flat = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return flat.select(*[F.col(f"c{position(docs, n)}").alias(n) for n in names])
+
+
+def packed(docs: DataFrame, **named: str) -> DataFrame:
+    """``row`` (struct of all columns by position: c0, c1, ...) beside the columns that ``named`` asks for."""
+    flat = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return flat.select(F.struct(*flat.columns).alias("row"), *[F.col(f"c{position(docs, n)}").alias(alias) for alias, n in named.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], *more: str) -> DataFrame:
+    """The columns that ``packed`` put into ``row`` under their own names again, then the columns ``more``."""
+    return rows.select(*[F.col(f"row.c{k}") for k in range(len(names))], *more).toDF(*names, *more)
+
+
 def ship(module: str) -> None:
     """Send this module's functions to the workers by value, so executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
@@ -65,11 +93,13 @@ def join_counted(rows: DataFrame, dim: DataFrame, keys: list[str], size: str, to
 def keep_keyed(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose identity is in ``keep`` (K1, K2, n: how many rows carry it), each identity once.
 
-    ``n`` = 1 rows need no further work; identities that several equal rows carry leave one of them.
+    ``n`` = 1 rows need no further work; identities that several equal rows carry leave one of them. The
+    documents' own columns travel in one struct, so they may have any name.
     """
-    keyed = docs.select("*", *row_key(F.col(doc_id), F.col(text)))
+    names = docs.columns
+    keyed = packed(docs, doc_id=doc_id, text=text).select("row", *row_key(F.col("doc_id"), F.col("text")))
     if keep.where("n > 1").isEmpty():
-        return keyed.join(keep.select(K1, K2), [K1, K2], "left_semi").select(*docs.columns)
+        return unpacked(keyed.join(keep.select(K1, K2), [K1, K2], "left_semi"), names)
     joined = keyed.join(keep.select(K1, K2, F.col("n").alias("__llm_n")), [K1, K2], "inner")
     once = joined.where("__llm_n = 1").unionByName(joined.where("__llm_n > 1").dropDuplicates([K1, K2]))
-    return once.select(*docs.columns)
+    return unpacked(once, names)

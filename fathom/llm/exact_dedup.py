@@ -3,23 +3,29 @@
 1. Rows become (doc_id, SHA-256, second hash); equal rows are counted per digest with map-side
    combine, so a group of copies of any size is one row per task before the shuffle.
 2. A snapshot never changes, so its distinct digests are frozen into 8-bit binary-fuse filters, one
-   per digest bucket (the bucket count follows the number of digests, so one filter stays small).
+   per digest bucket (the bucket count follows the number of digests, so one filter stays small). ``freeze``
+   stores digests and filters in a folder; ``Snapshot`` opens it again for any number of later batches.
 3. The distinct digests of the new batch are probed bucket by bucket. A negative is certainly new;
    its copies inside the batch are grouped separately. A positive joins the snapshot's exact bucket.
 4. All groups of two or more rows are grouped once more by their bytes, so a group is never
-   the work of a hash alone.
+   the work of a hash alone. Texts are combined where they are read, so copies in one task move as one
+   text; a bitmap of fixed size over the repeated digests keeps nearly all other texts from moving.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import HEAVY_SHARES, K1, K2, join_counted, keep_keyed, row_key, saved, ship
+from fathom.llm.common import K1, K2, join_counted, keep_keyed, only, row_key, saved, ship
+from fathom.session import scratch_path
 
 DIGESTS_PER_BUCKET = 1 << 17
+BITMAP_WORDS = 1 << 18        # 64-bit words of the bitmap of repeated digests: what is broadcast, at any size of data
 FILTER_SCHEMA = "bucket long, seed long, length long, segments long, slots binary"
 
 
@@ -105,15 +111,47 @@ def _probe(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     return batch.loc[hit, ["digest"]]
 
 
-def snapshot_filters(digests: DataFrame, buckets: int) -> DataFrame:
-    """One filter row per bucket over the distinct ``digest`` values of an immutable snapshot."""
-    return _bucketed(digests, buckets).groupBy("bucket").applyInPandas(_build, FILTER_SCHEMA)
+@dataclass
+class Snapshot:
+    """A frozen set of digests in a folder that driver and executors share: its distinct digests and a filter a bucket."""
+    spark: SparkSession
+    path: str
+
+    @property
+    def digests(self) -> DataFrame:
+        return self.spark.read.schema("digest binary, key long, bucket long").parquet(f"{self.path}/digests")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self.spark.read.schema(FILTER_SCHEMA).parquet(f"{self.path}/filters")
+
+    @property
+    def buckets(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/size").head()["buckets"]
+
+    def may_hold(self, digests: DataFrame) -> DataFrame:
+        """The ``digest`` values (distinct) of a batch that the filters do not rule out: all that are in the snapshot, 1 in 256 others."""
+        return (_bucketed(digests, self.buckets).groupBy("bucket").cogroup(self.filters.groupBy("bucket"))
+                .applyInPandas(_probe, "digest binary"))
+
+    def holds(self, digests: DataFrame) -> DataFrame:
+        """The ``digest`` values (distinct) of a batch that are in the snapshot: those the filters let through, joined with the exact buckets."""
+        return self.may_hold(digests).join(self.digests.select("digest"), "digest", "left_semi")
+
 
+def freeze(digests: DataFrame, path: str | None = None, expected: int | None = None) -> Snapshot:
+    """Store the distinct ``digest`` values and one filter per bucket under ``path`` (a scratch folder without one).
 
-def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The ``digest`` values of a batch that a snapshot's filters do not rule out."""
-    return (_bucketed(digests, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket"))
-            .applyInPandas(_probe, "digest binary"))
+    The folder must not exist yet: a snapshot is never changed, a later one gets a folder of its own.
+    """
+    spark, path = digests.sparkSession, path or scratch_path(digests.sparkSession, "snapshot")
+    distinct = digests.select("digest").distinct()
+    buckets = max(1, -(-(distinct.count() if expected is None else expected) // DIGESTS_PER_BUCKET))
+    _bucketed(distinct, buckets).write.parquet(f"{path}/digests")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/size")
+    snapshot = Snapshot(spark, path)
+    snapshot.digests.groupBy("bucket").applyInPandas(_build, FILTER_SCHEMA).write.parquet(f"{path}/filters")
+    return snapshot
 
 
 def _bucketed(digests: DataFrame, buckets: int) -> DataFrame:
@@ -125,34 +163,42 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def _place(digest: Column) -> list[Column]:
+    """Word and bit of a digest in the bitmap."""
+    at = F.pmod(F.xxhash64(digest, F.lit(3)), F.lit(64 * BITMAP_WORDS))
+    return [F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")]
+
+
+def _maybe_repeated(members: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows of ``members`` whose digest's bit is set by a repeated digest: all rows of those, few others while there are
+    far fewer of them than bits. The bitmap has at most BITMAP_WORDS rows; a hot digest is never moved to be looked up."""
+    bitmap = saved(repeated.select(*_place(F.col("digest"))).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    placed = members.select("*", *_place(F.col("digest"))).join(F.broadcast(bitmap), "word")
+    return placed.where("(bits & bit) <> 0").drop("word", "bit", "bits")
+
+
 def exact_groups(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Group equal texts of a snapshot (rows where ``is_new`` is not true) and a new batch.
 
     Returns one row per input row: doc_id, K1, K2 (identity), digest, keep_id, group_size, kept. Of equal texts the
     row with the largest doc_id stays (null ids are smallest); of rows that repeat an id too, one
-    stays. Null counts as the empty text. An empty table gives an empty result.
+    stays. Null counts as the empty text. An empty table gives an empty result. Only the two named columns are read,
+    whatever the others are called; ``is_new`` speaks of them as doc_id and text.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = saved(docs.select(F.col(doc_id).alias("doc_id"), *row_key(F.col(doc_id), F.col(text)), _digest(F.col(text)).alias("digest"),
+    docs = only(docs, doc_id, text).toDF("doc_id", "text")
+    body = F.coalesce("text", F.lit(""))
+    rows = saved(docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), _digest(F.col("text")).alias("digest"),
                              F.xxhash64(body).alias("second"), F.coalesce(is_new, F.lit(False)).alias("new"))
                  .withColumn("uid", F.monotonically_increasing_id()))
     groups = saved(rows.groupBy("digest", "new").agg(F.count(F.lit(1)).alias("n")))
-    total, old, new = groups.agg(F.sum("n"), F.count_if(~F.col("new")), F.count_if("new")).head()
-    buckets = max(1, -(-max(old, new) // DIGESTS_PER_BUCKET))
-    snapshot, batch = groups.where("not new"), groups.where("new")
-    positive = screen(batch, snapshot_filters(snapshot, buckets), buckets)
-    repeated = saved(groups.where("n > 1").select("digest")
-                     .unionByName(positive.join(snapshot.select("digest"), "digest", "left_semi")).distinct())
-    # byte check: every row of a repeated digest is grouped by its whole text
-    members = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), _digest(F.col(text)).alias("digest"))
-    # digests of more than 1 / HEAVY_SHARES of all rows (so at most HEAVY_SHARES) are picked by broadcast: their texts are
-    # combined where they are read, and no other digest fills a task
-    sizes = groups.groupBy("digest").agg(F.sum("n").alias("n"))
-    hot = F.broadcast(saved(sizes.where(F.col("n") * HEAVY_SHARES > F.lit(total or 0)).join(repeated, "digest", "left_semi").select("digest")))
-    by_bytes = None
-    for part in (members.join(hot, "digest", "left_semi"), members.join(hot, "digest", "left_anti").join(repeated, "digest", "left_semi")):
-        part = part.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size")).select("digest", F.xxhash64("body").alias("second"), "group_size")
-        by_bytes = part if by_bytes is None else by_bytes.unionByName(part)
+    total, old = groups.agg(F.sum("n"), F.count_if(~F.col("new"))).head()
+    snapshot = freeze(groups.where("not new").select("digest"), expected=old)
+    again = snapshot.holds(groups.where("new").select("digest"))
+    repeated = saved(groups.where("n > 1").select("digest").unionByName(again).distinct())
+    # byte check: the rows of repeated digests are grouped by their whole texts, combined where they are read
+    members = docs.select(body.alias("body"), _digest(F.col("text")).alias("digest"))
+    by_bytes = (_maybe_repeated(members, repeated).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"))
+                .where("group_size > 1").select("digest", F.xxhash64("body").alias("second"), "group_size"))
     best = rows.groupBy("digest", "second").agg(F.max(F.struct("doc_id", "uid")).alias("best"))
     dim = saved(best.join(by_bytes, ["digest", "second"], "inner"))
     out = join_counted(rows, dim, ["digest", "second"], "group_size", total or 0)
@@ -168,8 +214,12 @@ def in_new_batch(doc_id: Column) -> Column:
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without its exact copies: of equal texts the row with the largest id stays, all columns as they were."""
-    groups = exact_groups(docs, in_new_batch(F.col(doc_id)), doc_id, text)
+    """``docs`` without its exact copies: of equal texts the row with the largest id stays, all columns as they were.
+
+    Null counts as the empty text, null ids are smallest, of fully equal rows one stays; an empty table stays empty.
+    Further columns may have any name.
+    """
+    groups = exact_groups(docs, in_new_batch(F.col("doc_id")), doc_id, text)
     keep = saved(groups.groupBy(K1, K2).agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept")).where("kept"))
     return keep_keyed(docs, keep, doc_id, text)
 

@@ -58,6 +58,33 @@ def test_drop_copies_keeps_columns_with_clashing_names(spark):
     assert sorted((r.doc_id, r.digest, r.kept, r.n) for r in out.collect()) == [(2, "own", 7, 2), (4, "own", 7, 4)]
 
 
+def test_a_stored_snapshot_serves_later_batches(spark, tmp_path):
+    digest = lambda lo, hi: spark.range(lo, hi).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"))
+    X.freeze(digest(0, 5000).unionByName(digest(0, 100)), str(tmp_path / "snap"))
+    written = {f: f.stat().st_mtime_ns for f in (tmp_path / "snap").rglob("*.parquet")}
+    for lo, hi, n in ((4000, 6000, 1000), (9000, 9500, 0), (0, 0, 0), (0, 5000, 5000)):
+        snapshot = X.Snapshot(spark, str(tmp_path / "snap"))        # opened again, nothing rebuilt
+        batch = digest(lo, hi)
+        assert {bytes(r[0]) for r in snapshot.holds(batch).collect()} == {bytes(r[0]) for r in batch.intersect(digest(0, 5000)).collect()}
+        assert n <= snapshot.may_hold(batch).count() <= n + max(40, (hi - lo) // 50)
+    assert written == {f: f.stat().st_mtime_ns for f in (tmp_path / "snap").rglob("*.parquet")}
+
+
+def test_bitmap_lets_all_repeated_texts_through(spark):
+    digest = F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest")
+    members = spark.range(20000).select(digest, "id")
+    got = {r.id for r in X._maybe_repeated(members, spark.range(300).select(digest)).collect()}
+    assert got >= set(range(300)) and len(got) < 400
+    assert X._maybe_repeated(members, spark.range(0).select(digest)).isEmpty()
+
+
+def test_columns_with_odd_names(spark):
+    docs = spark.createDataFrame([(1, "a", "u", 5, 6, 7), (2, "a", "v", 5, 6, 8)], ["doc_id", "text", "meta.url", "__llm_k1", "TEXT", "a`b"])
+    out = X.drop_copies(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "a", "v", 5, 6, 8)]
+    assert X.drop_copies(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 1
+
+
 def test_empty_tables(spark):
     none = _rows(spark, [])
     assert X.exact_groups(none, X.in_new_batch(F.col("doc_id"))).count() == 0
