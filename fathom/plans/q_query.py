@@ -10,6 +10,7 @@ from fathom.operators import query as Q
 from fathom.operators.query import asof_join
 from fathom.operators.scan import DENY_REASONS, scan_text
 from fathom.operators.udf import apply_batches, apply_groups
+from fathom.plans.frames import range_frame, row_frame
 from fathom.plans.ordered import rank_by_key, window_by_key
 from fathom.plans.contract import register, rnd, sql_rnd, table
 
@@ -186,6 +187,30 @@ SELECT event_id, user_id,
        lag(value) OVER w AS prev_value, lead(value) OVER w AS next_value
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")(_rolling)
 
+_FRAME_SQL = ", ".join(f"{a}(value) OVER w AS {o}" for a, o in (("min", "low"), ("max", "high"), ("count", "n"), ("first_value", "opened"), ("last_value", "closed")))
+
+register("query_rolling_minmax", f"""
+SELECT event_id, {_FRAME_SQL}
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND 3 FOLLOWING)""")(
+    lambda spark, d: row_frame(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"],
+                               {"low": ("min", "value"), "high": ("max", "value"), "n": ("count", "value"), "opened": ("first", "value"), "closed": ("last", "value")}, 6, 3)
+    .drop("user_id", "ts", "value"))
+
+register("query_range_minmax", f"""
+SELECT event_id, min(value) OVER w AS low, max(value) OVER w AS high, count(value) OVER w AS n, {sql_rnd("sum(value) OVER w", 2)} AS total
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS PRECEDING AND INTERVAL 90 MINUTES FOLLOWING)""")(
+    lambda spark, d: range_frame(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], "ts",
+                                 {"low": ("min", "value"), "high": ("max", "value"), "n": ("count", "value"), "total": ("sum", "value")}, 6 * 3600, 90 * 60)
+    .select("event_id", "low", "high", "n", rnd("total", 2).alias("total")))
+
+# Without a key the whole table is one ordered run: the hardest case for a window, an ordinary one here.
+register("query_running_extremes", """
+SELECT o_orderkey, max(o_totalprice) OVER w AS dearest_so_far, min(o_totalprice) OVER w AS cheapest_so_far
+FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")(
+    lambda spark, d: row_frame(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), [], ["o_orderdate", "o_orderkey"],
+                               {"dearest_so_far": ("max", "o_totalprice"), "cheapest_so_far": ("min", "o_totalprice")}, None, 0)
+    .drop("o_orderdate", "o_totalprice"))
+
 register("query_top_k_per_group", """
 SELECT o_custkey, o_orderkey, o_totalprice, rank::INTEGER AS rank
 FROM (SELECT o_custkey, o_orderkey, o_totalprice,
