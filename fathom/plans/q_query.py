@@ -12,6 +12,7 @@ from fathom.operators.scan import DENY_REASONS, scan_text
 from fathom.operators.udf import apply_batches, apply_groups
 from fathom.plans.frames import range_frame, row_frame
 from fathom.plans.ordered import rank_by_key, window_by_key
+from fathom.plans.overlaps import overlap_join
 from fathom.plans.contract import register, rnd, sql_rnd, table
 
 # ------------------------------------------------------------------ A1 SQL over named tables
@@ -110,6 +111,44 @@ GROUP BY o_orderpriority""")(
         & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")))
     .groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("prompt_lines")))
 
+_OPEN_SQL = """o AS (SELECT o_orderkey, o_orderpriority, o_orderdate AS opened, max(l_shipdate) AS closed
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 480000 GROUP BY ALL HAVING max(l_shipdate) >= o_orderdate)"""
+
+
+def _open_orders(spark, d):
+    """Dear orders from the day of the order to the last shipment: intervals of days to months."""
+    orders = table(spark, d, "orders").where("o_totalprice > 480000").select("o_orderkey", "o_orderpriority", F.col("o_orderdate").alias("opened"))
+    return (orders.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .groupBy("o_orderkey", "o_orderpriority", "opened").agg(F.max("l_shipdate").alias("closed")))
+
+
+# No equality key at all: which dear urgent orders were open at the same time as which others.
+register("query_join_overlap", f"""
+WITH {_OPEN_SQL}
+SELECT a.o_orderkey AS urgent_key, b.o_orderkey AS other_key, greatest(a.opened, b.opened) AS both_open
+FROM o a JOIN o b ON a.opened <= b.closed AND b.opened <= a.closed
+WHERE a.o_orderpriority = '1-URGENT' AND b.o_orderpriority <> '1-URGENT'""")(
+    lambda spark, d: overlap_join(_open_orders(spark, d).where("o_orderpriority = '1-URGENT'"), _open_orders(spark, d).where("o_orderpriority <> '1-URGENT'"),
+                                  ("opened", "closed"), ("opened", "closed"), prefixes=("a_", "b_"))
+    .select(F.col("a_o_orderkey").alias("urgent_key"), F.col("b_o_orderkey").alias("other_key"), F.greatest("a_opened", "b_opened").alias("both_open")))
+
+# Points in intervals: events that fall into the fifteen minutes after a purchase of more than 95 % of the highest value.
+register("query_join_point_in_interval", """
+WITH p AS (SELECT event_id AS purchase, ts AS from_ts, ts + INTERVAL 15 MINUTES AS to_ts FROM events
+           WHERE event_type = 'purchase' AND value > 0.95 * (SELECT max(value) FROM events WHERE event_type = 'purchase'))
+SELECT purchase, event_id FROM p JOIN events ON ts >= from_ts AND ts < to_ts""")(
+    lambda spark, d: _after_purchases(table(spark, d, "events")))
+
+
+def _after_purchases(events):
+    bought = events.where("event_type = 'purchase'")
+    top = bought.agg(F.max("value")).head()[0]
+    bought = bought.where(F.col("value") > 0.95 * F.lit(top)).select(F.col("event_id").alias("purchase"), F.col("ts").alias("from_ts"), F.expr("ts + INTERVAL 15 MINUTES").alias("to_ts"))
+    # a point is the half-open interval of one microsecond
+    points = events.select("event_id", "ts", F.expr("ts + INTERVAL 0.000001 SECOND").alias("next_ts"))
+    return overlap_join(bought, points, ("from_ts", "to_ts"), ("ts", "next_ts"), closed=False).select("purchase", "event_id")
+
+
 register("query_join_asof", """
 SELECT e.event_id, p.value AS last_purchase_value
 FROM events e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p
