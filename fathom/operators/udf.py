@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+import pickle
+from dataclasses import dataclass
+from typing import Any, Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+HELD_GROUPS = 10_000      # partial states a task holds before it passes them on
+FAN = 64                  # parts in which the states of one group are merged before they meet
 
 
 def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -22,9 +30,107 @@ def apply_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd
 
     Each group is materialised in one Python worker, so use keys whose groups are bounded
     (an order's lines, a user's day); for unbounded groups express the logic with built-in
-    aggregates and windows instead.
+    aggregates and windows, or user code in combinable form (:func:`combine_groups`), instead.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # An explicit hash repartition on the keys: the groupBy reuses it (no second shuffle), and
     # AQE does not fold it into a single task when the input is small.
     return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)
+
+
+@dataclass(frozen=True)
+class GroupFold:
+    """User code over a group in combinable form. States are any picklable values of bounded size (sums, counters, sketches).
+
+    ``update(state, rows)`` adds rows of the group (a pandas frame, some of the group's rows in any order); ``merge(a, b)`` joins the
+    states of two parts; both return the new state and ``merge`` must be associative and commutative. ``finish(state)`` gives
+    the result columns as a dict.
+    """
+    init: Callable[[], Any]
+    update: Callable[[Any, pd.DataFrame], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], dict]
+
+
+def combine_groups(df: DataFrame, keys: list[str], fold: GroupFold, schema: str, held_groups: int = HELD_GROUPS, fan: int = FAN) -> DataFrame:
+    """One row per group: ``keys`` and the columns of ``schema`` that ``fold.finish`` returns.
+
+    No worker sees a whole group. Rows are folded where they are read, batch by batch; only states move. The states of a
+    group meet in ``fan`` parts first (dealt by the task that made them) and the parts then, each time in a stream of
+    sorted states of which a worker holds one. So a group with a third of the rows costs a state per task, not its rows.
+    Null keys are a group of their own (a NaN key counts as null); without ``keys`` all rows are one group, also of an empty table.
+    """
+    source = df.select(*[F.col(f"`{k}`") for k in keys], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    names, columns_in, width = [f"_k{i}" for i in range(len(keys))], list(df.columns), len(keys)
+    init, update, merge, finish = fold.init, fold.update, fold.merge, fold.finish
+    key_fields = [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, source.schema.fields)]
+    state_schema = ", ".join([*key_fields, "_part int", "_state binary"])
+
+    def emit(held: dict, part: int, kinds: list):
+        rows = list(held.items())
+        for at in range(0, len(rows), 256):
+            some = rows[at:at + 256]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k, _ in some], kind) for i, kind in enumerate(kinds)), pa.array([part] * len(some), pa.int32()),
+                 pa.array([pickle.dumps(s, pickle.HIGHEST_PROTOCOL) for _, s in some], pa.binary())], [*names, "_part", "_state"])
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        context = TaskContext.get()
+        part = context.partitionId() % fan if context else 0
+        held, kinds = {}, []
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(width)]
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_arrays(b.column(width).flatten(), names=columns_in).to_pandas()
+            values = [c.to_pylist() for c in b.columns[:width]]
+            values = [tuple(None if v != v else v for v in key) for key in zip(*values)] if width else [()] * b.num_rows
+            codes: dict = {}
+            at = pd.Series([codes.setdefault(key, len(codes)) for key in values])
+            for key, index in zip(codes, at.groupby(at, sort=True).indices.values()):
+                held[key] = update(held[key] if key in held else init(), rows.iloc[index])
+            if len(held) > held_groups:
+                yield from emit(held, part, kinds)
+                held = {}
+        yield from emit(held, part, kinds)
+
+    def merged(batches: Iterator[pa.RecordBatch]):
+        """(key, state, types) of neighbouring rows with equal keys."""
+        key, state, kinds = None, None, []
+        for b in batches:
+            kinds = [b.schema.field(i).type for i in range(width)]
+            columns = [b.column(i).to_pylist() for i in range(width)]
+            packed = b.column(b.schema.get_field_index("_state"))
+            for r in range(b.num_rows):
+                this, new = tuple(c[r] for c in columns), pickle.loads(packed[r].as_py())
+                if key == this:
+                    state = merge(state, new)
+                    continue
+                if key is not None:
+                    yield key, state, kinds
+                key, state = this, new
+        if key is not None:
+            yield key, state, kinds
+
+    def middle(batches):
+        for key, state, kinds in merged(batches):
+            yield from emit({key: state}, 0, kinds)
+
+    result = df.sparkSession.createDataFrame([], schema).schema
+    types = {f.name: f.type for f in to_arrow_schema(result)}
+
+    def last(batches):
+        for key, state, kinds in merged(batches):
+            row = finish(state)
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], kind) for v, kind in zip(key, kinds)), *(pa.array([row[n]], types[n]) for n in types)], [*names, *types])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    states = source.mapInArrow(start, state_schema)
+    parts = states.repartition(n, *names, "_part").sortWithinPartitions(*names, "_part").mapInArrow(middle, state_schema)
+    if keys:
+        whole = parts.repartition(n, *names).sortWithinPartitions(*names)
+        return whole.mapInArrow(last, ", ".join([*key_fields, schema])).toDF(*keys, *types)
+    if df.isEmpty():
+        return df.sparkSession.createDataFrame([finish(init())], result)
+    return parts.repartition(1).mapInArrow(last, schema)      # at most ``fan`` states

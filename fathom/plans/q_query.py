@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fathom.operators import query as Q
 from fathom.operators.query import asof_join
 from fathom.operators.scan import DENY_REASONS, scan_text
-from fathom.operators.udf import apply_batches, apply_groups
+from fathom.operators.udf import GroupFold, apply_batches, apply_groups, combine_groups
 from fathom.plans.frames import range_frame, row_frame
 from fathom.plans.ordered import rank_by_key, window_by_key
 from fathom.plans.overlaps import overlap_join
@@ -356,6 +356,35 @@ SELECT l_orderkey, l_linenumber, {sql_rnd("l_extendedprice / sum(l_extendedprice
         "l_orderkey long, l_linenumber int, share double").withColumn("share", rnd("share", 6)))
 
 
+def _regression() -> GroupFold:
+    """A least-squares line as user code: sums of a part around its own means, merged pairwise."""
+    def update(s, rows):
+        x, y = rows["l_quantity"].to_numpy(float), rows["l_extendedprice"].to_numpy(float)
+        mx, my = x.mean(), y.mean()
+        return merge(s, (len(x), mx, my, ((x - mx) ** 2).sum(), ((x - mx) * (y - my)).sum(), float(y.max())))
+
+    def merge(a, b):
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        n, dx, dy = a[0] + b[0], b[1] - a[1], b[2] - a[2]
+        return (n, a[1] + dx * b[0] / n, a[2] + dy * b[0] / n, a[3] + b[3] + dx * dx * a[0] * b[0] / n, a[4] + b[4] + dx * dy * a[0] * b[0] / n, max(a[5], b[5]))
+
+    def finish(s):
+        slope = s[4] / s[3] if s[3] else None
+        return {"n": int(s[0]), "slope": slope, "intercept": None if slope is None else s[2] - slope * s[1], "dearest": s[5]}
+
+    return GroupFold(lambda: (0, 0.0, 0.0, 0.0, 0.0, float("-inf")), update, merge, finish)
+
+
+register("udf_group_combine", f"""
+SELECT l_returnflag, l_linestatus, count(*) AS n, {sql_rnd("regr_slope(l_extendedprice, l_quantity)", 4)} AS slope,
+       {sql_rnd("regr_intercept(l_extendedprice, l_quantity)", 3)} AS intercept, {sql_rnd("max(l_extendedprice)", 2)} AS dearest
+FROM lineitem GROUP BY l_returnflag, l_linestatus""")(
+    lambda spark, d: combine_groups(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"), ["l_returnflag", "l_linestatus"],
+                                    _regression(), "n long, slope double, intercept double, dearest double")
+    .withColumns({"slope": rnd("slope", 4), "intercept": rnd("intercept", 3), "dearest": rnd("dearest", 2)}))
+
+
 # ------------------------------------------------------------------ G1 deny-list scan
 def _scan_sql(src: str, id_col: str, text_col: str) -> str:
     values = ", ".join("('{}', '{}')".format(t.replace("'", "''"), r.replace("'", "''")) for t, r in DENY_REASONS.items())
