@@ -11,10 +11,10 @@ The caller names the statistics wanted (``stats``), and only the passes they nee
   ``row_number() <= k``, a partial window-group limit before the shuffle.
 * ``percentiles`` - numeric columns only, without text (:mod:`fathom.plans.quantiles`, no one-task window).
 
-With ``exact=False`` distinct counts and percentiles come from sketches in the scalar pass, for every
-column; frequent values are counted by a 128-bit hash of the value, so texts are moved for the winners only;
-the smallest values are exact: a bound on them from the first rows keeps nearly all others out of the
-shuffle.
+With ``exact=False`` distinct counts, percentiles and frequent values come from sketches in the scalar pass, so one row per
+column and task is shuffled however many values there are. Counts of frequent values are exact below ``FREQUENT`` distinct
+values, else off by at most ``profile_state.count_error``. The smallest values are exact: a bound on them from the first rows
+keeps nearly all others out of the shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ from fathom.functions import types as vt
 from fathom.functions.stats import nan_to_null, sample_skewness
 from fathom.plans import ranks
 from fathom.plans.quantiles import weighted_quantiles_tagged
-from fathom.session import reliable_checkpoint
 
 # Suggested operations per descriptive type and warning thresholds, as named
 # by the column metadata contract.
@@ -45,6 +44,9 @@ DISTINCT_VALUE_COUNT = 10
 TOP_VALUE_COUNT = 5
 STATS = ("schema", "scalar", "values", "percentiles")
 BOUND_ROWS = 1000               # rows that give the approximate mode its bound on the smallest values
+FREQUENT = 10_000               # values that the sketch of frequent values holds a column
+TIED_ITEMS = 50                 # candidates taken from it, so that equal counts are put in order of the value
+NAMED_LENGTH = 256              # longer values are named by their beginning and a hash where they are counted by sketch
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType()),
@@ -130,8 +132,23 @@ def _long(df: DataFrame, cols: list[_Col], text: bool) -> DataFrame:
     return df.select(F.inline(F.array(*structs)))
 
 
-def _scalar_pass(long: DataFrame, sketches: bool, accuracy: int) -> DataFrame:
-    """Per-column statistics in one aggregate by column position (one row per column and task is shuffled)."""
+def value_name(v: Column) -> Column:
+    """What a value is counted under in a sketch: itself, or if it is long its beginning and a hash (so a sketch's size is bounded)."""
+    return F.when(F.char_length(v) <= NAMED_LENGTH, v).otherwise(F.concat(F.left(v, F.lit(64)), F.lit("... "), F.sha1(v.cast("binary"))))
+
+
+def ranked_items(sketch: Column) -> Column:
+    """The most frequent (value, count) of a sketch of frequent values; equal counts by value. Null without a sketch."""
+    items = F.call_function("approx_top_k_estimate", sketch, F.lit(TIED_ITEMS))
+    order = F.array_sort(F.transform(items, lambda i: F.struct((-i["count"]).alias("o"), i["item"].alias("value"), i["count"].alias("count"))))
+    return F.when(sketch.isNotNull(), F.transform(F.slice(order, 1, TOP_VALUE_COUNT), lambda i: F.struct(i["value"].alias("value"), i["count"].alias("count"))))
+
+
+def _scalar_pass(long: DataFrame, sketches: bool, accuracy: int, counted: list[int]) -> DataFrame:
+    """Per-column statistics in one aggregate by column position (one row per column and task is shuffled).
+
+    ``counted``: positions of the columns whose frequent values are wanted.
+    """
     aggs = [
         F.count(F.lit(1)).cast("bigint").alias("rows"),
         F.count_if("present").cast("bigint").alias("non_null"),
@@ -143,7 +160,12 @@ def _scalar_pass(long: DataFrame, sketches: bool, accuracy: int) -> DataFrame:
     if sketches:
         q = F.percentile_approx("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
         aggs += [F.approx_count_distinct("v", 0.01).cast("bigint").alias("unique_count"), q.alias("_q")]
+        if counted:
+            long = long.withColumn("name", F.when(F.col("position").isin(*counted), value_name(F.col("v"))))
+            aggs.append(F.expr(f"approx_top_k_accumulate(name, {FREQUENT}) FILTER (WHERE name IS NOT NULL)").alias("_frequent"))
     out = long.groupBy("position").agg(*aggs).withColumn("skewness", sample_skewness(F.col("_g1"), F.col("_nx"))).drop("_g1", "_nx")
+    if sketches and counted:
+        out = out.withColumn("value_counts", ranked_items(F.col("_frequent"))).drop("_frequent")
     if sketches:
         out = out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])]).drop("_q")
     return out
@@ -169,18 +191,6 @@ def _smallest(long: DataFrame, head: DataFrame) -> DataFrame:
     return _first_k(low.select("position", "v", "x").distinct(), DISTINCT_VALUE_COUNT, order, "_smallest", False)
 
 
-def _frequent(long: DataFrame) -> DataFrame:
-    """The most frequent values per column, counted by a 128-bit hash (ties by hash); their texts are looked up after."""
-    hashed = long.where(F.col("v").isNotNull()).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
-    counts = hashed.groupBy("position", "h1", "h2").agg(F.count(F.lit(1)).alias("cnt"))
-    order = Window.partitionBy("position").orderBy(F.desc("cnt"), "h1", "h2")
-    top = reliable_checkpoint(counts.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= TOP_VALUE_COUNT))
-    texts = (hashed.join(F.broadcast(top), ["position", "h1", "h2"])        # TOP_VALUE_COUNT rows per column
-             .groupBy("position", "_rn", "cnt").agg(F.min("v").alias("v")))
-    item = F.array_sort(F.collect_list(F.struct("_rn", "v", "cnt")))
-    return texts.groupBy("position").agg(F.transform(item, lambda s: F.struct(s["v"].alias("value"), s["cnt"].alias("count"))).alias("value_counts"))
-
-
 def _first_k(values: DataFrame, k: int, order: list[Column], out: str, with_counts: bool) -> DataFrame:
     w = Window.partitionBy("position").orderBy(*order)
     top = values.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
@@ -250,7 +260,8 @@ def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, stats: list[
     parts = []
     sketches = not exact and ("values" in stats or "percentiles" in stats)
     if "scalar" in stats or sketches:
-        parts.append(_scalar_pass(long(sketches), sketches, accuracy))
+        counted = [c.pos for c in cols if "values" in stats and (vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))]
+        parts.append(_scalar_pass(long(sketches), sketches, accuracy, counted))
     if "values" in stats and any(map(scalar_kind, cols)):
         if exact:
             values = _value_table(long(True, scalar_kind))
@@ -264,9 +275,6 @@ def _profile_many(tables: list[tuple[str, DataFrame]], exact: bool, stats: list[
                 parts.append(weighted_quantiles_tagged(values, "position", "x", "cnt", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
         else:
             parts.append(_smallest(long(True, scalar_kind), long(True, scalar_kind, BOUND_ROWS)))
-            counted = long(True, lambda c: vt.is_string(c.dtype) or isinstance(c.dtype, T.BooleanType))
-            if counted is not None:
-                parts.append(_frequent(counted))
     elif "percentiles" in stats and exact and any(map(numeric, cols)):
         numbers = long(False, numeric).where(F.col("x").isNotNull()).groupBy("position", "x").agg(F.count(F.lit(1)).alias("cnt"))
         numbers = ranks.sliced(numbers, ["position"], ["x"], num_slices)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators.profile import profile_tables, table_counts
+from fathom.operators.profile_state import merge_states, profile_state, state_profile
 from fathom.plans.contract import (ALL_TABLES, DIRTY_EVENTS_COLUMNS, DIRTY_EVENTS_SQL, TABLE_COLUMNS,
                                    dirty_events, register, rnd, sql_rnd, table)
 
@@ -261,3 +262,31 @@ SELECT count(DISTINCT CASE WHEN value * (event_id % 3) = 0 THEN 0.0 ELSE value *
     lambda spark, d: profile_tables({"z": table(spark, d, "events").select(
         (F.col("value") * (F.col("event_id") % 3) * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(
             F.when(F.col("event_id") % 3 == 0, -1.0).otherwise(1.0))).alias("z"))}, stats=["values"]).select("unique_count"))
+
+
+# ------------------------------------------------------------------ profiles that grow batch by batch
+def _merged(spark: SparkSession, sf_dir: str, names: list[str], by: dict[str, str]) -> DataFrame:
+    """Each table in three batches, a state each, merged as a tree: (first + second), then the third."""
+    states = []
+    for n in names:
+        df = dirty_events(spark, sf_dir) if n == "events_dirty" else table(spark, sf_dir, n)
+        states.append([profile_state(df.where(F.pmod(F.col(by[n]), F.lit(3)) == k), n) for k in range(3)])
+    early = merge_states(_union([s for three in states for s in three[:2]]))
+    return state_profile(early.unionByName(_union([three[2] for three in states])))
+
+
+MERGED_TABLES = {"lineitem": "l_orderkey", "events_dirty": "event_id", "orders": "o_orderkey"}
+register("profile_merged", _per_column(
+    list(MERGED_TABLES), ALL_KINDS,
+    "count(*)::BIGINT AS rows, (count(*) - count({c}))::BIGINT AS null_count, max(CASE WHEN '{k}' = 'str' THEN length({c}::VARCHAR) END)::BIGINT AS max_length, "
+    + f"{sql_rnd('min(TRY_CAST({c} AS DOUBLE))')} AS min, {sql_rnd('max(TRY_CAST({c} AS DOUBLE))')} AS max, {sql_rnd('avg(TRY_CAST({c} AS DOUBLE))')} AS mean, "
+    + f"{sql_rnd('stddev_samp(TRY_CAST({c} AS DOUBLE))')} AS std_dev, {sql_rnd('skewness(TRY_CAST({c} AS DOUBLE))', 6)} AS skewness, "
+    + "CASE WHEN '{k}' = 'ts' THEN min({c})::VARCHAR::TIMESTAMP END AS min_date, CASE WHEN '{k}' = 'ts' THEN max({c})::VARCHAR::TIMESTAMP END AS max_date"))(
+    lambda spark, d: _merged(spark, d, list(MERGED_TABLES), MERGED_TABLES).select(
+        "table_name", "column_name", "rows", "null_count", "max_length", rnd("min").alias("min"), rnd("max").alias("max"), rnd("mean").alias("mean"),
+        rnd("std_dev").alias("std_dev"), rnd("skewness", 6).alias("skewness"), "min_date", "max_date"))
+register("profile_merged_values", _per_column(
+    ["events_dirty"], {"str", "num"}, "rn::INTEGER AS rank, v AS value",
+    "FROM (SELECT v, row_number() OVER (ORDER BY x NULLS LAST, v) AS rn FROM (SELECT DISTINCT {c}::VARCHAR AS v, TRY_CAST({c} AS DOUBLE) AS x FROM {src} WHERE {c} IS NOT NULL)) WHERE rn <= 3"))(
+    lambda spark, d: _merged(spark, d, ["events_dirty"], MERGED_TABLES).where("type <> 'date'").select("table_name", "column_name", F.posexplode("examples").alias("_p", "value"))
+    .select("table_name", "column_name", (F.col("_p") + 1).cast("int").alias("rank"), "value"))
