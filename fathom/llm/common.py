@@ -90,6 +90,20 @@ def join_counted(rows: DataFrame, dim: DataFrame, keys: list[str], size: str, to
     return spread.unionByName(rest)
 
 
+BITMAP_WORDS = 1 << 18        # 64-bit words of a bitmap of keys: what is broadcast, at any size of data
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Adds to ``rows`` the column ``__llm_maybe``: true for every row whose ``key`` is in ``keys``, for few others while there
+    are far fewer keys than the bitmap's 64 * BITMAP_WORDS bits. The bitmap has at most BITMAP_WORDS rows, and no row is moved."""
+    at = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(64 * BITMAP_WORDS))
+    place = [F.shiftright(at, 6).alias("__llm_word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("__llm_bit")]
+    bitmap = saved(keys.select(*place).groupBy("__llm_word").agg(F.bit_or("__llm_bit").alias("__llm_bits")))
+    met = rows.select("*", *place).join(F.broadcast(bitmap), "__llm_word", "left")
+    hit = F.coalesce(F.col("__llm_bits").bitwiseAND(F.col("__llm_bit")) != 0, F.lit(False))
+    return met.withColumn("__llm_maybe", hit).drop("__llm_word", "__llm_bit", "__llm_bits")
+
+
 def keep_keyed(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose identity is in ``keep`` (K1, K2, n: how many rows carry it), each identity once.
 

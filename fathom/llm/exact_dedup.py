@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import K1, K2, join_counted, keep_keyed, only, row_key, saved, ship
+from fathom.llm.common import K1, K2, join_counted, keep_keyed, maybe_in, only, row_key, saved, ship
 from fathom.session import scratch_path
 
 DIGESTS_PER_BUCKET = 1 << 17
-BITMAP_WORDS = 1 << 18        # 64-bit words of the bitmap of repeated digests: what is broadcast, at any size of data
 FILTER_SCHEMA = "bucket long, seed long, length long, segments long, slots binary"
 
 
@@ -163,20 +162,6 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def _place(digest: Column) -> list[Column]:
-    """Word and bit of a digest in the bitmap."""
-    at = F.pmod(F.xxhash64(digest, F.lit(3)), F.lit(64 * BITMAP_WORDS))
-    return [F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")]
-
-
-def _maybe_repeated(members: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Rows of ``members`` whose digest's bit is set by a repeated digest: all rows of those, few others while there are
-    far fewer of them than bits. The bitmap has at most BITMAP_WORDS rows; a hot digest is never moved to be looked up."""
-    bitmap = saved(repeated.select(*_place(F.col("digest"))).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    placed = members.select("*", *_place(F.col("digest"))).join(F.broadcast(bitmap), "word")
-    return placed.where("(bits & bit) <> 0").drop("word", "bit", "bits")
-
-
 def exact_groups(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Group equal texts of a snapshot (rows where ``is_new`` is not true) and a new batch.
 
@@ -197,7 +182,7 @@ def exact_groups(docs: DataFrame, is_new: Column, doc_id: str = "doc_id", text:
     repeated = saved(groups.where("n > 1").select("digest").unionByName(again).distinct())
     # byte check: the rows of repeated digests are grouped by their whole texts, combined where they are read
     members = docs.select(body.alias("body"), _digest(F.col("text")).alias("digest"))
-    by_bytes = (_maybe_repeated(members, repeated).groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"))
+    by_bytes = (maybe_in(members, repeated, "digest").where("__llm_maybe").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("group_size"))
                 .where("group_size > 1").select("digest", F.xxhash64("body").alias("second"), "group_size"))
     best = rows.groupBy("digest", "second").agg(F.max(F.struct("doc_id", "uid")).alias("best"))
     dim = saved(best.join(by_bytes, ["digest", "second"], "inner"))

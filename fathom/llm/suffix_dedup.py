@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import K1, K2, join_counted, row_key, saved, ship
+from fathom.llm.common import K1, K2, join_counted, maybe_in, only, row_key, saved, ship
 
 LENGTH = 400
 CROWD = 1 << 16
@@ -389,10 +389,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
 
     Texts are UTF-8 bytes; null is empty. Every occurrence goes, the first too. Rows that repeat an id and a text
-    are each other's repeats. Texts shorter than ``length`` keep all bytes.
+    are each other's repeats. Texts shorter than ``length`` keep all bytes. Ids may be of any type; further columns of
+    any name are not read.
     """
-    spans = covered(docs, length, doc_id, text, crowd).select(K1, K2, F.col("spans").alias("__llm_spans"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *row_key(F.col(doc_id), F.col(text)), F.col(text).alias("body")).join(spans, [K1, K2], "left")
+    docs = only(docs, doc_id, text).toDF("doc_id", "text")
+    spans = covered(docs, length, crowd=crowd).select(K1, K2, F.col("spans").alias("__llm_spans"))
+    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.col("text").alias("body"))
+    # documents without spans are finished where they are read; only the others are moved to their spans
+    rows = maybe_in(rows, spans, K1)
+    met = rows.where("__llm_maybe").join(spans, [K1, K2], "left")
+    rows = met.unionByName(rows.where("NOT __llm_maybe"), allowMissingColumns=True)
 
     def run(batches):
         for b in batches:
@@ -406,10 +412,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
                 kept = b"".join([*kept, raw[at:]])
                 for o, x in zip(out, (own, len(raw), len(raw) - len(kept), len(gone), kept, hashlib.sha256(kept).hexdigest())):
                     o.append(x)
-            kinds = (*[pa.int64()] * 4, pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            kinds = (*[pa.int64()] * 3, pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, t) for o, t in zip(out[1:], kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.select("doc_id", "body", "__llm_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.select("doc_id", "body", "__llm_spans").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 ship(__name__)

@@ -85,3 +85,11 @@ def test_a_passage_that_very_many_documents_share(spark):
 def test_no_documents_and_no_repeats(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     _check(spark, [(1, "abc" * 50 + str(list(range(300)))), (2, None)], 400)
+
+
+def test_ids_of_any_type_and_columns_of_any_name(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(500))
+    rows = [("a", text, 1, 2, 3), ("b", "x" + text, 1, 2, 3), (None, "short", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "meta.url", "__llm_k1", "TEXT"])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.remove_repeats(docs).collect()}
+    assert got == {"a": (500, 500, 1), "b": (501, 500, 1), None: (5, 0, 0)}
