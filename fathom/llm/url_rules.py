@@ -62,26 +62,45 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         named("scheme:", F.array(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), "^([a-z][a-z0-9+.-]*)://", 1)))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple]:
+class Rules(list):
+    """Mined rules, and ``twins``: token -> the token that stands for it in rules (tokens that always occur together)."""
+    twins: dict[str, str] = {}
+
+
+def _twins(baskets: DataFrame) -> dict[str, str]:
+    """token -> the first of the tokens that stand in exactly the same transactions, for every token that has such a twin.
+
+    The transactions of a token are compared by their number and two sums of hashes; one row a token above the support.
+    """
+    rows = baskets.select(F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(5), "tokens").alias("g"), F.explode("known").alias("token"))
+    same = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g"))
+    groups = same.groupBy("n", "h", "g").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where(F.size("tokens") > 1)
+    return {t: r.tokens[0] for r in groups.select("tokens").collect() for t in r.tokens[1:]}
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> Rules:
     """(verdict, tokens, confidence, support) rules from (tokens, verdict) transactions, pruned, in order of preference.
 
     Tokens below the support cannot be in a frequent set, so those above it (at most tokens a URL /
     support of them) are all that reaches the driver. Transactions keep every token above the support, so
-    supports and confidences are those of whole URLs; only the support bounds the sets mined.
+    supports and confidences are those of whole URLs. Tokens that always stand together (the words of a shared
+    template) are mined as one, or every subset of the template would be a rule; a URL with any of them has that one.
     """
     labelled = saved(labelled.select("tokens", "verdict"))
     share = {r[0]: r[1] for r in labelled.groupBy("verdict").count().collect()}      # one row a verdict
     total = sum(share.values())
     if len(share) < 2:
-        return []
+        return Rules()
     min_support = min(1.0, max(min_support, MIN_ROWS / total))
     rarity = {r[0]: r[1] for r in labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_support * total).collect()}
     if not rarity:
-        return []
+        return Rules()
     frequent = F.create_map(*[F.lit(x) for t in sorted(rarity) for x in (t, True)])
     known = F.filter(F.col("tokens"), lambda t: F.element_at(frequent, t).isNotNull())
-    baskets = labelled.select(F.array_append(known, F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
+    twins = _twins(labelled.select("tokens", known.alias("known")))
+    mined = F.filter(known, lambda t: F.element_at(_constant(twins), t).isNull()) if twins else known
+    baskets = labelled.select(F.array_append(mined, F.concat(F.lit(LABEL), F.col("verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = (model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit(LABEL))))
              .select(F.substr(F.col("consequent")[0], F.lit(len(LABEL) + 1)), F.array_sort("antecedent"), "confidence", "support").collect())
@@ -89,7 +108,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     for verdict, items, confidence, support in sorted(found, key=lambda r: (len(r[1]), -r[2], -r[3], r[1])):
         if not any(v == verdict and c >= confidence - 1e-9 and set(t) <= set(items) for v, t, c, _ in rules):
             rules.append((verdict, tuple(items), confidence, support))
-    return sorted([(v, tuple(sorted(t, key=lambda x: (rarity[x], x))), c, s) for v, t, c, s in rules], key=lambda r: (-r[2], -r[3], r[1]))
+    out = Rules(sorted([(v, tuple(sorted(t, key=lambda x: (rarity[x], x))), c, s) for v, t, c, s in rules], key=lambda r: (-r[2], -r[3], r[1])))
+    out.twins = twins
+    return out
+
+
+def _constant(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for t in sorted(pairs) for x in (t, pairs[t])])
 
 
 def mined_rule(tokens: Column, rules: list[tuple]) -> Column:
@@ -97,6 +122,9 @@ def mined_rule(tokens: Column, rules: list[tuple]) -> Column:
     kind = "struct<preference:int,verdict:string,needs:array<string>,confidence:double>"
     if not rules:
         return F.lit(None).cast(kind)
+    twins = getattr(rules, "twins", {})
+    if twins:
+        tokens = F.array_distinct(F.transform(tokens, lambda t: F.coalesce(F.element_at(_constant(twins), t), t)))
     index: dict[str, list] = {}
     for k, (verdict, needs, confidence, _) in enumerate(rules):
         index.setdefault(needs[0], []).append(F.struct(F.lit(k).alias("preference"), F.lit(verdict).alias("verdict"),

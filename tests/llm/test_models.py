@@ -1,5 +1,6 @@
 """Toxicity, language id, personal data and URL rules."""
 import re
+import time
 
 import numpy as np
 import pytest
@@ -218,3 +219,15 @@ def test_rules_rest_on_every_token_of_a_long_url(spark):
     for verdict, needs, confidence, support in rules:
         met = [v for t, v in rows if set(needs) <= set(t)]
         assert (confidence, support) == pytest.approx((met.count(verdict) / len(met), met.count(verdict) / 400))
+
+
+def test_a_template_of_many_shared_words_is_mined_as_one_token(spark):
+    words = [f"path:w{i}" for i in range(30)]
+    rows = [(words + [f"path:x{i}"], "block") for i in range(40)] + [([f"path:y{i % 4}"], "allow") for i in range(40)]
+    started = time.monotonic()
+    rules = U.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.1)
+    assert time.monotonic() - started < 60
+    assert ("block", (min(words),), 1.0, 0.5) in [tuple(r) for r in rules] and len(rules) == 5
+    pages = [(["path:w17", "path:new"],), (["path:y2"],), (["path:z"],), ([],)]
+    got = spark.createDataFrame(pages, "t array<string>").select(U.mined_rule(F.col("t"), rules)["verdict"]).collect()
+    assert [r[0] for r in got] == ["block", "allow", None, None]
