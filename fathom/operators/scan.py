@@ -48,9 +48,10 @@ def scan_text(df: DataFrame, id_col: str, text_col: str, tokens: dict[str, str]
                       F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("_i", "_line"))
     # explode() of an empty hit list emits no row, so lines without a hit vanish here; the
     # token filter is evaluated once per line.
-    hits = lines.select(id_col, "_i", "_line",
+    ident = F.col(f"`{id_col}`")
+    hits = lines.select(ident, "_i", "_line",
                         F.explode(F.filter(token_arr, lambda t: F.instr(F.col("_line"), t) > 0)).alias("token"))
     return hits.select(
-        id_col, "token", reasons[F.col("token")].alias("reason"),
+        ident, "token", reasons[F.col("token")].alias("reason"),
         (F.col("_i") + 1).cast("bigint").alias("line_no"),
         F.regexp_replace(F.col("_line"), STRIP, "").alias("line"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fathom.operators.chart import chart_data
+from pyspark.sql import functions as F
+
+from fathom.operators.chart import chart_data, line_pixels
 from fathom.plans.contract import register, rnd, sql_rnd, table
 
 
@@ -39,3 +41,23 @@ SELECT label, 'o_totalprice' AS series, 1 AS series_index,
 FROM g""")(
     lambda spark, d: chart_data(table(spark, d, "orders").select("o_orderpriority", "o_totalprice"), ["pie"])
     .withColumn("value", rnd("value", 2)))
+
+# Series by value: (status, flag) without a pivot.
+register("chart_series", f"""
+SELECT l_returnflag AS label, l_linestatus AS series,
+       (dense_rank() OVER (ORDER BY l_linestatus NULLS LAST) - 1)::INTEGER AS series_index,
+       ((dense_rank() OVER (ORDER BY l_linestatus NULLS LAST) - 1) % 3)::INTEGER AS color_index, {sql_rnd("sum(l_quantity)", 2)} AS value
+FROM lineitem GROUP BY 1, 2""")(
+    lambda spark, d: chart_data(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"), "bar", label="l_returnflag",
+                                series="l_linestatus").withColumn("value", rnd("value", 2)))
+
+# A line of every event at 400 pixels, a series an event type.
+register("chart_line_pixels", f"""
+WITH p AS (SELECT event_type AS series, epoch_us(ts)::DOUBLE AS x, value AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+     s AS (SELECT min(x) AS low, max(x) AS high FROM p)
+SELECT series, least(floor((x - low) / (high - low) * 400.0), 399)::INTEGER AS pixel, count(*) AS n, min(x)::BIGINT AS x_first, max(x)::BIGINT AS x_last,
+       {sql_rnd("first(y ORDER BY x, y)")} AS y_first, {sql_rnd("last(y ORDER BY x, y)")} AS y_last, {sql_rnd("min(y)")} AS y_min, {sql_rnd("max(y)")} AS y_max
+FROM p, s GROUP BY 1, 2""")(
+    lambda spark, d: line_pixels(table(spark, d, "events"), "ts", "value", 400, series="event_type").select(
+        "series", "pixel", "n", F.col("x_first").cast("bigint").alias("x_first"), F.col("x_last").cast("bigint").alias("x_last"),
+        *[rnd(c).alias(c) for c in ("y_first", "y_last", "y_min", "y_max")]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.operators import clean as C
+from fathom.operators.dates import detect_date_formats, parse_dates
 from fathom.plans.contract import DIRTY_EVENTS_SQL, dirty_events, register, rnd, sql_rnd, table
 
 DIRTY = DIRTY_EVENTS_SQL
@@ -197,3 +198,33 @@ UNION ALL SELECT 'fill_nulls', 'amount', count(*), count(*), count(*) - count(am
 UNION ALL SELECT 'drop_nulls', 'amount', count(*), count(*), 0 FROM o""")(
     lambda spark, d: C.cleaning_report_frame(
         table(spark, d, "orders").select("o_orderkey", F.expr(_NUM_TEXT_SPARK).alias("amount")), _CONVERT_RULES))
+
+# C7 with the formats found from the data: four shapes, one of them open until another shows that days come first.
+_TEXT_DAYS = ("CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy') "
+              "WHEN 2 THEN date_format(o_orderdate, 'd MMM yyyy') ELSE date_format(o_orderdate, 'MMMM d, yyyy') END")
+
+
+def _text_days(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.expr(_TEXT_DAYS).alias("order_day"))
+
+
+def _detected(spark, d):
+    days = _text_days(spark, d)
+    return parse_dates(days, "order_day", detect_date_formats(days, "order_day")).select(
+        "o_orderkey", F.date_format("order_day", "yyyy-MM-dd").alias("order_day"))
+
+
+register("clean_dates_detected", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_day FROM orders""")(_detected)
+
+
+def _shapes(spark, d):
+    found = detect_date_formats(_text_days(spark, d), "order_day")
+    return spark.createDataFrame([(s.shape, s.n, list(s.formats)[0] if s.formats else None, s.status) for s in found],
+                                 "shape string, n long, format string, status string")
+
+
+register("clean_date_shapes", """
+SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Y-D-D' WHEN 1 THEN 'D/D/Y' WHEN 2 THEN 'D a Y' ELSE 'a D, Y' END AS shape, count(*) AS n,
+       CASE o_orderkey % 4 WHEN 0 THEN 'yyyy-M-d' WHEN 1 THEN 'd/M/yyyy' WHEN 2 THEN 'd MMM yyyy' ELSE 'MMMM d, yyyy' END AS format, 'clear' AS status
+FROM orders GROUP BY 1, 3""")(_shapes)

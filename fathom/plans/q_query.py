@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from fathom.operators import query as Q
 from fathom.operators.query import asof_join
+from fathom.operators.sample import sample_rows
 from fathom.operators.scan import DENY_REASONS, scan_text
+from fathom.operators.token_index import scan_tokens
 from fathom.operators.udf import GroupFold, apply_batches, apply_groups, combine_groups
+from fathom.plans.correlation import corr_matrix, rank_corr_matrix
 from fathom.plans.frames import range_frame, row_frame
 from fathom.plans.ordered import rank_by_key, window_by_key
 from fathom.plans.overlaps import overlap_join
@@ -480,3 +483,46 @@ FROM e WHERE e.event_type <> 'purchase'""")(
         _null_users(spark, d).where("event_type <> 'purchase'").select("event_id", "user_id", "ts"),
         _null_users(spark, d).where("event_type = 'purchase'").select("user_id", "ts", "value", F.col("event_id").alias("_eid")),
         ["user_id"], "ts", "ts", ["value"], right_tiebreak="_eid").select("event_id", F.col("value").alias("last_purchase_value")))
+
+# ------------------------------------------------------------------ correlation matrices of any columns, rank correlation
+_WIDE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber", "l_orderkey"]
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]]
+register("query_corr_matrix", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, {sql_rnd(f'corr({a}, {b})', 6)} AS corr FROM lineitem"
+    for a, b in _WIDE_PAIRS))(
+    lambda spark, d: corr_matrix(table(spark, d, "lineitem"), _WIDE).withColumn("corr", rnd("corr", 6)))
+
+_RANKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_RANK_SQL = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _RANKED)
+register("query_corr_rank", f"WITH r AS (SELECT {_RANK_SQL} FROM lineitem)\n" + "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, count(*) AS n, {sql_rnd(f'corr({a}, {b})', 6)} AS rank_corr FROM r"
+    for i, a in enumerate(_RANKED) for b in _RANKED[i + 1:]))(
+    lambda spark, d: rank_corr_matrix(table(spark, d, "lineitem"), _RANKED).withColumn("rank_corr", rnd("rank_corr", 6)))
+
+# ------------------------------------------------------------------ a sample of exactly n rows
+register("query_sample_exact", """
+SELECT event_id, user_id, value FROM events ORDER BY md5('7:' || event_id) LIMIT 500""")(
+    lambda spark, d: sample_rows(table(spark, d, "events"), 500, ["event_id"], seed=7).select("event_id", "user_id", "value"))
+# The same rows by the way of large samples.
+register("query_sample_binned", """
+SELECT event_id, user_id, value FROM events ORDER BY md5('7:' || event_id) LIMIT 500""")(
+    lambda spark, d: sample_rows(table(spark, d, "events"), 500, ["event_id"], seed=7, top_rows=0).select("event_id", "user_id", "value"))
+
+# ------------------------------------------------------------------ G1 long token lists: every host that a page links to
+register("scan_tokens_pages", """
+WITH tokens AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS token FROM pages),
+     lines AS (SELECT page_id, string_split(html, chr(10)) AS l FROM pages),
+     numbered AS (SELECT page_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM lines)
+SELECT page_id, token, 'page host' AS reason, line_no, regexp_replace(line, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS line
+FROM numbered JOIN tokens ON token <> '' AND contains(line, token)""")(
+    lambda spark, d: scan_tokens(table(spark, d, "pages"), "page_id", "html", table(spark, d, "pages").select(
+        F.regexp_extract("url", "://([^/?#]+)", 1).alias("token"), F.lit("page host").alias("reason"))))
+register("scan_tokens_words", """
+WITH tokens AS (SELECT DISTINCT w AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 9),
+     lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+     numbered AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS line_no FROM lines)
+SELECT doc_id, line_no, count(*) AS n_tokens, min(token) AS first_token
+FROM numbered JOIN tokens ON contains(line, token) GROUP BY 1, 2""")(
+    lambda spark, d: scan_tokens(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("token")).where(F.length("token") >= 9))
+    .groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("token").alias("first_token")))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import query as Q
-from fathom.operators.chart import chart_data
+from fathom.operators.chart import chart_data, line_pixels
 from fathom.operators.scan import scan_text
 from fathom.operators.udf import apply_batches, apply_groups
 
@@ -85,3 +85,38 @@ def test_scan_text(spark):
     assert (8, "script", 1, "description only") in hits   # plain substring match, like the original list
     reason = scan_text(df, "id", "t").where("token = 'eval('").first()["reason"]
     assert reason.startswith("Dynamic evaluation")
+
+
+def test_line_pixels_keep_the_shape(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x, y = rng.random(5000) * 100, rng.normal(size=5000)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y})).repartition(4)
+    got = {r["pixel"]: r for r in line_pixels(df, "x", "y", 50).collect()}
+    place = np.minimum(((x - x.min()) / (x.max() - x.min()) * 50).astype(int), 49)
+    for p in range(50):
+        mine = place == p
+        order = np.argsort(x[mine])
+        r = got[p]
+        assert r["n"] == mine.sum() and r["y_min"] == y[mine].min() and r["y_max"] == y[mine].max()
+        assert r["y_first"] == y[mine][order[0]] and r["y_last"] == y[mine][order[-1]] and r["x_last"] == x[mine].max()
+    zoomed = line_pixels(df, "x", "y", 10, x_range=(20.0, 30.0))
+    assert zoomed.agg(F.sum("n")).first()[0] == ((x >= 20) & (x <= 30)).sum()
+
+
+def test_line_pixels_of_few_points(spark):
+    df = spark.createDataFrame([(1.0, None, "a"), (2.0, float("nan"), "a"), (5.0, 3.0, "a"), (5.0, 1.0, "a"), (None, 1.0, "b")], "x double, y double, s string")
+    r = line_pixels(df, "x", "y", 7, series="s").collect()
+    assert [(q["series"], q["pixel"], q["n"], q["y_first"], q["y_last"]) for q in r] == [("a", 0, 2, 1.0, 3.0)]
+    assert line_pixels(df.where("x > 9"), "x", "y", 7).count() == 0
+    with pytest.raises(ValueError):
+        line_pixels(df, "x", "y", 0)
+
+
+def test_chart_series_by_value(spark):
+    df = spark.createDataFrame([("a", "u", 1.0), ("a", "v", 2.0), ("a", "u", 3.0), ("b", None, 5.0)], "k string, s string, x double")
+    got = {(r["label"], r["series"]): (r["series_index"], r["color_index"], r["value"]) for r in chart_data(df, "bar", series="s").collect()}
+    assert got == {("a", "u"): (0, 0, 4.0), ("a", "v"): (1, 1, 2.0), ("b", None): (2, 2, 5.0)}
+    assert {r["label"] for r in chart_data(df, "line", series="s", top=1).collect()} == {"a"}
+    with pytest.raises(ValueError):
+        chart_data(df, "pie", series="s")
