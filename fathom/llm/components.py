@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import saved
+from fathom.llm.common import join_counted, saved
 
 
 def _state(links: DataFrame) -> tuple:
@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Only nodes with a link to another node appear. Null or self links are ignored; an empty table gives
     an empty result. Each round replaces a node's links by links to its smallest neighbour; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain. The centre of a star holds as many links as its component has nodes: such nodes are
+    counted map-side and joined by broadcast (``join_counted``), so their links are dealt with where they are read.
     """
     links = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -33,11 +34,11 @@ def components(links: DataFrame) -> DataFrame:
         before = state
         # large star: every larger neighbour of u links to u's smallest neighbour (or u itself)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .where("a <> b").distinct())
+        least = saved(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = saved(join_counted(both, least, ["a"], "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                      .where("a <> b").distinct())
         # small star: u and its smaller neighbours link to the smallest of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(
+        floor = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = join_counted(large, floor, ["a"], "n", large.count()).select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         links = saved(small.where("a <> b").distinct())
