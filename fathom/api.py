@@ -3,6 +3,7 @@
 | original tool              | here                                   |
 |----------------------------|----------------------------------------|
 | read metadata of a file    | ``read_metadata(spark, path)``         |
+| clean and save a file      | ``clean_file(spark, path, out_dir)``   |
 | run dataframe code         | ``run_code(spark, tables, sql_or_fn)`` |
 | chart generation           | ``chart(df, kinds, ...)``              |
 | read JSON                  | ``read_json_file(spark, path, orient)``|
@@ -18,13 +19,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.operators.chart import chart_data
+from fathom.operators.clean import CleanRules, clean, output_information
 from fathom.operators.profile import profile_tables
 from fathom.operators.query import run_query
 from fathom.sources.files import read_csv, read_json
 from fathom.sources.jdbc import read_sql, write_sql
-from fathom.sources.sinks import write_json
+from fathom.sources.sinks import write_cleaned, write_json
+from fathom.session import scratch_scope
 
-__all__ = ["read_file", "file_information", "read_metadata", "run_code", "chart", "read_json_file", "to_json", "read_sql", "to_sql"]
+__all__ = ["read_file", "file_information", "read_metadata", "clean_file", "run_code", "chart", "read_json_file", "to_json", "read_sql", "to_sql"]
 
 
 # File endings by format; a compression ending may follow.
@@ -85,6 +88,26 @@ def read_metadata(spark: SparkSession, path: str | dict[str, str], exact: bool =
     return (profile_tables(tables, exact=exact, stats=stats) if tables else None), files, errors
 
 
+def clean_file(spark: SparkSession, path: str, out_dir: str, rules: CleanRules | None = None, name: str | None = None, fmt: str | None = None,
+               mode: str = "errorifexists", **options) -> dict:
+    """Reads a file, cleans it and writes ``<out_dir>/<name>_cleaned.<fmt>``; the input stays as it is.
+
+    Returns ``file`` (information about the input), ``report`` (a dict per cleaning step) and ``output`` (path, format, size_bytes, files, rows,
+    columns of what was written). ``fmt`` is csv, parquet or orc, by default that of the input (parquet for JSON). Tables written on the way are removed.
+    """
+    info = file_information(spark, path, **options)
+    fmt = fmt or (info["format"] if info["format"] != "json" else "parquet")
+    if fmt not in ("csv", "parquet", "orc"):
+        raise ValueError(f"cannot write {fmt!r}; use csv, parquet or orc")
+    name = name or os.path.basename(path.rstrip("/")).split(".")[0] or "table"
+    with scratch_scope(spark):
+        cleaned, report = clean(read_file(spark, path, **options), rules)
+        steps = [r.asDict() for r in report.collect()]      # a row a step
+        out = write_cleaned(cleaned, out_dir, name, fmt, mode=mode)
+        about = output_information(cleaned, out, fmt).first().asDict()
+    return {"file": info, "report": steps, "output": about}
+
+
 def run_code(spark: SparkSession, tables: dict[str, DataFrame], query) -> DataFrame:
     """SQL text or a callable over named tables (nothing is ``exec``-ed)."""
     return run_query(spark, tables, query)
@@ -103,5 +126,5 @@ def to_json(df: DataFrame, path: str, orient: str = "records", mode: str = "erro
     return path
 
 
-def to_sql(df: DataFrame, url: str, table: str, if_exists: str = "replace", **options) -> int:
+def to_sql(df: DataFrame, url: str, table: str, if_exists: str = "fail", **options) -> int:
     return write_sql(df, url, table, if_exists=if_exists, **options)

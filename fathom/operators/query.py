@@ -96,6 +96,29 @@ def summary(df: DataFrame, exact: bool = True) -> DataFrame:
         F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats])))
 
 
+def describe_columns(df: DataFrame, exact: bool = True) -> DataFrame:
+    """Summary of the columns of any kind as text, in long form: (column_name, type, statistic, value).
+
+    Every column has rows, null_count and unique_count; numbers have the statistics of :func:`summary`; texts and booleans have top, top_count
+    (their most frequent value, ties by value) and max_length; times have first and last. A statistic without a value is NULL.
+    """
+    from fathom.operators.profile import profile
+    p = profile(df, exact=exact, stats=["scalar", "values", "percentiles"])
+    top = F.try_element_at("value_counts", F.lit(1))
+    always = {c: F.col(c) for c in ("rows", "null_count", "unique_count")}
+    by_kind = {
+        "is_numeric": {c: F.col(c) for c in ("mean", "std_dev", "min", "p25", "p50", "p75", "max")},
+        "is_temporal": {"first": F.col("min_date"), "last": F.col("max_date")},
+        "NOT is_numeric AND NOT is_temporal": {"top": top["value"], "top_count": top["count"], "max_length": F.col("max_length")}}
+
+    def entries(of: dict) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("statistic"), c.cast("string").alias("value")) for n, c in of.items()])
+    picked = F.lit(None)
+    for kind, of in by_kind.items():
+        picked = F.when(F.expr(kind), entries(of)).otherwise(picked)
+    return p.select("column_name", "type", F.inline(F.concat(entries(always), F.coalesce(picked, F.array().cast("array<struct<statistic:string,value:string>>")))))
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
               right_cols: list[str], strict: bool = False, right_tiebreak: str | None = None) -> DataFrame:
     """Each left row gets ``right_cols`` of the latest right row of the same key at or before

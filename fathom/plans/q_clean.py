@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import clean as C
 from fathom.operators.dates import detect_date_formats, parse_dates
+from fathom.operators.group_bounds import cap_outliers_by, flag_outliers_by
 from fathom.plans.contract import DIRTY_EVENTS_SQL, dirty_events, register, rnd, sql_rnd, table
 
 DIRTY = DIRTY_EVENTS_SQL
@@ -228,3 +229,17 @@ register("clean_date_shapes", """
 SELECT CASE o_orderkey % 4 WHEN 0 THEN 'Y-D-D' WHEN 1 THEN 'D/D/Y' WHEN 2 THEN 'D a Y' ELSE 'a D, Y' END AS shape, count(*) AS n,
        CASE o_orderkey % 4 WHEN 0 THEN 'yyyy-M-d' WHEN 1 THEN 'd/M/yyyy' WHEN 2 THEN 'd MMM yyyy' ELSE 'MMMM d, yyyy' END AS format, 'clear' AS status
 FROM orders GROUP BY 1, 3""")(_shapes)
+
+# C4, C5 with bounds per group
+register("clean_cap_by_group", f"""
+WITH b AS (SELECT l_returnflag AS f, l_linestatus AS s, quantile_cont(l_extendedprice, 0.99) AS hi, quantile_cont(l_extendedprice, 0.05) AS lo FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, {sql_rnd("greatest(least(l_extendedprice, hi), lo)", 4)} AS l_extendedprice
+FROM lineitem JOIN b ON l_returnflag = f AND l_linestatus = s""")(
+    lambda spark, d: cap_outliers_by(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", lower=0.05, upper=0.99).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", rnd("l_extendedprice", 4).alias("l_extendedprice")))
+
+register("clean_outliers_by_group", f"""
+WITH e AS (SELECT * FROM {DIRTY} AS d),
+     b AS (SELECT event_type AS t, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e GROUP BY 1)
+SELECT event_id, event_type, value, coalesce(value < q1 - 0.5 * (q3 - q1) OR value > q3 + 0.5 * (q3 - q1), false) AS value_outlier FROM e JOIN b ON event_type = t""")(
+    lambda spark, d: flag_outliers_by(dirty_events(spark, d), ["event_type"], "value", "iqr", k=0.5).select("event_id", "event_type", "value", "value_outlier"))

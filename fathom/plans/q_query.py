@@ -526,3 +526,22 @@ FROM numbered JOIN tokens ON contains(line, token) GROUP BY 1, 2""")(
     lambda spark, d: scan_tokens(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark").select(
         F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("token")).where(F.length("token") >= 9))
     .groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("token").alias("first_token")))
+
+# ------------------------------------------------------------------ A5 summary of columns of any kind
+register("query_describe", """
+WITH o AS (SELECT o_orderpriority AS v FROM orders), c AS (SELECT v, count(*) AS n FROM o WHERE v IS NOT NULL GROUP BY v)
+SELECT 'o_orderpriority' AS column_name, 'string' AS type, statistic, value FROM (
+  SELECT 'rows' AS statistic, (SELECT count(*) FROM o)::VARCHAR AS value UNION ALL
+  SELECT 'null_count', (SELECT count(*) FROM o WHERE v IS NULL)::VARCHAR UNION ALL
+  SELECT 'unique_count', (SELECT count(*) FROM c)::VARCHAR UNION ALL
+  SELECT 'top', (SELECT v FROM c ORDER BY n DESC, v LIMIT 1) UNION ALL
+  SELECT 'top_count', (SELECT max(n) FROM c)::VARCHAR UNION ALL
+  SELECT 'max_length', (SELECT max(length(v)) FROM o)::VARCHAR)
+UNION ALL
+SELECT 'o_orderdate', 'date', statistic, value FROM (
+  SELECT 'rows' AS statistic, count(*)::VARCHAR AS value FROM orders UNION ALL
+  SELECT 'null_count', count(*) FILTER (WHERE o_orderdate IS NULL)::VARCHAR FROM orders UNION ALL
+  SELECT 'unique_count', count(DISTINCT o_orderdate)::VARCHAR FROM orders UNION ALL
+  SELECT 'first', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders UNION ALL
+  SELECT 'last', strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders)""")(
+    lambda spark, d: Q.describe_columns(table(spark, d, "orders").select("o_orderpriority", "o_orderdate")))

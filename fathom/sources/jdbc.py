@@ -38,9 +38,11 @@ def jdbc_write_mode(if_exists: str) -> str:
     return IF_EXISTS_MODES[if_exists]
 
 
-def write_sql(df: DataFrame, url: str, table: str, if_exists: str = "replace", **options) -> int:
+def write_sql(df: DataFrame, url: str, table: str, if_exists: str = "fail", **options) -> int:
     """Write ``df`` to ``table`` (no index column) and return the number of rows written.
 
+    A table that exists is an error unless the caller says ``replace`` or ``append``.
+
     The row count is observed during the write itself (``DataFrame.observe``), not by a second
     pass over the data.
     """

@@ -92,7 +92,7 @@ def test_jdbc_options_and_modes():
 def test_partitioned_query_and_default_write_mode():
     o = jdbc.jdbc_read_options("jdbc:x", query="select * from t", partition_column="id", lower_bound=0, upper_bound=9, num_partitions=3)
     assert o["dbtable"] == "(select * from t) AS fathom_query" and o["partitionColumn"] == "id" and "query" not in o
-    assert inspect.signature(jdbc.write_sql).parameters["if_exists"].default == "replace"
+    assert inspect.signature(jdbc.write_sql).parameters["if_exists"].default == "fail"
 
 
 def test_csv_written_by_other_tools(spark, tmp_path):
