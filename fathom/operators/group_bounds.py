@@ -47,7 +47,7 @@ def fit_group_bounds(df: DataFrame, by: list[str], col: str, method: str = "perc
     if not asked:
         raise ValueError("a percentile rule needs lower or upper")
     values = rows.groupBy(KEY, "_x").agg(F.count(F.lit(1)).alias("_w"))
-    found = weighted_quantiles(values, KEY, "_x", "_w", list(asked.values()), list(asked))
+    found = weighted_quantiles(values, KEY, "_x", "_w", list(asked.values()), list(asked), few_keys=False)
     if method == "iqr":
         reach = F.lit(1.5 if k is None else float(k)) * (F.col("q3") - F.col("q1"))
         return found.select(KEY, (F.col("q1") - reach).alias(LOW), (F.col("q3") + reach).alias(HIGH))

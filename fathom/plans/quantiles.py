@@ -17,15 +17,19 @@ from fathom.plans import ranks
 
 
 def weighted_quantiles(values: DataFrame, key: str, value: str, weight: str, probs: list[float],
-                       names: list[str], num_slices: int | None = None) -> DataFrame:
-    """One row per key with a double column per probability (named by ``names``)."""
+                       names: list[str], num_slices: int | None = None, few_keys: bool = True) -> DataFrame:
+    """One row per key with a double column per probability (named by ``names``).
+
+    ``few_keys``: the keys are few by design (columns of a table), so what is kept per key and slice may be broadcast;
+    otherwise it grows with the data and how it is joined is left to Spark.
+    """
     tagged = ranks.sliced(values.select(key, value, weight).where(F.col(value).isNotNull()),
                           [key], [value], num_slices)
-    return weighted_quantiles_tagged(tagged, key, value, weight, probs, names)
+    return weighted_quantiles_tagged(tagged, key, value, weight, probs, names, few_keys)
 
 
 def weighted_quantiles_tagged(tagged: DataFrame, key: str, value: str, weight: str, probs: list[float],
-                              names: list[str]) -> DataFrame:
+                              names: list[str], few_keys: bool = True) -> DataFrame:
     """As :func:`weighted_quantiles` on a table already cut by :func:`ranks.sliced`.
 
     The slices must be ordered by ``key`` first and ``value`` next (further order columns are
@@ -46,9 +50,10 @@ def weighted_quantiles_tagged(tagged: DataFrame, key: str, value: str, weight: s
                .where((F.col("_r") >= F.col("_slice_start"))
                       & (F.col("_r") < F.col("_slice_start") + F.col("_slice_weight")))
                .select(key, "_qi", "_h", "_r", ranks.SLICE))
-    subset = tagged.join(F.broadcast(located.select(key, ranks.SLICE)), [key, ranks.SLICE], "left_semi")
-    ranked = ranks.with_running_weight(subset, offsets, [key], [value], weight)
-    hits = (ranked.join(F.broadcast(located), [key, ranks.SLICE])
+    sent = F.broadcast if few_keys else (lambda t: t)
+    subset = tagged.join(sent(located.select(key, ranks.SLICE)), [key, ranks.SLICE], "left_semi")
+    ranked = ranks.with_running_weight(subset, offsets, [key], [value], weight, broadcast_offsets=few_keys)
+    hits = (ranked.join(sent(located), [key, ranks.SLICE])
             .where((F.col("_r") >= F.col("_rank_start")) & (F.col("_r") < F.col("_rank_end"))))
     # One aggregate: the two neighbouring order statistics of every probability, then interpolate.
     aggs = []

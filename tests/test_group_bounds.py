@@ -65,3 +65,9 @@ def test_clean_file_in_one_call(spark, tmp_path):
         api.clean_file(spark, str(src), str(tmp_path / "out"))      # nothing is overwritten unasked
     with pytest.raises(ValueError):
         api.clean_file(spark, str(src), str(tmp_path / "out"), fmt="xls")
+
+
+def test_bounds_of_many_groups_are_not_broadcast_by_hint(spark, pdf):
+    from fathom.operators.group_bounds import fit_group_bounds
+    plan = fit_group_bounds(spark_frame(spark, pdf), ["g.x"], "v", lower=0.1)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in plan.lower()
