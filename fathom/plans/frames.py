@@ -26,30 +26,47 @@ SLICE = ranks.SLICE
 @dataclass(frozen=True)
 class Aggregate:
     """A combinable aggregate: ``of`` rows, ``again`` over partial values in order, ``merge`` of an earlier and a later partial
-    value (either may be null), ``finish`` for the result. It needs no inverse, and need not commute."""
+    value (either may be null), ``finish`` for the result. It needs no inverse, and need not commute.
+    ``back`` and ``back_again`` are ``of`` and ``again`` over rows that come in reverse order (the same, if order is no matter): with
+    them the aggregate from a row to its slice's last row is a running one too; without them it is worked out anew for every row."""
     of: Callable[[Column], Column]
     again: Callable[[Column], Column]
     merge: Callable[[Column, Column], Column]
     finish: Callable[[Column], Column] = lambda c: c
+    back: Callable[[Column], Column] | None = None
+    back_again: Callable[[Column], Column] | None = None
 
 
 def _either(join: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
     return lambda a, b: F.coalesce(join(a, b), a, b)
 
 
+def _unordered(of: Callable[[Column], Column], again: Callable[[Column], Column], merge: Callable[[Column, Column], Column],
+               finish: Callable[[Column], Column] = lambda c: c) -> Aggregate:
+    return Aggregate(of, again, merge, finish, of, again)
+
+
+def _first(c: Column) -> Column:
+    return F.first(c, True)
+
+
+def _last(c: Column) -> Column:
+    return F.last(c, True)
+
+
 AGGREGATES: dict[str, Aggregate] = {
-    "min": Aggregate(F.min, F.min, F.least),                  # least and greatest skip nulls
-    "max": Aggregate(F.max, F.max, F.greatest),
-    "sum": Aggregate(F.sum, F.sum, _either(lambda a, b: a + b)),
-    "count": Aggregate(F.count, F.sum, _either(lambda a, b: a + b), lambda c: F.coalesce(c, F.lit(0).cast("long"))),
-    "first": Aggregate(lambda c: F.first(c, True), lambda c: F.first(c, True), F.coalesce),      # first and last value that is not null
-    "last": Aggregate(lambda c: F.last(c, True), lambda c: F.last(c, True), lambda a, b: F.coalesce(b, a)),
-    "bool_or": Aggregate(F.bool_or, F.bool_or, _either(lambda a, b: a | b)),
-    "bool_and": Aggregate(F.bool_and, F.bool_and, _either(lambda a, b: a & b)),
-    "bit_or": Aggregate(F.bit_or, F.bit_or, _either(lambda a, b: a.bitwiseOR(b))),
-    "bit_and": Aggregate(F.bit_and, F.bit_and, _either(lambda a, b: a.bitwiseAND(b))),
+    "min": _unordered(F.min, F.min, F.least),                  # least and greatest skip nulls
+    "max": _unordered(F.max, F.max, F.greatest),
+    "sum": _unordered(F.sum, F.sum, _either(lambda a, b: a + b)),
+    "count": _unordered(F.count, F.sum, _either(lambda a, b: a + b), lambda c: F.coalesce(c, F.lit(0).cast("long"))),
+    "first": Aggregate(_first, _first, F.coalesce, back=_last, back_again=_last),      # first and last value that is not null
+    "last": Aggregate(_last, _last, lambda a, b: F.coalesce(b, a), back=_first, back_again=_first),
+    "bool_or": _unordered(F.bool_or, F.bool_or, _either(lambda a, b: a | b)),
+    "bool_and": _unordered(F.bool_and, F.bool_and, _either(lambda a, b: a & b)),
+    "bit_or": _unordered(F.bit_or, F.bit_or, _either(lambda a, b: a.bitwiseOR(b))),
+    "bit_and": _unordered(F.bit_and, F.bit_and, _either(lambda a, b: a.bitwiseAND(b))),
     # distinct values within a few percent, by sketches of bounded size
-    "approx_distinct": Aggregate(F.hll_sketch_agg, F.hll_union_agg, _either(F.hll_union), lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0).cast("long"))),
+    "approx_distinct": _unordered(F.hll_sketch_agg, F.hll_union_agg, _either(F.hll_union), lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0).cast("long"))),
 }
 
 
@@ -64,23 +81,31 @@ def _base(df: DataFrame, keys: list[str], outputs: dict, *more: Column) -> tuple
     return base, [f"_k{i}" for i in range(len(keys))]
 
 
-def _edges(rows: DataFrame, group: list[str], order: list[str], kinds: list, partial: bool) -> DataFrame:
-    """Adds p{i} and s{i}: the aggregate from the group's first row to this one, and from this one to its last row.
+def _edges(rows: DataFrame, group: list[str], order: list[str], kinds: list, partial: bool, onward: bool = True) -> DataFrame:
+    """Adds p{i} and, if ``onward``, s{i}: the aggregate from the group's first row to this one, and from this one to its last row.
 
-    ``rows`` carries SLICE; with ``partial`` the _v{i} are partial values already.
+    ``rows`` carries SLICE; with ``partial`` the _v{i} are partial values already. A frame that ends at the last row is worked
+    out anew for each row, in the square of the slice; so s{i} are running aggregates over the rows in reverse order.
     """
-    local = Window.partitionBy(*group, SLICE).orderBy(*order)
-    upto, onward = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
-    make = [agg.again if partial else agg.of for _, agg in kinds]
-    near = rows.select("*", *[m(F.col(f"_v{i}")).over(w).alias(f"{c}{i}") for i, m in enumerate(make) for c, w in (("_p", upto), ("_s", onward))])
+    whole = Window.unboundedPreceding
+    local = Window.partitionBy(*group, SLICE)
+    ahead = local.orderBy(*order)
+    upto, behind, rest = ahead.rowsBetween(whole, 0), local.orderBy(*[F.desc(o) for o in order]).rowsBetween(whole, 0), ahead.rowsBetween(0, Window.unboundedFollowing)
+    near = [(agg.again if partial else agg.of)(F.col(f"_v{i}")).over(upto).alias(f"_p{i}") for i, (_, agg) in enumerate(kinds)]
+    if onward:
+        for i, (_, agg) in enumerate(kinds):
+            make = agg.back_again if partial else agg.back
+            near.append((make(F.col(f"_v{i}")).over(behind) if make else (agg.again if partial else agg.of)(F.col(f"_v{i}")).over(rest)).alias(f"_s{i}"))
+    near = rows.select("*", *near)
     # the last row of a slice has all of it behind it
     totals = near.groupBy(*group, SLICE).agg(F.max_by(F.struct(*[f"_p{i}" for i in range(len(kinds))]), F.struct(*order)).alias("_t"))
     by_slice = Window.partitionBy(*group).orderBy(SLICE)
-    sides = (("_b", by_slice.rowsBetween(Window.unboundedPreceding, -1)), ("_n", by_slice.rowsBetween(1, Window.unboundedFollowing)))
+    sides = [("_b", by_slice.rowsBetween(whole, -1)), ("_n", by_slice.rowsBetween(1, Window.unboundedFollowing))][:2 if onward else 1]
     carry = totals.select(*group, SLICE, *[agg.again(F.col(f"_t._p{i}")).over(w).alias(f"{c}{i}") for i, (_, agg) in enumerate(kinds) for c, w in sides])
     met = ranks.join_null_safe(near, carry, [*group, SLICE])
     made = {f"p{i}": agg.merge(F.col(f"_b{i}"), F.col(f"_p{i}")) for i, (_, agg) in enumerate(kinds)}
-    made |= {f"s{i}": agg.merge(F.col(f"_s{i}"), F.col(f"_n{i}")) for i, (_, agg) in enumerate(kinds)}
+    if onward:
+        made |= {f"s{i}": agg.merge(F.col(f"_s{i}"), F.col(f"_n{i}")) for i, (_, agg) in enumerate(kinds)}
     return met.withColumns(made).drop(*[f"{c}{i}" for i in range(len(kinds)) for c in ("_b", "_n", "_p", "_s")])
 
 
@@ -114,13 +139,15 @@ def row_frame(df: DataFrame, keys: list[str], order: list[str], outputs: dict, p
     def block(pos: Column) -> Column:
         return F.floor((pos - 1) / length).cast("long") if bounded else F.lit(0).cast("long")
 
-    made = ranks.reliable_checkpoint(_edges(placed.withColumn("_blk", block(F.col("_pos"))), [*ks, "_blk"], ["_pos"], kinds, False))
+    made = ranks.reliable_checkpoint(_edges(placed.withColumn("_blk", block(F.col("_pos"))), [*ks, "_blk"], ["_pos"], kinds, False, onward=preceding is not None))
     one = F.lit(1).cast("long")
     low = one if preceding is None else F.greatest(F.col("_pos") - preceding, one)
     high = F.col("_size") if following is None else F.least(F.col("_pos") + following, F.col("_size"))
     out = made.withColumns({"_low": low, "_high": high})
     n = range(len(kinds))
     for side, bound, own in (("s", "_low", preceding == 0), ("p", "_high", following == 0)):
+        if side == "s" and preceding is None:
+            continue        # every frame begins where its block does
         if own:
             out = out.withColumns({f"{side}_{i}": F.col(f"{side}{i}") for i in n})
             continue
@@ -130,6 +157,8 @@ def row_frame(df: DataFrame, keys: list[str], order: list[str], outputs: dict, p
     starts = low == block(low) * length + 1
 
     def value(i: int, agg: Aggregate) -> Column:
+        if preceding is None:
+            return F.when(low <= high, F.col(f"p_{i}"))
         first, last = F.col(f"s_{i}"), F.col(f"p_{i}")
         return F.when(low <= high, F.when(block(low) != block(high), agg.merge(first, last)).when(starts, last).otherwise(first))
 

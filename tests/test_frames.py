@@ -95,3 +95,15 @@ def test_empty_and_bad_frames(spark):
     for f in (lambda: frames.row_frame(none, ["k"], ["t"], OUT, 1, -2), lambda: frames.range_frame(none, ["k"], "t", OUT, -3, 1)):
         with pytest.raises(ValueError):
             f()
+
+
+@pytest.mark.parametrize("preceding,following", [(None, 0), (300, 40), (5, None)])
+def test_no_frame_is_worked_out_anew_for_every_row(spark, preceding, following, monkeypatch):
+    # a frame that ends at the last row costs Spark the square of the slice
+    plans = []
+    keep = ranks.reliable_checkpoint
+    monkeypatch.setattr(frames.ranks, "reliable_checkpoint", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), keep(df))[1])
+    df = spark.createDataFrame(rows_of(200, 3), SCHEMA)
+    frames.row_frame(df, [], ["t", "id"], OUT, preceding, following, num_slices=2)
+    frames.range_frame(df, [], "t", {o: a for o, a in OUT.items() if o not in ("opened", "closed")}, 300, 40, num_slices=2)
+    assert len(plans) == 4 and not [p for p in plans if "currentrow$(), unboundedfollowing$()" in p]
