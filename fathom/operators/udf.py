@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
 import pickle
 from dataclasses import dataclass
 from typing import Any, Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 HELD_GROUPS = 10_000      # partial states a task holds before it passes them on
@@ -25,17 +28,82 @@ def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], sch
 
 
 def apply_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
-                 schema: str) -> DataFrame:
+                 schema: str, many: bool = False) -> DataFrame:
     """Run ``fn`` on all rows of each group (one shuffle by ``keys``).
 
+    With ``many`` a call of ``fn`` gets one or more whole groups, a group's rows next to each other, and tells them apart itself
+    (``pdf.groupby(keys, dropna=False)``): a call a group takes a millisecond or so, which small groups have no use for.
+
     Each group is materialised in one Python worker, so use keys whose groups are bounded
     (an order's lines, a user's day); for unbounded groups express the logic with built-in
     aggregates and windows, or user code in combinable form (:func:`combine_groups`), instead.
+
+    Groups travel many to an Arrow batch and are cut apart in the worker: an Arrow stream for each group of a few rows, as
+    ``applyInPandas`` has it, takes longer than the user's code.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # An explicit hash repartition on the keys: the groupBy reuses it (no second shuffle), and
+    if not keys or not many and len(inspect.signature(fn).parameters) != 1:
+        return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)
+    names, kinds = list(df.columns), [f.dataType for f in df.schema.fields]
+    flat = df.toDF(*[f"c{i}" for i in range(len(names))])
+    by = [f"c{names.index(k)}" for k in keys]
+    # An explicit hash repartition on the keys: the window reuses it (no second shuffle), and
     # AQE does not fold it into a single task when the input is small.
-    return df.repartition(n, *keys).groupBy(*keys).applyInPandas(fn, schema)
+    rows = flat.repartition(n, *by).withColumn("first", F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1))) == 1)
+    # in pandas a null makes a column of whole numbers float and one of truth values object: of a group, not of its batch
+    typed = {i: F.lit(0 if isinstance(k, T.IntegralType) else False).cast(k) for i, k in enumerate(kinds) if isinstance(k, (T.IntegralType, T.BooleanType))}
+    rows = rows.select("first", *[F.coalesce(f"c{i}", typed[i]).alias(f"c{i}") if i in typed else f"c{i}" for i in range(len(names))],
+                       *[F.col(f"c{i}").isNull().alias(f"n{i}") for i in typed])
+    columns, holes = [f"c{i}" for i in range(len(names))], {i: "float64" if isinstance(kinds[i], T.IntegralType) else "object" for i in typed}
+
+    def groups(held: list[pd.DataFrame], cuts: list[int]) -> Iterator[pd.DataFrame]:
+        """What ``fn`` gives for the groups rows[cuts[0]:cuts[1]], rows[cuts[1]:cuts[2]], ... of the frames together."""
+        rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+        body, null = rows[columns], {i: rows[f"n{i}"].to_numpy(bool) for i in holes}
+        body = body.set_axis(names, axis=1)
+        null = {i: x for i, x in null.items() if x.any()}
+        if many:
+            # groups that follow each other and have their nulls in the same columns go together
+            with_null = [np.logical_or.reduceat(x[:cuts[-1]], cuts[:-1]) for x in null.values()]
+            cuts = [c for k, c in enumerate(cuts) if k in (0, len(cuts) - 1) or any(x[k] != x[k - 1] for x in with_null)]
+        for a, b in zip(cuts, cuts[1:]):
+            group = body.iloc[a:b].reset_index(drop=True)
+            for i, x in null.items():
+                if x[a:b].any():
+                    group.isetitem(i, group.iloc[:, i].astype(holes[i]).mask(x[a:b], None))
+            yield fn(group)
+
+    def together(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Neighbouring results of equal columns and types in one frame."""
+        same, kind = [], None
+        for p in parts:
+            this = (tuple(p.columns), tuple(p.dtypes)) if isinstance(p, pd.DataFrame) else p
+            if same and this != kind:
+                yield pd.concat(same, ignore_index=True)
+                same = []
+            if not isinstance(p, pd.DataFrame):
+                yield p        # Spark says what is wrong with it
+            elif len(p) or len(p.columns):
+                same.append(p)
+                kind = this
+        if same:
+            yield pd.concat(same, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []        # rows of the last group, which may go on in the next batch
+        for pdf in batches:
+            starts = np.flatnonzero(pdf["first"].to_numpy(bool))
+            if not len(starts):
+                held.append(pdf)
+                continue
+            before, last = sum(map(len, held)), int(starts[-1])
+            if before or last:
+                yield from together(groups([*held, pdf.iloc[:last]], [*([0] if before else []), *(int(x) + before for x in starts)]))
+            held = [pdf.iloc[last:]]
+        if held:
+            yield from together(groups(held, [0, sum(map(len, held))]))
+
+    return rows.mapInPandas(run, schema)
 
 
 @dataclass(frozen=True)
