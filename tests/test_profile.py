@@ -127,3 +127,12 @@ def test_negative_zero_is_zero(spark):
     df = spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")
     p = by_name(profile(df))["x"]
     assert p["unique_count"] == 2 and p["examples"] == ["0.0", "1.0"]
+
+
+def test_approximate_counts_of_a_key(spark):
+    # 40,000 values, each once or twice: the sketch of frequent values holds none of them
+    from pyspark.sql import functions as F
+    from fathom.operators.profile import profile
+    df = spark.range(40_000, numPartitions=6).select(F.concat(F.lit("name-"), "id").alias("name")).unionByName(spark.createDataFrame([("name-77",), ("name-5",)], "name string"))
+    row = profile(df, exact=False, stats=["values"]).head()
+    assert [tuple(v) for v in row.value_counts] == [("name-5", 2), ("name-77", 2), ("name-0", 1), ("name-1", 1), ("name-10", 1)]
