@@ -136,3 +136,16 @@ def test_approximate_counts_of_a_key(spark):
     df = spark.range(40_000, numPartitions=6).select(F.concat(F.lit("name-"), "id").alias("name")).unionByName(spark.createDataFrame([("name-77",), ("name-5",)], "name string"))
     row = profile(df, exact=False, stats=["values"]).head()
     assert [tuple(v) for v in row.value_counts] == [("name-5", 2), ("name-77", 2), ("name-0", 1), ("name-1", 1), ("name-10", 1)]
+
+
+def test_long_texts_are_not_laid_out_by_rows(spark, monkeypatch):
+    # ranges of equal numbers of rows would hold a column of long texts in one or two of them
+    from pyspark.sql import functions as F
+    from fathom.operators import profile as P
+    kept = []
+    keep = P.ranks.reliable_checkpoint
+    monkeypatch.setattr(P.ranks, "reliable_checkpoint", lambda df: (kept.append((df.columns, df._jdf.queryExecution().analyzed().toString())), keep(df))[1])
+    df = spark.range(3000).select("id", F.when(F.col("id") < 30, F.repeat(F.col("id").cast("string"), 1000)).alias("text"))
+    row = {r.column_name: r for r in P.profile(df).collect()}
+    assert (row["text"].unique_count, row["id"].p50, row["id"].unique_count) == (30, 1499.5, 3000)
+    assert not [c for c, plan in kept if "v" in c and "RepartitionByExpression" in plan]
