@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_stages_and_names():
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "simhash_dedup", "decontamination", "source_mix"]
-    assert sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:])) == [f"op{n}" for n in range(1, 11)]
+    assert sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:])) == [f"op{n}" for n in range(1, 14)]
     assert set(ORACLE) <= set(QUERIES)
 
 
