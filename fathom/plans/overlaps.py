@@ -77,12 +77,13 @@ def _copies(rows: DataFrame, levels: Column) -> DataFrame:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], right_on: tuple[str, str], bins: int | None = None,
-                 closed: bool = True, prefixes: tuple[str, str] = ("", "")) -> DataFrame:
+                 closed: bool = True, prefixes: tuple[str, str] = ("", ""), tasks: int | None = None) -> DataFrame:
     """All (left, right) pairs of rows whose intervals [start, end] meet; with ``closed`` false they are [start, end).
 
     The four columns must be comparable (all dates, all timestamps or all numbers); a point is an interval whose start is its end.
     Rows with a null or NaN bound or an end before their start (half-open: not after it) meet nothing; repeated rows each
-    pair up. Names of both sides must differ once ``prefixes`` are put before them.
+    pair up. Names of both sides must differ once ``prefixes`` are put before them. ``tasks`` is the number of tasks that make the
+    pairs: without it adaptive execution counts the bytes they read, and puts few bytes that make many pairs into one task.
     """
     names = [[p + c for c in side.columns] for side, p in zip((left, right), prefixes)]
     if both := set(names[0]) & set(names[1]):
@@ -100,7 +101,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], ri
         # homes stay; of the levels above only bins in which the other side has a home are visited
         copies = _copies(side, levels).join(F.broadcast(other.withColumn("met", F.lit(True))), ["lv", "bin"], "left")
         copies = copies.where((F.col("lv") == F.col("home")) | F.col("met"))
-        met.append(copies.select("lv", "bin", *[F.col(c).alias(f"{tag}_{c}") for c in ("row", "start", "end", "b0", "home")]))
+        copies = copies.select("lv", "bin", *[F.col(c).alias(f"{tag}_{c}") for c in ("row", "start", "end", "b0", "home")])
+        met.append(copies.repartition(tasks, "lv", "bin") if tasks else copies)
     pairs = met[0].join(met[1], ["lv", "bin"])
     at_home = (F.col("l_home") == F.col("lv")) | (F.col("r_home") == F.col("lv"))
     later = F.call_function("shiftright", F.greatest("l_b0", "r_b0"), F.col("lv"))

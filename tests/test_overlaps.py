@@ -68,3 +68,16 @@ def test_no_nested_loop(spark):
     with contextlib.redirect_stdout(buf):
         E.queries()["query_join_overlap"](spark, "/root/testdata/sf0.001").explain()
     assert "NestedLoop" not in buf.getvalue() and "Cartesian" not in buf.getvalue()
+
+
+def test_many_pairs_of_few_bytes_are_made_by_many_tasks(spark):
+    a = spark.range(400).select("id", (F.col("id") % 50).alias("s"), (F.col("id") % 50 + 2).alias("e"))
+    got = overlaps.overlap_join(a, a, ("s", "e"), ("s", "e"), 16, prefixes=("l", "r"), tasks=6)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert got.count() == 64 * sum(abs(x - y) <= 2 for x in range(50) for y in range(50))
+
+
+def test_open_orders_are_found_once(spark):
+    import __spark_entry__ as E
+    got = E.queries()["query_join_overlap"](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for f in got.inputFiles())
