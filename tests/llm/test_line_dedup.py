@@ -292,3 +292,39 @@ def test_spanning_links_connect_the_same_lines(spark):
     assert some <= every and len(some) < len(every)
     same = lambda pairs: {frozenset(t for t, g in components(texts, pairs).items() if g == h) for h in components(texts, pairs).values()}
     assert same(every) == same(some)
+
+
+def test_lines_that_share_a_block_of_one_feature_only_are_compared(spark):
+    """Links are those of all pairs that have any block in common, however few features it holds, found in plain Python."""
+    rng, texts = random.Random(31), set()
+    for k in range(300):
+        w = [f"{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}{rng.randrange(10 ** 4)}" for _ in range(rng.choice([12, 15, 17, 25, 40]))]
+        v = list(w)
+        for at in rng.sample(range(len(v)), len(v) // 6):
+            v[at] = v[at][:-1] + "x"
+        texts |= {" ".join(w), " ".join(v)}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.features(F.col("t")).alias("f"), L.simhash(L.features(F.col("t"))).alias("fp")).collect()
+    lines, more = {r.t: (r.f, r.fp) for r in rows}, {}
+
+    def runs(f):
+        ask = lambda n: max(0, int(n / L.PER_BLOCK).bit_length() - 1)
+        for b in {ask(len(f)), ask(len(f) * 1.25)}:
+            by = {}
+            for x in f:
+                by.setdefault((x + (1 << 63)) >> (64 - b), []).append(x)
+            yield from ((b, *r) for r in by.values())
+    for a, b in similar_pairs(texts):
+        if ((lines[a][1] ^ lines[b][1]) & ((1 << 64) - 1)).bit_count() <= L.DISTANCE:
+            common = set(runs(lines[a][0])) & set(runs(lines[b][0]))
+            if common:
+                more[a, b] = all(len(r) == 2 and r[0] > 1 for r in common)
+    assert sum(more.values()) >= 3
+    assert linked_pairs(spark, texts) == set(more)
+
+
+def test_fingerprints_from_sums_are_those_of_each_line(spark):
+    rng = random.Random(13)
+    feats = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 40, 255, 256, 70_000)] + [[-1] * 70_001, [-(1 << 63)] * 3, [0, -1], [1 << 62]]
+    frame = spark.createDataFrame(list(enumerate(feats)), "id long, f array<long>").repartition(3)
+    want = {r.id: r.fp for r in frame.select("id", L.simhash(F.col("f")).alias("fp")).collect()}
+    assert {r.id: r.fp for r in L.fingerprints(frame).collect()} == want
