@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from fathom.plans.ranks import input_bytes
 
 BIN_BYTES = 8 << 20       # input bytes a bin should hold
+PART = 4096               # rows of a part of a bin
 MAX_BINS = 1 << 14        # bounds of bins are a constant of the plan; at most twice as many (level, bin) homes are broadcast
 
 
@@ -76,6 +77,24 @@ def _copies(rows: DataFrame, levels: Column) -> DataFrame:
     return there.select("row", "start", "end", "b0", "home", "lv", F.explode(F.sequence(low, high)).alias("bin"))
 
 
+def _dealt(left: DataFrame, right: DataFrame, tasks: int) -> list[DataFrame]:
+    """Both sides' copies in ``tasks`` partitions, a bin cut into parts of about ``PART`` rows of the right side, each met by all its rows of the left.
+
+    Long intervals have their homes in the few bins of the upper levels, which one task each would join otherwise. In a part the rows
+    stand in the order of their starts, so neighbouring pairs are alike and a written result is small. The row's number keeps that order: the
+    optimizer takes out a sort below a join.
+    """
+    parts = right.groupBy("lv", "bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))       # at most 4 rows a level-0 bin
+    left, right = (side.join(F.broadcast(parts), ["lv", "bin"]) for side in (left, right))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.withColumn("part", F.pmod(F.xxhash64(F.col("r_row").cast("string")), F.col("parts")).cast("int"))
+    out = []
+    for side, start in ((left, "l_start"), (right, "r_start")):
+        side = side.drop("parts").repartition(tasks, "lv", "bin", "part").sortWithinPartitions("lv", "bin", "part", start)
+        out.append(side.withColumn("at", F.monotonically_increasing_id()).where("at >= 0").drop("at"))
+    return out
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], right_on: tuple[str, str], bins: int | None = None,
                  closed: bool = True, prefixes: tuple[str, str] = ("", ""), tasks: int | None = None) -> DataFrame:
     """All (left, right) pairs of rows whose intervals [start, end] meet; with ``closed`` false they are [start, end).
@@ -102,8 +121,11 @@ def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str], ri
         copies = _copies(side, levels).join(F.broadcast(other.withColumn("met", F.lit(True))), ["lv", "bin"], "left")
         copies = copies.where((F.col("lv") == F.col("home")) | F.col("met"))
         copies = copies.select("lv", "bin", *[F.col(c).alias(f"{tag}_{c}") for c in ("row", "start", "end", "b0", "home")])
-        met.append(copies.repartition(tasks, "lv", "bin") if tasks else copies)
-    pairs = met[0].join(met[1], ["lv", "bin"])
+        met.append(copies)
+    on = ["lv", "bin"]
+    if tasks:
+        met, on = _dealt(*met, tasks), [*on, "part"]
+    pairs = met[0].join(met[1], on)
     at_home = (F.col("l_home") == F.col("lv")) | (F.col("r_home") == F.col("lv"))
     later = F.call_function("shiftright", F.greatest("l_b0", "r_b0"), F.col("lv"))
     meet = (F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end")) if closed else (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))

@@ -81,3 +81,17 @@ def test_open_orders_are_found_once(spark):
     import __spark_entry__ as E
     got = E.queries()["query_join_overlap"](spark, "/root/testdata/sf0.001")
     assert not any("lineitem" in f for f in got.inputFiles())
+
+
+def test_bins_of_many_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Long intervals share one bin of an upper level; each pair is still found once."""
+    monkeypatch.setattr(overlaps, "PART", 16, raising=False)
+    a = spark.range(200).select("id", (F.col("id") % 5).alias("s"), (F.lit(1000) - F.col("id") % 7).alias("e"))
+    got = overlaps.overlap_join(a, a, ("s", "e"), ("s", "e"), 16, prefixes=("l", "r"), tasks=6)
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    assert got.count() == got.distinct().count() == 200 * 200
+    x, y = rows_of(150, 1, 900), rows_of(130, 2, 900)
+    left, right = (spark.createDataFrame(r, SCHEMA).repartition(3) for r in (x, y))
+    for closed in (True, False):
+        got = overlaps.overlap_join(left, right, ("s", "e"), ("s", "e"), 64, closed, prefixes=("a.", "b."), tasks=5)
+        assert sorted((r[0], r[3]) for r in got.collect()) == brute(x, y, closed)
